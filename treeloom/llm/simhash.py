@@ -12,7 +12,7 @@ from .common import Scratch
 from .components import connected_components, forest
 
 BITS = 64
-CHUNK = 1 << 18
+CHUNK, HELD = 1 << 14, 1 << 18
 SLICE = 1 << 16
 
 
@@ -100,7 +100,7 @@ def _join_tries(width: int, budget: int):
             a.append(x)
             b.append(y)
             held += len(x)
-            if held > 4 * CHUNK:
+            if held > HELD:
                 p, q = forest(np.concatenate(a), np.concatenate(b))
                 a, b, held = [p], [q], len(p)
         if held:
@@ -125,7 +125,7 @@ def _join_tries(width: int, budget: int):
             depth = min(width, BITS - block * width)
             held = np.concatenate(parts)
             # whole buckets go as soon as there are enough of them
-            if len(held) > CHUNK:
+            if len(held) > HELD:
                 top = held >> np.uint64(BITS - depth)
                 end = int(np.searchsorted(top, top[-1]))
                 if end:
