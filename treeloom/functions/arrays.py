@@ -369,6 +369,9 @@ def len_(c, a):
         return C(F.char_length(c.col).cast("long"), LONG)
     if isinstance(c.t, T.StructType):
         return lit(len(c.t.names))
+    if k == "variant":
+        as_ = lambda t: F.try_variant_get(c.col, "$", t)
+        return C(F.coalesce(F.size(as_("array<variant>")), F.size(as_("map<string,variant>")), F.char_length(as_("string"))).cast("long"), LONG)
     return c
 
 

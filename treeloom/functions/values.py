@@ -26,6 +26,9 @@ class C:
     lit: object = ...
     #: fields of a row or an object, to reach them without building a struct
     parts: dict | None = None
+    #: a test that is null or false where this one is false: a filter takes it
+    #: instead, so that the scan can have it
+    keep: Column | None = None
 
     def field(self, name: str) -> C:
         if self.parts is not None:
@@ -120,6 +123,11 @@ def truthy(c: C) -> Column:
     return x.isNotNull()
 
 
+def kept(c: C) -> Column:
+    """A test as a filter takes it."""
+    return truthy(c) if c.keep is None else c.keep
+
+
 def scalar(c: C, like: C) -> C:
     """A variant read as the kind of the value it meets."""
     if kind(c.t) == "variant" and kind(like.t) in ("number", "string", "bool"):
@@ -145,9 +153,12 @@ def order(op: str, a: C, b: C) -> Column:
     a, b = scalar(a, b), scalar(b, a)
     if kind(a.t) != kind(b.t) or kind(a.t) not in ("number", "string", "bool", "other"):
         return F.lit(False)
+    return F.coalesce(bare_order(op, a, b), F.lit(False))
+
+
+def bare_order(op: str, a: C, b: C) -> Column:
     x, y = whole(a), whole(b)
-    got = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
-    return F.coalesce(got, F.lit(False))
+    return {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
 
 
 def plain_double(x: Column) -> Column:
@@ -227,7 +238,8 @@ def cast(c: C, t: T.DataType) -> C:
             return C(F.lit(None).cast(t), t)
         if kind(c.t) == "other":
             return C(F.parse_json(json_text(C(c.col.cast("string"), STRING))), t)
-        return C(F.parse_json(json_text(c)), t)
+        text = F.parse_json(json_text(c))
+        return C(text if c.parts is not None else F.when(whole(c).isNotNull(), text), t)
     if isinstance(t, T.StructType) and isinstance(c.t, T.StructType) and c.t.names != t.names:
         parts = [cast(c.field(f.name), f.dataType).col.alias(f.name) for f in t.fields]
         built = F.struct(*parts)

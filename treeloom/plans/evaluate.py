@@ -12,7 +12,7 @@ from ..functions import paths
 from ..functions.numbers import coalesce, convert, kind_test
 from ..functions.objects import merged
 from ..functions.values import (  # noqa: F401
-    BOOL, BUILTINS, DOUBLE, LONG, NULL, STRING, C, QueryError, array_of, cast, common, display, equal, group_key, is_int, kind, lit, numeric, order, solid, struct_of, truthy, whole)
+    BOOL, BUILTINS, DOUBLE, LONG, NULL, STRING, C, QueryError, array_of, bare_order, cast, common, display, equal, group_key, kept, is_int, kind, lit, numeric, order, solid, struct_of, truthy, whole)
 from ..lang import tree as t
 from .relation import Rel, Scope, column, fresh, gathered
 
@@ -432,11 +432,12 @@ def arithmetic(op, a: C, b: C, trying: bool) -> C:
 @rule(t.Binary)
 def binary(n, env):
     if n.op == "and":
-        return C(truthy(ec(n.left, env)) & truthy(ec(n.right, env)), BOOL)
+        a, b = ec(n.left, env), ec(n.right, env)
+        return C(truthy(a) & truthy(b), BOOL, keep=kept(a) & kept(b))
     a, b = ec(n.left, env), ec(n.right, env)
     if n.op == "or":
         if kind(a.t) == kind(b.t) == "bool":
-            return C(truthy(a) | whole(b), BOOL) if a.lit is ... or b.lit is ... else lit(a.lit or b.lit)
+            return C(truthy(a) | whole(b), BOOL, keep=kept(a) | kept(b)) if a.lit is ... or b.lit is ... else lit(a.lit or b.lit)
         ty = common([a.t, b.t])
         return C(F.when(truthy(a), cast(a, ty).col).otherwise(cast(b, ty).col), ty)
     if n.op == "??":
@@ -446,7 +447,8 @@ def binary(n, env):
     if n.op == "!=":
         return C(~equal(a, b), BOOL)
     if n.op in ("<", "<=", ">", ">="):
-        return C(order(n.op, a, b), BOOL)
+        plain = kind(a.t) == kind(b.t) and kind(a.t) in ("number", "string", "bool", "other")
+        return C(order(n.op, a, b), BOOL, keep=bare_order(n.op, a, b) if plain else None)
     if n.op == "~=":
         if kind(a.t) != "string" or kind(b.t) != "string":
             return lit(False)
@@ -680,6 +682,8 @@ def comprehension(n, env):
         pairs = F.transform(col, pair)
         return _last_wins(pairs, seen[0])
     got, ty = hof(F.transform, c, lambda x: ec(n.item, inner(x)))
+    if n.kind == "flat":
+        return C(F.flatten(got), ty)
     out = C(got, T.ArrayType(ty))
     return BUILTINS["unique"](out, _NoArgs) if n.kind == "set" else out
 
@@ -692,10 +696,56 @@ def comprehend(n, source: Rel, inner: Env, scope: Scope):
         k, v = (ec(x, inner) for x in n.item)
         rel = source.select(struct_of({"key": C(display(k), STRING), "value": v}), scope.df, keyed=False)
         return rel_index(rel, rel.elem.field("key"), rel.df, value=["value"])
+    if n.kind == "flat":
+        return flat_items(n.item, source, inner, scope)
     out = source.select(ec(n.item, inner), scope.df, keyed=False)
     return rel_unique(out) if n.kind == "set" else out
 
 
+def flat_items(item: t.Comprehension, source: Rel, inner: Env, scope: Scope):
+    """The inner clause of a comprehension over a table: a join with the inner
+    table on its condition, or an array of each row."""
+    below = evaluate(item.source, inner)
+    if isinstance(below, (Rel, Corr)) and len(item.names) == 1 and item.kind == "list":
+        other = below if isinstance(below, Rel) else below.grp.rel
+        outer = source.on(scope.df)
+        held = {k: fresh("f") for k in outer.df.columns}
+        tag = {k: fresh("g") for k in other.df.columns}
+        df = outer.df.select(*[column(k).alias(v) for k, v in held.items()])
+        right = other.df.select(*[column(k).alias(v) for k, v in tag.items()])
+        on = F.lit(True)
+        if isinstance(below, Corr):
+            on = renamed(below.key, tag).eqNullSafe(renamed(below.outer, held))
+        e = renamed_c(other.elem, tag)
+        here = replace(inner, vars={k: renamed_c(v, held) if isinstance(v, C) else v for k, v in inner.vars.items()}).let(item.names[0], e)
+        df = df.join(right, on)
+        rows = Scope(df)
+        here = here.at(e, rows)
+        if item.cond is not None:
+            rows.df = rows.df.where(truthy(ec(item.cond, here)))
+        order = [(held[k], d) for k, d in source.order] + [(tag[k], d) for k, d in other.order] if source.order and other.order else []
+        return Rel(rows.df, None, order).select(ec(item.item, here))
+    c = ec(item, inner)
+    return rel_flat(source.on(scope.df), lambda e: c)
+
+
+def renamed_c(c: C, names: dict) -> C:
+    """A value of columns that have other names now."""
+    if c.parts is not None:
+        return struct_of({k: renamed_c(v, names) for k, v in c.parts.items()})
+    if c.lit is not ... or c.col is None:
+        return c
+    return C(renamed(c, names), c.t)
+
+
+def renamed(c: C, names: dict) -> Column:
+    sql = c.col._jc.toString()
+    bare = sql.strip("`")
+    if bare in names:
+        return column(names[bare])
+    raise QueryError("a further clause can use fields of the one before it, not expressions of them, in its source")
+
+
 @rule(t.Patch)
 def patch(n, env):
     target = evaluate(n.target, env)
@@ -776,13 +826,13 @@ def patch_doc(doc: Doc, ops, env: Env):
             inner = env.at(e, scope)
             test = F.col("__pos") == at
         elif how == "wild":
-            test = F.lit(True) if cond is None else truthy(function(cond, inner)(e))
+            test = None if cond is None else truthy(function(cond, inner)(e))
         else:
             raise QueryError("a table is written by [*], [* if ...] or [n]")
         if when is not None:
-            test = test & when
+            test = when if test is None else test & when
         if len(rest) == 1 and op.value is None:
-            tables[first] = rel.on(scope.df.where(~test))
+            tables[first] = rel.on(scope.df.where(F.lit(False) if test is None else ~test))
         else:
             out = paths.put(e, path_steps(rest[1:], inner), written(op, inner), test)
             tables[first] = rel.select(out, scope.df)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import describe
-from ..functions.values import BOOL, BUILTINS, DOUBLE, LONG, NULL, STRING, C, QueryError, cast, common, display, equal, group_key, is_int, kind, lit, numeric, struct_of, truthy, whole
+from ..functions.values import BOOL, BUILTINS, DOUBLE, LONG, NULL, STRING, C, QueryError, cast, common, display, equal, group_key, is_int, kept, kind, lit, numeric, struct_of, truthy, whole
 from ..lang import tree as t
 from ..operators.positions import POS, framed, positions, running
 from . import evaluate as ev
@@ -52,9 +52,9 @@ def rel_filter(r, a):
     if found is not None:
         return found
     scope, env = inside(r, a)
-    cond = truthy(a.fn(0, env)(r.elem))
+    cond = kept(a.fn(0, env)(r.elem))
     for i in range(1, a.count):
-        cond = cond & truthy(a.fn(i, env)(r.elem))
+        cond = cond & kept(a.fn(i, env)(r.elem))
     return r.on(scope.df.where(cond))
 
 
@@ -226,7 +226,7 @@ def on_rows(name):
     """A builtin of objects, used on each row."""
     def run(r, a):
         scope, env = inside(r, a)
-        return r.select(BUILTINS[name](r.elem, ev.Args(a.nodes, a.named_nodes, replace(env, here=a.env.here))), scope.df)
+        return r.select(BUILTINS[name](r.elem, ev.Args(a.nodes, a.named_nodes, env)), scope.df)
 
     rel(name)(run)
 
@@ -250,15 +250,22 @@ def rel_partition(r, a):
     return Rel(r.df.agg(yes.col.alias("true"), no.col.alias("false")), ["true", "false"], single=True)
 
 
-@rel("fanout", "zip_shape")
+@rel("fanout")
 def rel_whole(r, a):
     """Expressions of the whole table, each a value of its own."""
     scope = Scope(r.df.sparkSession.range(1).select())
     env = a.env.at(r, scope)
-    if a.named_nodes:
-        got = struct_of({k: ev.as_c(ev.evaluate(n, env), env) for k, n in a.named_nodes.items()})
-    else:
-        got = ev.array_of([ev.as_c(ev.evaluate(n, env), env) for n in a.nodes])
+    got = ev.array_of([ev.as_c(ev.evaluate(n, env), env) for n in a.nodes])
+    return Rel(scope.df, [], single=True).select(got)
+
+
+@rel("zip_shape")
+def rel_zip_shape(r, a):
+    """An object of named expressions of the whole table."""
+    scope = Scope(r.df.sparkSession.range(1).select())
+    env = a.env.at(r, scope)
+    nodes = {a.name(i): n for i, n in enumerate(a.nodes)} | a.named_nodes
+    got = struct_of({k: ev.as_c(ev.evaluate(n, env), env) for k, n in nodes.items()})
     return Rel(scope.df, [], single=True).select(got)
 
 
@@ -1009,6 +1016,10 @@ def free_range(n, env):
     return C(F.coalesce(some, F.array().cast("array<bigint>")), T.ArrayType(LONG))
 
 
+def _combined(lists, items):
+    return F.flatten(F.transform(lists, lambda p: F.transform(items, lambda y: F.array_append(p, y))))
+
+
 @free("product")
 def free_product(n, env):
     """All combinations, as arrays: the last varies fastest."""
@@ -1020,8 +1031,7 @@ def free_product(n, env):
                 got = C(F.transform(whole(v), lambda x: F.array(x)), T.ArrayType(T.ArrayType(v.t.elementType)))
                 continue
             ty = common([got.t.elementType.elementType, v.t.elementType])
-            x = F.flatten(F.transform(cast(got, T.ArrayType(T.ArrayType(ty))).col, lambda p, v=v, ty=ty: F.transform(cast(v, T.ArrayType(ty)).col, lambda y: F.array_append(p, y))))
-            got = C(x, T.ArrayType(T.ArrayType(ty)))
+            got = C(_combined(cast(got, T.ArrayType(T.ArrayType(ty))).col, cast(v, T.ArrayType(ty)).col), T.ArrayType(T.ArrayType(ty)))
         return got
     some = next(v for v in values if isinstance(v, Rel))
     rels = [as_rel(v, some, env) for v in values]

@@ -6,6 +6,9 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.values import common
 
 FORMATS = ("parquet", "json", "csv", "text", "orc")
 
@@ -18,32 +21,37 @@ def read(spark: SparkSession, path: str, kind: str = "parquet", **options) -> Da
 
 
 def json_text(spark: SparkSession, text: str | bytes) -> DataFrame:
-    """One JSON document as a row whose columns are its fields. Fields that mix
-    types become variants; text that is no JSON fails here."""
+    """One JSON document as a row whose columns are its fields, in their order.
+    Values that mix kinds become variants; text that is no JSON fails here."""
     value = json.loads(text)
     if not isinstance(value, dict):
         value = {"value": value}
-    shown = json.dumps(value)
-    schema = spark.sql("SELECT schema_of_json(:t) AS s", {"t": shown}).first()["s"]
-    mixed = [k for k, v in value.items() if _mixed(v)]
-    df = spark.createDataFrame([(shown,)], "t string").select(F.from_json("t", schema).alias("d"), F.parse_json("t").alias("v"))
-    return df.select(*[F.variant_get("v", f"$['{k}']", "variant").alias(k) if k in mixed else F.col("d")[k].alias(k) for k in value])
-
-
-def _kind(v) -> str:
-    return "number" if isinstance(v, (int, float)) and not isinstance(v, bool) else type(v).__name__
+    schema = T.StructType([T.StructField(k, settled(shape(v))) for k, v in value.items() if v is not None])
+    got = spark.createDataFrame([(json.dumps(value),)], "t string").select(F.from_json("t", schema).alias("d"))
+    return got.select(*[F.lit(None).alias(k) if v is None else F.col("d")[k].alias(k) for k, v in value.items()])
 
 
-def _mixed(v) -> bool:
-    """Whether an array anywhere in a value holds values of several kinds."""
+def shape(v) -> T.DataType:
+    """The type that holds a JSON value."""
     if isinstance(v, dict):
-        return any(map(_mixed, v.values()))
+        return T.StructType([T.StructField(k, T.NullType() if x is None else shape(x)) for k, x in v.items()])
     if isinstance(v, list):
-        if len({_kind(x) for x in v if x is not None}) > 1 or any(map(_mixed, v)):
-            return True
-        if v and all(isinstance(x, dict) for x in v):
-            return any(len({_kind(x[k]) for x in v if x.get(k) is not None}) > 1 for k in {k for x in v for k in x})
-    return False
+        types = [shape(x) for x in v if x is not None]
+        return T.ArrayType(common(types))
+    if isinstance(v, bool):
+        return T.BooleanType()
+    if isinstance(v, int):
+        return T.LongType() if -(1 << 63) <= v < 1 << 63 else T.DoubleType()
+    return T.DoubleType() if isinstance(v, float) else T.StringType()
+
+
+def settled(t: T.DataType) -> T.DataType:
+    """A type without unknown parts; those become text."""
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, settled(f.dataType)) for f in t.fields])
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(settled(t.elementType))
+    return T.StringType() if isinstance(t, T.NullType) else t
 
 
 def json_lines(spark: SparkSession, path: str, variant: bool = False) -> DataFrame:
