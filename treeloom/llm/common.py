@@ -44,7 +44,7 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -62,5 +62,5 @@ def text_of(name: str):
 
 def small(df: DataFrame, limit: int = 200_000) -> bool:
     """Whether a table written to the shared folder has few enough rows to
-    broadcast; reads one row past the limit at most."""
-    return df.limit(limit + 1).count() <= limit
+    broadcast; its files know their rows, so nothing is read."""
+    return df.count() <= limit

@@ -28,6 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .vocab import Known, byte_chars, tokenizer
 
-BLOCK_IDS = 1 << 18
+BLOCK_IDS, ROWS = 1 << 18, 4000
 #: Bytes of the four ids of each control byte, and their sum.
 SIZES = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
@@ -78,8 +79,9 @@ class WordBpe:
         self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
         self.known = Known(self.word, self.whole.get_vocab_size())
 
-    def word(self, raw: bytes) -> list[int]:
-        word = raw.decode("utf-8", "surrogatepass")
+    def word(self, word: str) -> list[int]:
+        if not word:
+            return []
         mark = word[-1] if word[-1] in ",." else ""
         stem = word[:-1] if mark else word
         # below U+0250 all is composed already, and case does not look around
@@ -89,12 +91,30 @@ class WordBpe:
                 stem = "".join(map(self.shown.__getitem__, stem.encode()))
             ids = [t.id for t in self.model.tokenize(stem)]
             return ids + [t.id for t in self.model.tokenize(mark)] if mark else ids
-        if raw.isascii() and "<|" not in word and word.isprintable():
+        if word.isascii() and "<|" not in word and word.isprintable():
             return [t.id for p in self.pieces.findall(word.lower()) for t in self.model.tokenize(p)]
         return self.whole.encode(word, add_special_tokens=False).ids
 
     def encode(self, text: str) -> np.ndarray:
-        return self.known.join(text.encode("utf-8", "surrogatepass").split())
+        return next(self.encode_all(pa.array([text], pa.string())))
+
+    def encode_all(self, texts):
+        """The ids of each text. The different words of some texts at a time
+        are looked up once each; the ids of a text are gathered by numpy."""
+        for s in range(0, len(texts), ROWS):
+            lists = pc.ascii_split_whitespace(texts.slice(s, ROWS))
+            words = lists.flatten().dictionary_encode()
+            codes = list(map(self.known.__getitem__, words.dictionary.to_pylist()))
+            ids = np.frombuffer(b"".join(codes), dtype=self.known.kind)
+            n = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // self.known.kind.itemsize
+            start = np.cumsum(n) - n
+            at = words.indices.to_numpy(zero_copy_only=False)
+            stop = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            for a, z in zip(np.concatenate([[0], stop[:-1]]), stop, strict=True):
+                w = at[a:z]
+                k = n[w]
+                ends = np.cumsum(k)
+                yield ids[np.repeat(start[w] - (ends - k), k) + np.arange(ends[-1])] if len(w) else ids[:0]
 
 
 @functools.cache
@@ -102,34 +122,44 @@ def encoder(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def width(vocabulary: int) -> str:
+    """How ids below ``vocabulary`` are held until they are written."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def tokenize(docs: DataFrame, path: str, end_id: int, kind: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the ids of each whole text and the end id, as little-
-    endian unsigned 32-bit integers in one binary value."""
+    endian unsigned integers of ``kind`` in one binary value."""
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            ids = [np.append(enc.encode(t), end_id).astype("<u4").tobytes() for t in b.column(1).to_pylist()]
+            ids = [np.append(v, end_id).astype(kind).tobytes() for v in enc.encode_all(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary")
 
 
-def _tally(batches):
-    total = np.zeros(0, dtype=np.int64)
-    for b in batches:
-        for v in b.column(0):
-            n = np.bincount(np.frombuffer(v.as_buffer(), dtype="<u4"))
-            if len(n) > len(total):
-                n[: len(total)] += total
-                total = n
-            else:
-                total[: len(n)] += n
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
+def _tally(kind, vocabulary):
+    def run(batches):
+        total = np.zeros(vocabulary, dtype=np.int64)
+        for b in batches:
+            parts, held = [], 0
+            for v in b.column(0):
+                parts.append(np.frombuffer(v.as_buffer(), dtype=kind))
+                held += len(parts[-1])
+                if held >= BLOCK_IDS:
+                    total += np.bincount(np.concatenate(parts), minlength=vocabulary)
+                    parts, held = [], 0
+            if parts:
+                total += np.bincount(np.concatenate(parts), minlength=vocabulary)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
+
+    return run
 
 
-def _pack(place):
+def _pack(place, kind):
     """Blocks of the sorted documents of one partition."""
     def block(part, number, ids, docs):
         control, data = encode_block(place.value[np.concatenate(ids)])
@@ -145,7 +175,7 @@ def _pack(place):
         for b in batches:
             for p, d, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 part = p
-                ids.append(np.frombuffer(v.as_buffer(), dtype="<u4"))
+                ids.append(np.frombuffer(v.as_buffer(), dtype=kind))
                 docs.append(d)
                 held += len(ids[-1])
                 if held >= BLOCK_IDS:
@@ -165,8 +195,8 @@ def write_tokens(ids: DataFrame, out: str, vocabulary: int) -> None:
     rows of it come to the driver, and the table of places made of them is all
     that is broadcast. A document is never cut: a row holds at least one.
     """
-    spark = ids.sparkSession
-    tally = ids.select("ids").mapInArrow(_tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    spark, kind = ids.sparkSession, width(vocabulary)
+    tally = ids.select("ids").mapInArrow(_tally(kind, vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     got = tally.orderBy(F.desc("n"), "id").limit(vocabulary).collect()
     ranks = np.array([r["id"] for r in got], dtype=np.int64)
     place = np.zeros(int(ranks.max()) + 1 if len(ranks) else 0, dtype=np.uint32)
@@ -175,7 +205,7 @@ def write_tokens(ids: DataFrame, out: str, vocabulary: int) -> None:
     shared = spark.sparkContext.broadcast(place)
     ordered = ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     parts = ordered.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "ids")
-    parts.mapInArrow(_pack(shared), "part long, number long, count long, docs array<bigint>, lengths binary, control binary, data binary").write.parquet(f"{out}/parts")
+    parts.mapInArrow(_pack(shared, kind), "part long, number long, count long, docs array<bigint>, lengths binary, control binary, data binary").write.parquet(f"{out}/parts")
     # a row for each block takes part in the running sum, no ids
     heads = spark.read.parquet(f"{out}/parts").select("part", "number", "count")
     order = W.orderBy("part", "number")
@@ -213,9 +243,10 @@ def token_files(docs: DataFrame, path: str, end_id: int = 2, out: str | None = N
     folder.
     """
     scratch = Scratch(docs.sparkSession, "tokens")
-    ids = scratch.keep(tokenize(docs, path, end_id, id_col, text_col))
+    vocabulary = max(tokenizer(path).get_vocab_size(), end_id + 1)
+    ids = scratch.keep(tokenize(docs, path, end_id, width(vocabulary), id_col, text_col))
     out = out or f"{scratch.root}/files"
-    write_tokens(ids, out, tokenizer(path).get_vocab_size() + 1)
+    write_tokens(ids, out, vocabulary)
     scratch.drop(ids)
     return read_tokens(docs.sparkSession, out)
 

@@ -36,21 +36,25 @@ def tokenizer(path: str):
 class Known(dict):
     """Ids of words met before, as bytes of unsigned 16- or 32-bit integers.
 
-    Words over LONGEST characters are not kept, and all are dropped when there
-    are CACHED of them, so the size is bounded.
+    Words over LONGEST characters are not kept. When there are CACHED of them
+    they become the older generation, from which a word met again comes back,
+    and the one older is dropped: so the size is bounded.
     """
 
-    CACHED, LONGEST = 1_000_000, 48
+    CACHED, LONGEST = 250_000, 48
 
     def __init__(self, ids_of, count: int):
         super().__init__()
         self.ids_of, self.code = ids_of, "H" if count <= 1 << 16 else "I"
-        self.kind = np.dtype(self.code)
+        self.kind, self.older = np.dtype(self.code), {}
 
     def __missing__(self, word):
-        ids = array(self.code, self.ids_of(word)).tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array(self.code, self.ids_of(word)).tobytes()
         if len(word) <= self.LONGEST:
             if len(self) >= self.CACHED:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
