@@ -371,14 +371,16 @@ def test_line_dedup(docs, empty, monkeypatch):
         lines = [] if r[1] is None else r[1].split("\n")
         out = gone[-1 if r[0] is None else r[0]]
         want[r[0], None if r[1] is None else "\n".join(x for k, x in enumerate(lines) if k not in out), len(lines), len(out), r[4]] += 1
-    for hot in (2048, 1):  # 1: all words meet in pairs
+    for hot, tried in ((2048, 4), (1, 0)):  # all words meet in pairs; all sets are settled in the second round
         monkeypatch.setattr(line_dedup, "HOT", hot)
+        monkeypatch.setattr(line_dedup, "TRIED", tried)
         got = line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed", "n_chars").collect()
         assert Counter(tuple(r) for r in got) == want
     assert line_dedup.dedup_lines(empty).collect() == []
 
 
-def test_line_dedup_when_the_earliest_candidate_fails(spark):
+def test_line_dedup_when_the_first_candidates_fail(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "TRIED", 1)
     r = random.Random(2)
     rows = []
     for i in range(150):

@@ -59,8 +59,10 @@ def _marked(name: str, attributes: str) -> bool:
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
-        elif name not in TRUSTED and not UNLIKELY.isdisjoint(w.lower() for w in WORDS.findall(value)):
-            return True
+        elif name not in TRUSTED:
+            words = [w.lower() for w in WORDS.findall(value)]
+            if not UNLIKELY.isdisjoint(words) or not UNLIKELY.isdisjoint(map("".join, zip(words, words[1:], strict=False))):
+                return True
     return False
 
 

@@ -15,9 +15,16 @@ from pyspark.sql import functions as F
 LANGUAGES, SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY = 64, 96, 16_384, 131_072
 WINDOW = 4096
 LETTER = re.compile(r"[^\W\d_]")
+LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
+def spelled(text: str) -> bytes:
+    """The words of a whole text in lower case, without marks and digits, so
+    that case and layout say nothing about the language."""
+    return " ".join(LETTERS.findall(text.lower())).encode("utf-8", "surrogatepass")
+
+
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", seed: int = 42, languages: int = LANGUAGES,
           sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, dictionary: int = DICTIONARY) -> list[tuple[str, bytes]]:
     """(language, dictionary) pairs, the language with most documents first.
@@ -41,7 +48,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", seed:
     for name in names:
         texts = [r["text"] for r in sorted((r for r in got if r["lang"] == name), key=lambda r: r["place"])]
         if texts:
-            out.append((name, "\n".join(texts).encode("utf-8", "surrogatepass")[-dictionary:]))
+            out.append((name, b" ".join(map(spelled, texts))[-dictionary:]))
     return out
 
 
@@ -57,14 +64,14 @@ def _compressors(learned: tuple, level: int):
     return out
 
 
-def classify(text: str | None, learned: tuple, level: int = 3) -> tuple[str, float]:
+def classify(text: str | None, learned: tuple, level: int = 6) -> tuple[str, float]:
     """(language, margin): the margin is the share of bytes by which the best
     dictionary beats the next, 0 to 1. The whole text counts, window by
     window, so that the dictionary stays in reach of all of it. Equal sizes go
     to the language with more training documents."""
     if not text or not learned or not LETTER.search(text):
         return UNKNOWN, 0.0
-    raw = text.encode("utf-8", "surrogatepass")
+    raw = spelled(text)
     parts = [raw[i:i + WINDOW] for i in range(0, len(raw), WINDOW)]
     size = [sum(map(len, map(c, parts))) for c in _compressors(learned, level)]
     best = min(range(len(size)), key=size.__getitem__)
@@ -72,7 +79,7 @@ def classify(text: str | None, learned: tuple, level: int = 3) -> tuple[str, flo
     return learned[best][0], 1.0 if rest is None else 1 - size[best] / rest
 
 
-def identify(docs: DataFrame, learned: list[tuple[str, bytes]], text_col: str = "text", min_margin: float = 0.0, level: int = 3) -> DataFrame:
+def identify(docs: DataFrame, learned: list[tuple[str, bytes]], text_col: str = "text", min_margin: float = 0.0, level: int = 6) -> DataFrame:
     """The rows with lang_pred, lang_score and lang_accepted.
 
     lang_pred is a learned language, or ``und`` for null, empty and letterless

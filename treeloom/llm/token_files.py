@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .vocab import Known, byte_chars, tokenizer
 
-BLOCK_IDS, ROWS = 1 << 18, 4000
+BLOCK_IDS, ROWS = 1 << 18, 2000
 #: Bytes of the four ids of each control byte, and their sum.
 SIZES = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
@@ -133,8 +133,10 @@ def tokenize(docs: DataFrame, path: str, end_id: int, kind: str, id_col: str = "
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            ids = [np.append(v, end_id).astype(kind).tobytes() for v in enc.encode_all(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for s in range(0, b.num_rows, ROWS):  # a few texts at a time
+                part = b.slice(s, ROWS)
+                ids = [np.append(v, end_id).astype(kind).tobytes() for v in enc.encode_all(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary")
