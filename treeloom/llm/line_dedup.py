@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -10,175 +12,282 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small, text_of
 
-#: Words that make up at least this share of all are ranked by their counts, so
-#: there are at most 1 / COMMON of them; the others, all rarer, come before.
-COMMON = 2.0 ** -18
+#: Rarity comes from counts in 2 ** SKETCH buckets of word hashes, a table of
+#: fixed size; only its power of two orders words, then their hashes do.
+SKETCH, HASH = 18, 38
 HOT = 2048
 CHUNK_WORDS = 1 << 20
-BLOCK = 512
+#: So many candidates of a set are verified first; sets with more, none of
+#: which holds, have all theirs verified in a second round.
+TRIED = 4
+PAIRS = 1 << 20
 
 
 def _lines(texts, at_once: int = CHUNK_WORDS):
     """Chunks (document, line, words, hashes): of each line its document and
     number and how many words it has; the words' hashes lie end to end."""
-    docs, numbers, counts, hashes, held = [], [], [], [], 0
+    docs, numbers, counts, hashes = [], [], [], []
     digest = xxhash.xxh64_digest
     for d, text in enumerate(texts):
         lines = [x.split() for x in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
         docs.append(np.full(len(lines), d))
         numbers.append(np.arange(len(lines)))
         counts += map(len, lines)
-        for x in lines:
-            hashes.extend(map(digest, x))
-        if len(hashes) >= at_once:
-            yield np.concatenate(docs), np.concatenate(numbers), np.array(counts), np.frombuffer(b"".join(hashes), dtype=">i8").astype(np.int64)
+        hashes += map(digest, chain.from_iterable(lines))
+        if len(hashes) >= at_once or len(counts) >= at_once:
+            yield np.concatenate(docs), np.concatenate(numbers), np.array(counts), np.frombuffer(b"".join(hashes), dtype=">u8").astype(np.uint64)
             docs, numbers, counts, hashes = [], [], [], []
     if docs:
-        yield np.concatenate(docs), np.concatenate(numbers), np.array(counts), np.frombuffer(b"".join(hashes), dtype=">i8").astype(np.int64)
+        yield np.concatenate(docs), np.concatenate(numbers), np.array(counts), np.frombuffer(b"".join(hashes), dtype=">u8").astype(np.uint64)
 
 
 def _count(batches):
-    words, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = np.zeros(1 << SKETCH, dtype=np.int64)
     for b in batches:
         for *_, hashes in _lines(b.column(0).to_pylist()):
-            w, n = np.unique(hashes, return_counts=True)
-            both, at = np.unique(np.concatenate([words, w]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([total, n])).astype(np.int64)
-            words, total = both, n
-            if len(words) > CHUNK_WORDS:
-                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(total)], ["word", "n"])
-                words, total = words[:0], total[:0]
-    yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(total)], ["word", "n"])
-
-
-def _sets(hashes: np.ndarray, counts: np.ndarray, common: tuple[np.ndarray, np.ndarray]):
-    """(words, start, size): each line's distinct words, rarest first."""
-    line = np.repeat(np.arange(len(counts)), counts)
-    rank = np.zeros(len(hashes), dtype=np.int64)
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
-        rank = np.where(common[0][at] == hashes, common[1][at], 0)
-    order = np.lexsort((hashes, rank, line))
-    h, l = hashes[order], line[order]  # noqa: E741
-    fresh = np.ones(len(h), dtype=bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (l[1:] != l[:-1])
-    h, l = h[fresh], l[fresh]  # noqa: E741
-    size = np.bincount(l, minlength=len(counts))
-    return h, np.cumsum(size) - size, size
-
-
-def _identify(h: np.ndarray, start: np.ndarray, size: np.ndarray):
-    """(digest, bits) of each set: a sum of mixed hashes, and a 64-bit map with
-    a bit for each word. Two sets differ in as many words as bits, or more."""
-    mixed = (h.view(np.uint64) ^ (h.view(np.uint64) >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            total += np.bincount((hashes >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["bucket", "n"])
+
+
+def _sets(hashes: np.ndarray, counts: np.ndarray, rarity: np.ndarray):
+    """(words, start, size): each line's distinct words, rarest first. A word
+    is its rarity and HASH bits of its hash. Lines go by in runs small enough
+    that one 64-bit key holds line and word."""
+    ends = np.cumsum(counts)
+    words, sizes = [], []
+    step = 1 << (63 - HASH - 6)
+    for s in range(0, len(counts), step):
+        n = counts[s:s + step]
+        lo, hi = (ends[s] - counts[s]), ends[min(s + step, len(counts)) - 1]
+        h = hashes[lo:hi]
+        key = (rarity[(h >> np.uint64(64 - SKETCH)).astype(np.int64)].astype(np.uint64) << np.uint64(HASH)) | (h & np.uint64((1 << HASH) - 1))
+        key |= np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(HASH + 6)
+        key.sort()
+        fresh = np.ones(len(key), dtype=bool)
+        fresh[1:] = key[1:] != key[:-1]
+        key = key[fresh]
+        words.append(key & np.uint64((1 << (HASH + 6)) - 1))
+        sizes.append(np.bincount((key >> np.uint64(HASH + 6)).astype(np.int64), minlength=len(n)))
+    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+    return (np.concatenate(words) if words else np.zeros(0, np.uint64)), np.cumsum(size) - size, size
+
+
+def _identify(words: np.ndarray, start: np.ndarray, size: np.ndarray):
+    """(digest, map) of each set: a sum of mixed words, and a bit for each word
+    in two to four times as many bits as there are words, a power of two. Two
+    sets differ in as many words as bits, or more; the wider of two maps is
+    folded to the other's width."""
+    mixed = words * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
-    bits = np.uint64(1) << (h.view(np.uint64) >> np.uint64(58))
+    digest = np.zeros(len(size), np.uint64)
     some = np.flatnonzero(size)
-    digest, found = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
     if len(some):
         digest[some] = np.add.reduceat(mixed, start[some])
-        found[some] = np.bitwise_or.reduceat(bits, start[some])
-    return digest.view(np.int64), found.view(np.int64)
-
-
-def _prefixes(common, threshold: float, least: int):
+    width = (np.int64(1) << np.ceil(np.log2(np.clip(2 * size, 64, 1 << 15))).astype(np.int64))
+    ends = np.cumsum(width)
+    bits = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=bool)
+    of = np.repeat(np.arange(len(size)), size)
+    bits[(ends - width)[of] + (mixed.view(np.int64) & (width[of] - 1))] = True
+    raw = np.packbits(bits, bitorder="little")
+    offsets = pa.array(np.concatenate([[0], ends // 8]), pa.int32())
+    return digest.view(np.int64), pa.Array.from_buffers(pa.binary(), len(size), [None, offsets.buffers()[1], pa.py_buffer(raw)])
+
+
+class _Maps:
+    """The bit maps of some rows, by width, each also folded to half of it."""
+
+    def __init__(self, column: pa.Array):
+        offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
+        self.width = np.diff(offsets)
+        self.by = {}
+        own = {int(w): (at := np.flatnonzero(self.width == w), data[offsets[at][:, None] + np.arange(w)].view(np.uint64)) for w in np.unique(self.width)}
+        for w, (at, bits) in own.items():
+            if 2 * w in own:
+                wide, more = own[2 * w]
+                half = w // 8
+                at, bits = np.concatenate([at, wide]), np.concatenate([bits, more[:, :half] | more[:, half:]])
+            slot = np.full(len(column), -1, np.int32)
+            slot[at] = np.arange(len(at))
+            self.by[w] = slot, bits
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits in which pairs of rows differ; their widths are one step apart
+        at most."""
+        out, w = np.zeros(len(x), np.int64), np.minimum(self.width[x], self.width[y])
+        for k in np.unique(w):
+            at = np.flatnonzero(w == k)
+            slot, bits = self.by[int(k)]
+            out[at] = np.bitwise_count(bits[slot[x[at]]] ^ bits[slot[y[at]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _cut(words, start, n):
+    """List array of the first n words of some sets."""
+    ends = np.cumsum(n)
+    flat = words[np.repeat(start - (ends - n), n) + np.arange(ends[-1])]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat.view(np.int64)))
+
+
+def _prefixes(rarity, threshold: float, least: int):
     def run(batches):
         for b in batches:
-            ids, keys = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            keys = b.column(1).to_numpy(zero_copy_only=False)
             for docs, numbers, counts, hashes in _lines(b.column(2).to_pylist()):
-                h, start, size = _sets(hashes, counts, common.value)
-                digest, bits = _identify(h, start, size)
+                words, start, size = _sets(hashes, counts, rarity.value)
+                digest, bits = _identify(words, start, size)
                 at = np.flatnonzero(size >= least)
                 if not len(at):
                     continue
                 # one word over the prefix, for pairs of words
                 n = np.minimum(size[at] - np.ceil(threshold * size[at] - 1e-9).astype(np.int64) + 2, size[at])
-                ends = np.cumsum(n)
-                words = h[np.repeat(start[at] - (ends - n), n) + np.arange(ends[-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(docs[at])), pa.array(keys[docs[at]]), pa.array(numbers[at], pa.int32()), pa.array(digest[at]), pa.array(bits[at]),
-                     pa.array(size[at], pa.int32()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(words))],
-                    ["doc_id", "text_key", "line", "digest", "bits", "n", "prefix"])
+                    [b.column(0).take(pa.array(docs[at])), pa.array(keys[docs[at]]), pa.array(numbers[at], pa.int32()), pa.array(digest[at]), bits.take(pa.array(at)),
+                     pa.array(size[at], pa.int32()), _cut(words, start[at], n)],
+                    ["doc_id", "text_key", "line", "digest", "map", "n", "prefix"])
 
     return run
 
 
-def _candidates(threshold: float, everything: bool):
-    """Of the sets that share a prefix word: for each the earliest other that
-    the length, positional and bit-map filters let pass, and whether there are
-    more; or all of them."""
-    def bucket(rows):
-        digest, bits, n, pos, rank = rows
-        order = np.argsort(rank, kind="stable")
-        digest, bits, n, pos = digest[order], bits[order].view(np.uint64), n[order], pos[order]
-        for s in range(0, len(n), BLOCK):  # later sets against all earlier ones
-            y = np.arange(s, min(s + BLOCK, len(n)))
-            for t in range(0, y[-1] + 1, 1 << 14):
-                x = np.arange(t, min(t + (1 << 14), y[-1] + 1))
-                total = n[y][:, None] + n[x][None, :]
-                need = np.ceil(threshold / (1 + threshold) * total - 1e-9)
-                ok = (x[None, :] < y[:, None]) & (np.minimum(n[y][:, None], n[x][None, :]) >= threshold * np.maximum(n[y][:, None], n[x][None, :]) - 1e-9)
-                ok &= 1 + np.minimum((n[y] - pos[y])[:, None], (n[x] - pos[x])[None, :]) - 1 >= need
-                ok &= np.bitwise_count(bits[y][:, None] ^ bits[x][None, :]) <= total - 2 * need
-                p, q = np.nonzero(ok)
-                yield y[p], x[q], digest
-
-    def flush(cols, cuts):
-        a, b, more = [], [], []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if hi - lo < 2:
+def _near(threshold, n, pos, maps, x, y):
+    """Of pairs of sets that share a word, those that the length, positional
+    and bit-map filters let pass, and in how many bits they differ."""
+    total = n[x] + n[y]
+    need = np.ceil(threshold / (1 + threshold) * total - 1e-9)
+    ok = np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9
+    ok &= np.minimum(n[y] - pos[y], n[x] - pos[x]) >= need
+    x, y, most = x[ok], y[ok], (total - 2 * need)[ok]
+    apart = maps.apart(x, y)
+    ok = apart <= most
+    return x[ok], y[ok], apart[ok]
+
+
+def _candidates(threshold: float, tried: int):
+    """Of the sets that meet in a bucket: for each the ``tried`` most alike, by
+    the bit map, of the earlier ones that the filters let pass, and whether
+    there are more."""
+    def flush(table):
+        word, second, digest, n, pos, rank = (c.to_numpy() for c in table.columns[:6])
+        maps = _Maps(table["map"].combine_chunks())
+        order = np.lexsort((digest, pos >> 32, rank, second, word))
+        pos, word, second = pos & 0xFFFFFFFF, word[order], second[order]
+        new = np.ones(len(word), bool)
+        new[1:] = (word[1:] != word[:-1]) | (second[1:] != second[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(word)), 0))
+        before = np.arange(len(word)) - first  # earlier rows of the bucket
+        rows = np.flatnonzero(before)
+        found = np.zeros(len(word), np.int64)
+        late, early, more = [], [], []
+        for s in _runs(before[rows], PAIRS):
+            y = rows[s]
+            k = before[y]
+            at = np.repeat(y, k)
+            x = order[first[at] + np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)]
+            x, at, apart = _near(threshold, n, pos, maps, x, order[at])
+            if not len(x):
                 continue
-            seen = np.zeros(hi - lo, dtype=bool)
-            for y, x, digest in bucket([c[lo:hi] for c in cols]):
-                if not len(y):
-                    continue
-                if everything:
-                    a.append(digest[y])
-                    b.append(digest[x])
-                    more.append(np.zeros(len(y), bool))
+            # a row's pairs are all in one run: the most alike of them first
+            by = np.lexsort((x, apart, at))
+            x, at = x[by], at[by]
+            start = np.concatenate([[True], at[1:] != at[:-1]])
+            number = np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
+            np.add.at(found, at, 1)
+            keep = number < tried
+            late.append(digest[at[keep]])
+            early.append(digest[x[keep]])
+            more.append(np.zeros(keep.sum(), bool))
+        rest = np.unique(digest[found > tried])
+        late, early, more = [*late, rest], [*early, rest], [*more, np.ones(len(rest), bool)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (late, early, more)], ["late", "early", "more"])
+
+    return lambda batches: _buckets(batches, PAIRS // 2, flush)
+
+
+def _buckets(batches, rows: int, flush):
+    """Whole buckets of sorted rows, about so many rows at a time."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        word, second = (table[i].to_numpy() for i in (0, 1))
+        cuts = np.flatnonzero((np.diff(word) != 0) | (np.diff(second) != 0)) + 1
+        if len(cuts):  # the last bucket may go on in the next batch
+            yield from flush(table.slice(0, cuts[-1]))
+            table = table.slice(cuts[-1])
+        held, size = table.combine_chunks().to_batches(), table.num_rows
+    if held:
+        yield from flush(pa.Table.from_batches(held))
+
+
+def _settle(threshold: float):
+    """Of the sets marked open, those to which an earlier one of their bucket
+    comes up to the threshold: of pairs that pass the filters all words are
+    compared, the most alike first."""
+    def flush(table):
+        word, second, digest, n, pos, rank = (c.to_numpy() for c in table.columns[:6])
+        still = table["still"].to_numpy()
+        maps = _Maps(table["map"].combine_chunks())
+        ends = np.cumsum(n)
+        words = table["words"].combine_chunks().flatten().to_numpy()
+        order = np.lexsort((digest, pos >> 32, rank, second, word))
+        pos = pos & 0xFFFFFFFF
+        w, t = word[order], second[order]
+        new = np.ones(len(w), bool)
+        new[1:] = (w[1:] != w[:-1]) | (t[1:] != t[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+        before = np.where(still[order], np.arange(len(w)) - first, 0)
+        rows, gone = np.flatnonzero(before), []
+        for s in _runs(before[rows], PAIRS):
+            y = rows[s]
+            k = before[y]
+            at = np.repeat(y, k)
+            x = order[first[at] + np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)]
+            x, at, apart = _near(threshold, n, pos, maps, x, order[at])
+            done = -1
+            for i in np.lexsort((apart, at)):
+                if at[i] == done:
                     continue
-                first = np.concatenate([[True], y[1:] != y[:-1]]) & ~seen[y]
-                rest = np.unique(y[~first])
-                seen[y] = True
-                a += [digest[y[first]], digest[rest]]
-                b += [digest[x[first]], digest[rest]]
-                more += [np.zeros(first.sum(), bool), np.ones(len(rest), bool)]
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b, more)], ["late", "early", "more"])
+                a, b = (words[ends[r] - n[r]:ends[r]] for r in (x[i], at[i]))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if both >= threshold * (len(a) + len(b) - both) - 1e-9:
+                    done = at[i]
+                    gone.append(digest[done])
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array(gone, dtype=np.int64)))], ["digest"])
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = cols if held is None else [np.concatenate(v) for v in zip(held, cols, strict=True)]
-            cuts = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0)) + 1
-            if len(cuts):
-                cuts = np.concatenate([[0], cuts])
-                yield from flush(held[2:], cuts)
-                held = [c[cuts[-1]:] for c in held]
-        if held is not None and len(held[0]):
-            yield from flush(held[2:], np.array([0, len(held[0])]))
+    return lambda batches: _buckets(batches, PAIRS // 16, flush)
 
-    return run
 
+def _runs(sizes: np.ndarray, most: int):
+    """Slices of rows whose sizes add up to about ``most``; one at least."""
+    if not len(sizes):
+        return
+    part = np.cumsum(sizes) // most
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(sizes)]])
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        yield slice(a, z)
 
-def _members(common, wanted, least: int):
+
+def _members(rarity, wanted, least: int):
     def run(batches):
         for b in batches:
             for _, _, counts, hashes in _lines(b.column(0).to_pylist()):
-                h, start, size = _sets(hashes, counts, common.value)
-                digest, _ = _identify(h, start, size)
+                words, start, size = _sets(hashes, counts, rarity.value)
+                digest, _ = _identify(words, start, size)
                 ok = size >= least
                 if wanted is not None:
-                    ok &= np.isin(digest, wanted.value)
+                    ok &= wanted.value[np.minimum(np.searchsorted(wanted.value, digest), len(wanted.value) - 1)] == digest if len(wanted.value) else False
                 at = np.flatnonzero(ok)
                 if not len(at):
                     continue
                 at = at[np.unique(digest[at], return_index=True)[1]]
-                n = size[at]
-                ends = np.cumsum(n)
-                words = h[np.repeat(start[at] - (ends - n), n) + np.arange(ends[-1])]
-                yield pa.RecordBatch.from_arrays([pa.array(digest[at]), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(words))], ["digest", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest[at]), _cut(words, start[at], size[at])], ["digest", "words"])
 
     return run
 
@@ -187,57 +296,60 @@ def line_matches(docs: DataFrame, scratch: Scratch, threshold: float, least: int
     """(doc_id, text_key, lines): the numbers of the lines to remove."""
     spark = docs.sparkSession
     texts = docs.select("text")
-    counted = scratch.keep(texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    got = counted.where(F.col("n") >= max(2.0, COMMON * total)).orderBy("word").toPandas()  # 1 / COMMON rows at most
-    common = spark.sparkContext.broadcast((got["word"].to_numpy(np.int64), got["n"].to_numpy(np.int64)))
-    scratch.drop(counted)
+    got = texts.mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # 2 ** SKETCH rows at most
+    counts = np.zeros(1 << SKETCH)
+    counts[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    rarity = spark.sparkContext.broadcast(np.ceil(np.log2(counts + 1)).clip(0, 63).astype(np.uint8))
 
     lines = scratch.keep(docs.select("doc_id", "text_key", "text").mapInArrow(
-        _prefixes(common, threshold, least), "doc_id long, text_key long, line int, digest long, bits long, n int, prefix array<long>"))
-    place = F.struct("doc_id", "text_key", "line")
-    sets = scratch.keep(lines.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("bits").alias("bits"),
+        _prefixes(rarity, threshold, least), "doc_id long, text_key long, line int, digest long, map binary, n int, prefix array<long>"))
+    place = F.struct("doc_id", "line", "text_key")
+    sets = scratch.keep(lines.groupBy("digest").agg(F.min(place).alias("first"), F.first("map").alias("map"),
                                                     F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     length = F.expr(f"n - cast(ceil({threshold!r} * n - 1e-9) as int) + 1")
-    words = sets.select("digest", "bits", "n", F.col("first.doc_id").alias("rank"), "prefix", F.posexplode(F.slice("prefix", F.lit(1), length)).alias("pos", "word"))
-    tally = words.groupBy("word").count().where("count > 1")
+    words = sets.select("digest", "map", "n", F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("rank"), F.col("first.line").alias("line"), "prefix",
+                        F.posexplode(F.slice("prefix", F.lit(1), length)).alias("pos", "word"))
+    # only words whose bucket of the sketch holds enough can be hot
+    tally = words.where(F.shiftright("word", HASH) >= F.lit(HOT.bit_length())).groupBy("word").count()
     hot = scratch.keep(tally.where(F.col("count") > HOT).select("word", F.lit(True).alias("hot")))
     words = words.join(F.broadcast(hot) if small(hot) else hot, "word", "left")
-    # under a hot word, sets meet by it and another word of the prefix
+    # sets are in the order of their first document, line and digest; under a
+    # hot word, sets meet by it and another word of the prefix
     words = words.withColumn("second", F.explode(F.when(F.col("hot"), F.array_except("prefix", F.array("word"))).otherwise(F.array(F.lit(0).cast("long")))))
-    rows = words.select("word", "second", "digest", "bits", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "rank")
-    rows = rows.repartition("word", "second").sortWithinPartitions("word", "second")
-
+    cols = ["word", "second", "digest", F.col("n").cast("long").alias("n"), F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("pos"), "rank", "map"]
+    rows = words.select(*cols)
+    dealt = lambda df: df.repartition("word", "second").sortWithinPartitions("word", "second")
     firsts = sets.select("digest", "first")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """late sets of pairs that reach the threshold, with the earlier one."""
-        ids = pairs.select(F.explode(F.array("late", "early")).alias("digest")).distinct()
-        ids = scratch.keep(ids)
+    def members(ids: DataFrame) -> DataFrame:
+        """All words of some sets."""
         wanted = None
         if small(ids, 1_000_000):
             wanted = spark.sparkContext.broadcast(np.sort(ids.toPandas()["digest"].to_numpy(np.int64)))
-        members = texts.mapInArrow(_members(common, wanted, least), "digest long, words array<long>")
+        got = texts.mapInArrow(_members(rarity, wanted, least), "digest long, words array<long>")
         if wanted is None:
-            members = members.join(ids, "digest", "left_semi")
-        members = scratch.keep(members.groupBy("digest").agg(F.first("words").alias("words")).join(firsts, "digest"))
-        side = lambda name: members.select(F.col("digest").alias(name), F.col("words").alias(f"w_{name}"), F.col("first").alias(f"f_{name}"))
-        both = F.size(F.array_intersect("w_late", "w_early"))
-        return (pairs.join(side("late"), "late").join(side("early"), "early")
-                .where(both >= threshold * (F.size("w_late") + F.size("w_early") - both) - 1e-9)
-                .select(F.when(F.col("f_early") < F.col("f_late"), F.col("late")).otherwise(F.col("early")).alias("digest")).distinct())
-
-    schema = "late long, early long, more boolean"
-    found = scratch.keep(rows.select("word", "second", "digest", "bits", "n", "pos", "rank").mapInArrow(_candidates(threshold, False), schema).distinct())
-    gone = scratch.keep(verified(found.where("not more").select("late", "early")))
-    # sets with candidates left whose earliest did not reach the threshold
+            got = got.join(ids, "digest", "left_semi")
+        return got.groupBy("digest").agg(F.first("words").alias("words"))
+
+    found = scratch.keep(dealt(rows).mapInArrow(_candidates(threshold, TRIED), "late long, early long, more boolean").distinct())
+    pairs = found.where("not more").select("late", "early")
+    some = scratch.keep(members(scratch.keep(pairs.select(F.explode(F.array("late", "early")).alias("digest")).distinct())))
+    side = lambda name: some.select(F.col("digest").alias(name), F.col("words").alias(f"w_{name}"))
+    both = F.size(F.array_intersect("w_late", "w_early"))
+    gone = scratch.keep(pairs.join(side("late"), "late").join(side("early"), "early")
+                        .where(both >= threshold * (F.size("w_late") + F.size("w_early") - both) - 1e-9).select(F.col("late").alias("digest")).distinct())
+    scratch.drop(some)
+    # sets with candidates left and none that reached the threshold
     open_ = scratch.keep(found.where("more").select(F.col("late").alias("digest")).distinct().join(gone, "digest", "left_anti"))
     if not open_.isEmpty():
-        met = rows.join(F.broadcast(open_) if small(open_) else open_, "digest", "left_semi").select("word", "second").distinct()
-        again = rows.join(met, ["word", "second"], "left_semi").repartition("word", "second").sortWithinPartitions("word", "second")
-        pairs = again.select("word", "second", "digest", "bits", "n", "pos", "rank").mapInArrow(_candidates(threshold, True), schema).select("late", "early").distinct()
-        pairs = scratch.keep(pairs.join(open_.withColumnRenamed("digest", "late"), "late", "left_semi"))
-        gone = scratch.keep(gone.unionByName(verified(pairs)).distinct())
+        mark = open_.withColumn("still", F.lit(True))
+        met = scratch.keep(rows.join(F.broadcast(open_) if small(open_) else open_, "digest", "left_semi").select("word", "second").distinct())
+        again = rows.join(F.broadcast(met) if small(met) else met, ["word", "second"], "left_semi")
+        again = again.join(F.broadcast(mark) if small(open_) else mark, "digest", "left").withColumn("still", F.coalesce("still", F.lit(False)))
+        full = scratch.keep(members(scratch.keep(again.select("digest").distinct())))
+        again = dealt(again.join(full, "digest").select("word", "second", "digest", "n", "pos", "rank", "map", "still", "words"))
+        gone = scratch.keep(gone.unionByName(again.mapInArrow(_settle(threshold), "digest long")).distinct())
+        scratch.drop(full)
     state = firsts.join(gone.withColumn("gone", F.lit(True)), "digest", "left")
     out = (lines.select("digest", "doc_id", "text_key", "line").join(state, "digest")
            .where(F.coalesce("gone", F.lit(False)) | ~place.eqNullSafe(F.col("first")))
@@ -257,15 +369,16 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, least: int = 5, id_col:
     to it, whether or not that one goes too. Lines of fewer than ``least``
     distinct words stay and match nothing.
 
-    Equal sets are grouped before they are joined. Words are 64-bit hashes,
-    ordered by rarity; sets meet by the words of their prefixes, pass the
+    Equal sets are grouped before they are joined. Words are hashes, ordered by
+    rarity; sets meet by the words of their prefixes, pass the
     length and positional filters and a bit map of their words, and are
     verified by all their words.
 
     Returns the rows of ``docs`` with the text that is left, and n_lines and
     n_removed (columns of these names are replaced). Null text stays null,
     with zeros; the empty text has one line. Null ids come first. Rows that
-    repeat id and text are one document, and stay alike. An empty table gives
+    repeat id and text are one document, and stay alike; of texts that share an
+    id, lines of one number go by their hashes. An empty table gives
     no rows; other columns stay. The memory of a task holds a chunk of lines
     and one bucket's rows.
     """
