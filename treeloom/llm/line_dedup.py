@@ -16,11 +16,11 @@ from .common import Scratch, small, text_of
 #: fixed size; only its power of two orders words, then their hashes do.
 SKETCH, HASH = 18, 38
 HOT = 2048
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 18
 #: So many candidates of a set are verified first; sets with more, none of
 #: which holds, have all theirs verified in a second round.
 TRIED = 4
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 
 
 def _lines(texts, at_once: int = CHUNK_WORDS):
@@ -202,7 +202,7 @@ def _candidates(threshold: float, tried: int):
         late, early, more = [*late, rest], [*early, rest], [*more, np.ones(len(rest), bool)]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (late, early, more)], ["late", "early", "more"])
 
-    return lambda batches: _buckets(batches, PAIRS // 2, flush)
+    return lambda batches: _buckets(batches, PAIRS, flush)
 
 
 def _buckets(batches, rows: int, flush):
@@ -226,42 +226,59 @@ def _buckets(batches, rows: int, flush):
         yield from flush(pa.Table.from_batches(held))
 
 
+def _open_pairs(threshold, table):
+    """Runs (early, late, bits apart) of rows: each set marked open with all the
+    earlier ones of its bucket that pass the filters."""
+    word, second, digest, n, pos, rank = (c.to_numpy() for c in table.columns[:6])
+    maps = _Maps(table["map"].combine_chunks())
+    order = np.lexsort((digest, pos >> 32, rank, second, word))
+    pos = pos & 0xFFFFFFFF
+    w, t = word[order], second[order]
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1]) | (t[1:] != t[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+    before = np.where(table["still"].to_numpy()[order], np.arange(len(w)) - first, 0)
+    rows = np.flatnonzero(before)
+    for s in _runs(before[rows], PAIRS):
+        y = rows[s]
+        k = before[y]
+        at = np.repeat(y, k)
+        x = order[first[at] + np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)]
+        yield _near(threshold, n, pos, maps, x, order[at])
+
+
+def _needed(threshold: float):
+    """The sets whose words the second round compares, each once a run."""
+    def flush(table):
+        digest, parts = table["digest"].to_numpy(), [np.zeros(0, np.int64)]
+        for x, y, _ in _open_pairs(threshold, table):
+            parts.append(np.unique(digest[np.concatenate([x, y])]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(parts)))], ["digest"])
+
+    return lambda batches: _buckets(batches, PAIRS, flush)
+
+
 def _settle(threshold: float):
     """Of the sets marked open, those to which an earlier one of their bucket
     comes up to the threshold: of pairs that pass the filters all words are
     compared, the most alike first."""
     def flush(table):
-        word, second, digest, n, pos, rank = (c.to_numpy() for c in table.columns[:6])
-        still = table["still"].to_numpy()
-        maps = _Maps(table["map"].combine_chunks())
-        ends = np.cumsum(n)
-        words = table["words"].combine_chunks().flatten().to_numpy()
-        order = np.lexsort((digest, pos >> 32, rank, second, word))
-        pos = pos & 0xFFFFFFFF
-        w, t = word[order], second[order]
-        new = np.ones(len(w), bool)
-        new[1:] = (w[1:] != w[:-1]) | (t[1:] != t[:-1])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
-        before = np.where(still[order], np.arange(len(w)) - first, 0)
-        rows, gone = np.flatnonzero(before), []
-        for s in _runs(before[rows], PAIRS):
-            y = rows[s]
-            k = before[y]
-            at = np.repeat(y, k)
-            x = order[first[at] + np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)]
-            x, at, apart = _near(threshold, n, pos, maps, x, order[at])
+        digest, ends = table["digest"].to_numpy(), np.cumsum(table["n"].to_numpy())
+        words, gone = table["words"].combine_chunks().flatten().to_numpy(), []
+        start = ends - table["n"].to_numpy()
+        for x, at, apart in _open_pairs(threshold, table):
             done = -1
             for i in np.lexsort((apart, at)):
                 if at[i] == done:
                     continue
-                a, b = (words[ends[r] - n[r]:ends[r]] for r in (x[i], at[i]))
+                a, b = (words[start[r]:ends[r]] for r in (x[i], at[i]))
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 if both >= threshold * (len(a) + len(b) - both) - 1e-9:
                     done = at[i]
                     gone.append(digest[done])
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array(gone, dtype=np.int64)))], ["digest"])
 
-    return lambda batches: _buckets(batches, PAIRS // 16, flush)
+    return lambda batches: _buckets(batches, PAIRS // 4, flush)
 
 
 def _runs(sizes: np.ndarray, most: int):
@@ -346,8 +363,10 @@ def line_matches(docs: DataFrame, scratch: Scratch, threshold: float, least: int
         met = scratch.keep(rows.join(F.broadcast(open_) if small(open_) else open_, "digest", "left_semi").select("word", "second").distinct())
         again = rows.join(F.broadcast(met) if small(met) else met, ["word", "second"], "left_semi")
         again = again.join(F.broadcast(mark) if small(open_) else mark, "digest", "left").withColumn("still", F.coalesce("still", F.lit(False)))
-        full = scratch.keep(members(scratch.keep(again.select("digest").distinct())))
-        again = dealt(again.join(full, "digest").select("word", "second", "digest", "n", "pos", "rank", "map", "still", "words"))
+        cols = ["word", "second", "digest", "n", "pos", "rank", "map", "still"]
+        needed = scratch.keep(dealt(again.select(*cols)).mapInArrow(_needed(threshold), "digest long").distinct())
+        full = scratch.keep(members(needed))
+        again = dealt(again.join(full, "digest").select(*cols, "words"))
         gone = scratch.keep(gone.unionByName(again.mapInArrow(_settle(threshold), "digest long")).distinct())
         scratch.drop(full)
     state = firsts.join(gone.withColumn("gone", F.lit(True)), "digest", "left")

@@ -41,7 +41,7 @@ class Known(dict):
     and the one older is dropped: so the size is bounded.
     """
 
-    CACHED, LONGEST = 250_000, 48
+    CACHED, LONGEST = 150_000, 48
 
     def __init__(self, ids_of, count: int):
         super().__init__()
