@@ -73,8 +73,10 @@ def _sets(hashes: np.ndarray, counts: np.ndarray, rarity: np.ndarray):
     return (np.concatenate(words) if words else np.zeros(0, np.uint64)), np.cumsum(size) - size, size
 
 
-def _identify(words: np.ndarray, start: np.ndarray, size: np.ndarray):
-    """(digest, map) of each set: a sum of mixed words, and a bit for each word
+def _identify(words: np.ndarray, start: np.ndarray, size: np.ndarray, hashes: np.ndarray, counts: np.ndarray):
+    """(digest, map) of each set: a sum of mixed words, with the least, the
+    greatest, the union and the intersection of its whole hashes, so that sets
+    of few words do not rest on HASH bits; and a bit for each word
     in two to four times as many bits as there are words, a power of two. Two
     sets differ in as many words as bits, or more; the wider of two maps is
     folded to the other's width."""
@@ -85,6 +87,10 @@ def _identify(words: np.ndarray, start: np.ndarray, size: np.ndarray):
     some = np.flatnonzero(size)
     if len(some):
         digest[some] = np.add.reduceat(mixed, start[some])
+        at = (np.cumsum(counts) - counts)[some]
+        for by, odd in ((np.minimum, 0x9E3779B97F4A7C15), (np.maximum, 0xC2B2AE3D27D4EB4F), (np.bitwise_or, 0x165667B19E3779F9), (np.bitwise_and, 0xD6E8FEB86659FD93)):
+            whole = by.reduceat(hashes, at) * np.uint64(odd)
+            digest[some] += whole ^ (whole >> np.uint64(31))
     width = (np.int64(1) << np.ceil(np.log2(np.clip(2 * size, 64, 1 << 15))).astype(np.int64))
     ends = np.cumsum(width)
     bits = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=bool)
@@ -137,7 +143,7 @@ def _prefixes(rarity, threshold: float, least: int):
             keys = b.column(1).to_numpy(zero_copy_only=False)
             for docs, numbers, counts, hashes in _lines(b.column(2).to_pylist()):
                 words, start, size = _sets(hashes, counts, rarity.value)
-                digest, bits = _identify(words, start, size)
+                digest, bits = _identify(words, start, size, hashes, counts)
                 at = np.flatnonzero(size >= least)
                 if not len(at):
                     continue
@@ -296,7 +302,7 @@ def _members(rarity, wanted, least: int):
         for b in batches:
             for _, _, counts, hashes in _lines(b.column(0).to_pylist()):
                 words, start, size = _sets(hashes, counts, rarity.value)
-                digest, _ = _identify(words, start, size)
+                digest, _ = _identify(words, start, size, hashes, counts)
                 ok = size >= least
                 if wanted is not None:
                     ok &= wanted.value[np.minimum(np.searchsorted(wanted.value, digest), len(wanted.value) - 1)] == digest if len(wanted.value) else False
@@ -323,8 +329,9 @@ def line_matches(docs: DataFrame, scratch: Scratch, threshold: float, least: int
     place = F.struct("doc_id", "line", "text_key")
     sets = scratch.keep(lines.groupBy("digest").agg(F.min(place).alias("first"), F.first("map").alias("map"),
                                                     F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    # a set of n words that cannot match one of n + 1 matches only equal sets
     length = F.expr(f"n - cast(ceil({threshold!r} * n - 1e-9) as int) + 1")
-    words = sets.select("digest", "map", "n", F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("rank"), F.col("first.line").alias("line"), "prefix",
+    words = sets.where(F.col("n") / (F.col("n") + 1) >= threshold - 1e-9).select("digest", "map", "n", F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("rank"), F.col("first.line").alias("line"), "prefix",
                         F.posexplode(F.slice("prefix", F.lit(1), length)).alias("pos", "word"))
     # only words whose bucket of the sketch holds enough can be hot
     tally = words.where(F.shiftright("word", HASH) >= F.lit(HOT.bit_length())).groupBy("word").count()
@@ -379,14 +386,14 @@ def line_matches(docs: DataFrame, scratch: Scratch, threshold: float, least: int
     return out
 
 
-def dedup_lines(docs: DataFrame, threshold: float = 0.8, least: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove lines that match an earlier line of the corpus.
 
     A line is the set of its words (A-Z lower-cased, between ASCII white
     space). Lines are in order of document id, then of their numbers; a line
     goes if any earlier one has a Jaccard similarity of ``threshold`` or more
     to it, whether or not that one goes too. Lines of fewer than ``least``
-    distinct words stay and match nothing.
+    distinct words stay and match nothing; at 1 these are the blank lines.
 
     Equal sets are grouped before they are joined. Words are hashes, ordered by
     rarity; sets meet by the words of their prefixes, pass the
