@@ -14,6 +14,10 @@ CACHED, LONGEST = 300_000, 64
 WORD_START = "▁"
 
 
+def _spelt(ch: str) -> int:
+    return len(ch.encode("utf-8", "surrogatepass"))
+
+
 class LongestMatch:
     """Counts greedy longest-match pieces without building them.
 
@@ -22,10 +26,14 @@ class LongestMatch:
     the node of what is left when the pieces that greedy matching is by then
     sure of are popped; how many it pops is stored with it. Each character
     moves down the trie once, so a word costs time in proportion to its length.
-    A word with no full match counts as one unknown token.
+    The empty string in ``first`` is the lone mark: a word of which no other
+    piece begins with the mark is it and what continues. With ``spell`` a
+    character without a piece counts as its UTF-8 bytes; else a word with no
+    full match counts as one unknown token.
     """
 
-    def __init__(self, first: set[str], rest: set[str]):
+    def __init__(self, first: set[str], rest: set[str], spell: bool = False):
+        self.spell = spell
         self.next: list[dict[str, int]] = [{}, {}]
         ends = [False, False]
         for root, pieces in ((0, first), (1, rest)):
@@ -42,6 +50,8 @@ class LongestMatch:
                     ends[at] = True
         size = len(self.next)
         self.fail, self.pops = [-1] * size, [0] * size
+        if "" in first:
+            self.fail[0], self.pops[0] = 1, 1
         queue = deque((root, ch, to) for root in (0, 1) for ch, to in self.next[root].items())
         while queue:
             up, ch, at = queue.popleft()
@@ -54,6 +64,8 @@ class LongestMatch:
                     z = self.fail[z]
                 if z >= 0:
                     self.fail[at], self.pops[at] = self.next[z][ch], n
+                elif spell and (up > 0 or "" in first):
+                    self.fail[at], self.pops[at] = 1, n + _spelt(ch)
             queue.extend((at, c, to) for c, to in self.next[at].items())
         self.cache: dict[bytes, int] = {}
 
@@ -64,6 +76,9 @@ class LongestMatch:
             to = nxt[at].get(ch)
             while to is None:
                 n += pops[at]
+                if at == 1 and self.spell:
+                    n, to = n + _spelt(ch), 1
+                    break
                 at = fail[at]
                 if at < 0:
                     return -1
@@ -97,20 +112,23 @@ class LongestMatch:
 
 @functools.cache
 def automaton(path: str) -> LongestMatch:
-    """From a sentence-piece file: pieces with the word mark begin a word, the
-    others continue one; control and byte pieces are left out."""
+    """From a sentence-piece file: greedy longest match of mark + word over all
+    pieces; the byte pieces spell characters that have none. Control pieces
+    are no text."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-    return LongestMatch({p[1:] for p in pieces if p.startswith(WORD_START)}, {p for p in pieces if not p.startswith(WORD_START)})
+    ids = range(sp.get_piece_size())
+    pieces = {sp.id_to_piece(i) for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    return LongestMatch({p[1:] for p in pieces if p.startswith(WORD_START)}, pieces, sum(map(sp.is_byte, ids)) == 256)
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_tokens, n_unknown) of every whole text.
 
     Words are runs without ASCII white space. Null text counts as empty, with
-    zeros; a word without a full match counts as one token; null and repeated
+    zeros; a word without a full match, which a vocabulary with byte pieces does
+    not leave, counts as one token; null and repeated
     ids are kept as they are; an empty table gives no rows; other columns are
     ignored. The table of known words is bounded.
     """
