@@ -13,7 +13,7 @@ from treeloom.llm.language_id import identify, learn
 from treeloom.llm.line_dedup import dedup_lines
 from treeloom.llm.mixing import mix
 from treeloom.llm.queries import vocabulary
-from treeloom.llm.simhash import simhash_groups
+from treeloom.llm.simhash import similar_groups
 
 #: A margin of 0 rejects only texts without letters or a learned language.
 MIN_MARGIN = 0.0
@@ -31,10 +31,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group. The
-    groups' table has a row for each document; texts are not grouped."""
-    groups = simhash_groups(docs, shingle=5, budget=3)
-    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    """The document with the smallest id of each group of documents linked by a
+    Jaccard similarity of 0.8 or more of their 5-word shingles. The groups'
+    table has a row for each document; texts are not grouped."""
+    groups = similar_groups(docs, shingle=5, similarity=0.8)
+    low = groups.groupBy("group").agg(F.min("doc_id").alias("__id"))
+    stays = low.select("__id").distinct()
     return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
 

@@ -8,36 +8,49 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small, text_of
 from .components import connected_components, forest
 
 BITS = 64
 CHUNK, HELD = 1 << 14, 1 << 18
 SLICE = 1 << 16
+#: Min-hashes of a set of shingles in BANDS bands of WIDTH: of two sets with a
+#: Jaccard similarity of 0.8 no band agrees with a chance of 3e-6.
+BANDS, WIDTH, MINHASHED = 32, 5, 1 << 12
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """64-bit SimHash: a bit is set if set in over half the shingle hashes."""
+def _shingles(text: str | None, shingle: int):
+    """Hashes of a text's shingles in order, in runs of at most SLICE."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII space only
     if not words:
-        return 0
+        return
     if len(words) < shingle:
         grams = iter([b" ".join(words)])
     else:
         grams = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
-    total, ones, digest = 0, np.zeros(BITS, dtype=np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     while True:
         part = [digest(g, 42) for g, _ in zip(grams, range(SLICE), strict=False)]
-        if not part:
-            break
-        h = np.array(part, dtype=np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        total += len(part)
+        if part:
+            yield np.array(part, dtype=np.uint64)
         if len(part) < SLICE:
             break
+
+
+def _majority(parts) -> int:
+    """The bits that are set in over half of some hashes."""
+    total, ones = 0, np.zeros(BITS, dtype=np.int64)
+    for h in parts:
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += len(h)
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    """64-bit SimHash: a bit is set if set in over half the shingle hashes."""
+    return _majority(_shingles(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint's 64 bits as a bigint."""
     def run(batches):
@@ -182,3 +195,139 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, budget: int = 3, id_col: s
     low = label.groupBy("component").agg(F.min("rep").alias("component_id"))
     label = label.join(low, "component").select("fp", "component_id")
     return fps.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _bands(h: np.ndarray) -> np.ndarray:
+    """A key for each band of min-hashes of a set of hashes."""
+    r = np.random.default_rng(64)
+    turn, odd = (r.integers(0, 1 << 63, (BANDS * WIDTH, 1), dtype=np.uint64) for _ in range(2))
+    odd = odd << np.uint64(1) | np.uint64(1)
+    low = np.full(BANDS * WIDTH, np.uint64((1 << 64) - 1))
+    for i in range(0, len(h), MINHASHED):
+        low = np.minimum(low, ((h[None, i:i + MINHASHED] ^ turn) * odd).min(axis=1))
+    low = (low ^ (low >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    key = (low * odd[::-1, 0]).reshape(BANDS, WIDTH).sum(axis=1, dtype=np.uint64)
+    return (key ^ (key >> np.uint64(32))).view(np.int64)
+
+
+def _digest(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)
+
+
+def _set(text: str | None, shingle: int) -> np.ndarray:
+    parts = list(_shingles(text, shingle))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def _sketches(shingle: int, similarity: float):
+    def run(batches):
+        for b in batches:
+            digests, fps, bands = [], [], []
+            for t in b.column(2).to_pylist():
+                parts = list(_shingles(t, shingle))
+                h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+                digests.append(_digest(h))
+                fps.append(_majority(parts))
+                # smaller sets match only equal ones
+                bands.append(_bands(h) if len(h) and len(h) / (len(h) + 1) >= similarity - 1e-9 else np.zeros(0, np.int64))
+            ends = pa.array(np.cumsum([0, *map(len, bands)]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(digests, pa.int64()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bands) if bands else [], pa.int64()))],
+                ["doc_id", "text_key", "digest", "fp", "bands"])
+
+    return run
+
+
+def joined(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Of each of some distinct sets the first one that is reachable through
+    pairs of a Jaccard similarity of ``similarity`` or more.
+
+    A set is compared, over an inverted index, with all that no earlier one
+    reached; the index is rebuilt as these halve.
+    """
+    n = np.array([len(h) for h in sets], dtype=np.int64)
+    label = np.full(len(sets), -1, np.int64)
+    left, indexed = len(sets), 0
+    for first in range(len(sets)):
+        if label[first] >= 0:
+            continue
+        label[first], queue = first, [first]
+        left -= 1
+        while queue and left:
+            if not indexed or 2 * left < indexed:
+                at = np.flatnonzero(label < 0)
+                vals, own, indexed = np.concatenate([sets[i] for i in at]), np.repeat(at, n[at]), left
+                order = np.argsort(vals, kind="stable")
+                vals, own = vals[order], own[order]
+            x = queue.pop()
+            lo, hi = np.searchsorted(vals, sets[x], "left"), np.searchsorted(vals, sets[x], "right")
+            k = hi - lo
+            met = own[np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+            ids, both = np.unique(met[label[met] < 0], return_counts=True)
+            hit = ids[both >= similarity * (n[x] + n[ids] - both) - 1e-9]
+            label[hit] = first
+            queue += hit.tolist()
+            left -= len(hit)
+    return label
+
+
+def _joined(shingle: int, similarity: float):
+    """(digest, kept) of the sets of each component, whose rows lie together."""
+    def settle(texts: dict):
+        digests = sorted(texts)
+        label = joined([texts[d] for d in digests], similarity)
+        return digests, [digests[i] for i in label]
+
+    def run(batches):
+        at, texts = None, {}
+        for b in batches:
+            out = []
+            for component, digest, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if component != at:
+                    out.append(settle(texts))
+                    at, texts = component, {}
+                if digest not in texts:
+                    texts[digest] = _set(text, shingle)
+            yield pa.RecordBatch.from_arrays([pa.array([v for got in out for v in got[i]], pa.int64()) for i in (0, 1)], ["digest", "group"])
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in settle(texts)], ["digest", "group"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of texts whose sets of shingles are alike.
+
+    Returns one row per input row: doc_id, text_key (a hash of the text) and
+    group. Texts are of one group that are reachable through pairs with a
+    Jaccard similarity of ``similarity`` or more. Candidates are the trie
+    join's links within ``budget`` differing bits, which alone find only the
+    most alike, and texts that agree in a band of min-hashes; a pair of 0.8 is
+    in none with a chance of 3e-6. Candidates only say which texts are looked
+    at together: all pairs of a candidates' component are then settled by their
+    whole sets, so no pair below ``similarity`` links.
+
+    Texts without words are alike; otherwise as in simhash_groups. A task holds
+    the sets of one component of candidates, equal ones once.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text"))
+    rows = scratch.keep(texts.mapInArrow(_sketches(shingle, similarity), "doc_id long, text_key long, digest long, fp long, bands array<long>"))
+    sets = scratch.keep(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    bands = sets.select("digest", F.posexplode("bands").alias("band", "key"))
+    low = bands.groupBy("band", "key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high")
+    low = scratch.keep(low.select("band", "key", "low"))
+    met = bands.join(F.broadcast(low) if small(low) else low, ["band", "key"]).select(F.col("digest").alias("a"), F.col("low").alias("b"))
+    reps = scratch.keep(sets.groupBy("fp").agg(F.min("digest").alias("low")))
+    near = near_links(reps.select("fp"), budget)
+    near = near.join(reps.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(reps.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
+    same = sets.select("digest", "fp").join(reps, "fp").where("digest <> low").select("digest", "low")
+    comp = scratch.keep(connected_components(met.unionByName(near.toDF("a", "b")).unionByName(same.toDF("a", "b")).where("a <> b").distinct(), scratch))
+    wanted = scratch.keep(sets.join(comp, sets["digest"] == comp["node"]).select("digest", "component", F.col("at.doc_id").alias("__id"), F.col("at.text_key").alias("__key")))
+    looked = texts.join(F.broadcast(wanted) if small(wanted) else wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")))
+    looked = looked.select("component", "digest", "text").repartition("component").sortWithinPartitions("component")
+    group = scratch.keep(looked.mapInArrow(_joined(shingle, similarity), "digest long, group long"))
+    out = scratch.keep(rows.select("doc_id", "text_key", "digest").join(F.broadcast(group) if small(group) else group, "digest", "left")
+                       .select("doc_id", "text_key", F.coalesce("group", "digest").alias("group")))
+    for t in (rows, sets, low, reps, comp, wanted, group):
+        scratch.drop(t)
+    return out
