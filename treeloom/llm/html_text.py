@@ -34,6 +34,7 @@ UNLIKELY = frozenset(
     "ad ads advert adverts advertisement advertising advertorial adsense alert alertdialog banner breadcrumb breadcrumbs combx comment comments complementary contentinfo cookie cookies consent "
     "disclaimer discussion disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification notifications outbrain overlay pagination pager paywall popup "
     "promo promoted promotion related replies reply respond rss search share sharing shoutbox sidebar signup skyscraper social sponsor sponsored subscribe subscription taboola toolbar widget".split())
+LISTS = frozenset("ul ol dl dir".split())
 TRUSTED = frozenset(["html", "body", "article", "main"])
 BLOCK_LENGTH, COMMA, SHARE = 25, ",，、،", 0.2
 
@@ -164,8 +165,8 @@ def main_text(page: str | None) -> str:
     length to its parent, half to the next ancestor and less to each further
     one, all discounted by the share of its text in links. The container with
     most points after its own discount is kept, or the article round it, with
-    the siblings that score a fifth of it or read like paragraphs. Blocks of
-    mostly links are left out.
+    the siblings that score a fifth of it or read like paragraphs. Of these all
+    blocks are kept but menus: lists of two items or more, each mostly links.
     """
     if not page:
         return ""
@@ -189,25 +190,30 @@ def main_text(page: str | None) -> str:
                 up, level = up.up, level + 1
     dense = lambda n: n.links / n.chars if n.chars else 0.0
     linked = lambda n: n.chars and n.links > 0.5 * n.chars
+
+    def menu(n):
+        items = [k for k in n.kids if type(k) is Node and not k.drop and k.chars] if n.name in LISTS and linked(n) else []
+        return len(items) > 1 and all(map(linked, items))
+
     final = {id(n): n.score * (1 - dense(n)) for n in nodes}
     best = max(nodes, key=lambda n: final[id(n)])
     if final[id(best)] <= 0:
-        return _text([root], linked)
+        return _text([root], menu)
     while best.up is not None and best.up.up is not None and final[id(best.up)] >= 0.75 * final[id(best)]:
         best = best.up
     up = best
     while up is not None and up.name != "article":
         up = up.up
     if up is not None:
-        return _text([up], linked)
+        return _text([up], menu)
     if best.up is None:
-        return _text([best], linked)
+        return _text([best], menu)
     keep, least = [], max(1.0, SHARE * final[id(best)])
     for k in best.up.kids:
         if k is best or type(k) is Node and not k.drop and (
                 final[id(k)] >= least or k.name in ("p", "pre", "blockquote", "h1", "h2", "h3") and k.chars and dense(k) < 0.25):
             keep.append(k)
-    return _text(keep, linked)
+    return _text(keep, menu)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
