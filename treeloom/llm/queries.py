@@ -17,6 +17,11 @@ from .token_counts import count_tokens
 from .token_files import token_checks, token_files
 
 
+#: Narrower margins than this share of the bytes are rejected: texts that two
+#: dictionaries shorten alike.
+MIN_MARGIN = 0.01
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file."""
     import public_tokenizers
@@ -65,7 +70,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     learned = learn(docs.where(~held_out()))
-    got = identify(docs.select("doc_id", "text"), learned)
+    got = identify(docs.select("doc_id", "text"), learned, min_margin=MIN_MARGIN)
     return got.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
 
 
