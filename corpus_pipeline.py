@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from treeloom.llm.byte_bpe import round_trip
-from treeloom.llm.common import Scratch
+from treeloom.llm.common import Scratch, text_of
 from treeloom.llm.language_id import identify, learn
 from treeloom.llm.line_dedup import dedup_lines
 from treeloom.llm.mixing import mix
@@ -31,13 +31,22 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of documents linked by a
-    Jaccard similarity of 0.8 or more of their 5-word shingles. The groups'
-    table has a row for each document; texts are not grouped."""
-    groups = similar_groups(docs, shingle=5, similarity=0.8)
-    low = groups.groupBy("group").agg(F.min("doc_id").alias("__id"))
-    stays = low.select("__id").distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One document of each group of documents linked by a Jaccard similarity of
+    0.8 or more of their 5-word shingles: the one with the smallest id, then
+    hash of its text. Null ids come last, so a group of null ids keeps one of
+    them; of rows that repeat id and text one stays. The groups' table has a
+    row for each document; texts are not grouped."""
+    scratch = Scratch(spark, "stays")
+    rows = similar_groups(docs, shingle=5, similarity=0.8).groupBy("group", "doc_id", "text_key").count()
+    low = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "count")).alias("at"))
+    stays = scratch.keep(low.select(F.col("at.doc_id").alias("__id"), F.col("at.text_key").alias("__key"), (F.col("at.count") > 1).alias("__more")))
+    keyed = docs.withColumn("__key2", F.xxhash64(text_of("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key2") == F.col("__key"))
+    single = keyed.join(stays.where("not __more"), same, "left_semi")
+    # only rows that repeat id and text are numbered
+    order = W.partitionBy("doc_id", "__key2").orderBy(F.xxhash64(*docs.columns))
+    more = keyed.join(stays.where("__more"), same, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    return single.select(*docs.columns).unionByName(more.select(*docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
