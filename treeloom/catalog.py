@@ -52,6 +52,9 @@ q("q_explode", "$.embeddings.map({vec_id, d: embedding[0:4]}).explode(d).map({ve
 q("q_implode", "$.orders.map({o_custkey, o_orderkey}).implode(o_orderkey).map({o_custkey, keys: o_orderkey.join(',')})",
   "SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS keys FROM orders GROUP BY o_custkey")
 q("q_flatten", "$.embeddings.map(embedding[0:2]).flatten().map(@ as float)", "SELECT CAST(unnest(embedding[1:2]) AS DOUBLE) AS value FROM embeddings")
+q("q_explode_whole", "$.embeddings.map({vec_id, d: embedding}).explode(d).map({vec_id, d: d as float})",
+  "SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS d FROM embeddings")
+q("q_flatten_whole", "$.embeddings.map(embedding).flatten().map(@ as float)", "SELECT CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings")
 q("q_collect", "$.nation.collect().map(n_name)", "SELECT n_name AS value FROM nation")
 q("q_enumerate", "$.events.map(event_type).enumerate()", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS index, event_type AS value FROM events")
 q("q_pairwise", "$.events.map(event_id).pairwise().map({a: @[0], b: @[1]})", "SELECT * FROM (SELECT event_id AS a, lead(event_id) OVER (ORDER BY event_id) AS b FROM events) WHERE b IS NOT NULL")
@@ -90,6 +93,10 @@ q("q_max_by_group", "$.orders.group_shape(o_custkey, {best: @.max_by(o_totalpric
 q("q_sort_multi", "$.part.sort(-p_size, p_name).take(12).map({p_partkey, p_name})", "SELECT p_partkey, p_name FROM part ORDER BY p_size DESC, p_name, p_partkey LIMIT 12")
 q("q_sort_scalars", "$.customer.map(c_acctbal).sort().take(4)", "SELECT c_acctbal AS value FROM customer ORDER BY c_acctbal LIMIT 4")
 q("q_reverse", "$.nation.reverse().take(3).map(n_name)", "SELECT n_name AS value FROM nation ORDER BY n_nationkey DESC LIMIT 3")
+q("q_sort_multi_whole", "$.part.sort(-p_size, p_name).map(p_partkey).enumerate()",
+  "SELECT row_number() OVER (ORDER BY p_size DESC, p_name, p_partkey) - 1 AS index, p_partkey AS value FROM part")
+q("q_sort_scalars_whole", "$.customer.map(c_acctbal).sort().enumerate()", "SELECT row_number() OVER (ORDER BY c_acctbal) - 1 AS index, c_acctbal AS value FROM customer")
+q("q_reverse_whole", "$.events.reverse().map(event_type).enumerate()", "SELECT row_number() OVER (ORDER BY event_id DESC) - 1 AS index, event_type AS value FROM events")
 q("q_unique", "$.part.map(p_brand).unique()", "SELECT DISTINCT p_brand AS value FROM part")
 q("q_unique_by", "$.customer.unique_by(c_nationkey).map(c_custkey)", "SELECT min(c_custkey) AS value FROM customer GROUP BY c_nationkey")
 q("q_append", "$.region.map(r_name).append('NOWHERE')", "SELECT r_name AS value FROM region UNION ALL SELECT 'NOWHERE'")
