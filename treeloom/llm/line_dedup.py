@@ -2,209 +2,309 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, small, text_of
 
 #: Rarity comes from counts in 2 ** SKETCH buckets of word hashes, a table of
-#: fixed size; only its power of two orders words, then their hashes do.
-SKETCH, HASH = 18, 38
-HOT = 2048
-CHUNK_WORDS = 1 << 18
+#: fixed size whatever the corpus; it is summed in chunks of 2 ** CHUNK.
+SKETCH, CHUNK = 22, 16
+#: A word's place in the order: LEVEL bits of rarity, then its hash.
+LEVEL = 7
+#: Words of more sets than HOT meet by pairs of words; buckets of still more
+#: are dealt to cells of two parts of about HOT sets. Neither changes results.
+HOT = 4096
+#: Bytes of texts cut at once; a longer text is cut alone.
+SECTION = 1 << 20
 #: So many candidates of a set are verified first; sets with more, none of
 #: which holds, have all theirs verified in a second round.
 TRIED = 4
-PAIRS = 1 << 18
-
-
-def _lines(texts, at_once: int = CHUNK_WORDS):
-    """Chunks (document, line, words, hashes): of each line its document and
-    number and how many words it has; the words' hashes lie end to end."""
-    docs, numbers, counts, hashes = [], [], [], []
-    digest = xxhash.xxh64_digest
-    for d, text in enumerate(texts):
-        lines = [x.split() for x in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
-        docs.append(np.full(len(lines), d))
-        numbers.append(np.arange(len(lines)))
-        counts += map(len, lines)
-        hashes += map(digest, chain.from_iterable(lines))
-        if len(hashes) >= at_once or len(counts) >= at_once:
-            yield np.concatenate(docs), np.concatenate(numbers), np.array(counts), np.frombuffer(b"".join(hashes), dtype=">u8").astype(np.uint64)
-            docs, numbers, counts, hashes = [], [], [], []
-    if docs:
-        yield np.concatenate(docs), np.concatenate(numbers), np.array(counts), np.frombuffer(b"".join(hashes), dtype=">u8").astype(np.uint64)
+PAIRS = 1 << 20
+
+#: Longer words are hashed one at a time.
+LONG = 256
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def _mix(h: np.ndarray, odd: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(odd)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _words(raw: np.ndarray, opens: np.ndarray):
+    """(starts, stops, hashes) of the words of some bytes, A-Z as a-z; no word
+    reaches across the places in ``opens``."""
+    inside = (raw != 32) & ((raw - np.uint8(9)) > np.uint8(4))
+    cut = np.zeros(len(raw) + 1, dtype=bool)
+    cut[opens] = True
+    shut = ~inside
+    start = inside.copy()
+    start[1:] &= shut[:-1] | cut[1:-1]
+    inside[:-1] &= shut[1:] | cut[1:-1]
+    a, z = np.flatnonzero(start), np.flatnonzero(inside) + 1
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[:len(raw)] = raw + ((raw - np.uint8(65)) < np.uint8(26)) * np.uint8(32)
+    # eight bytes from each place on
+    eight = np.ndarray(len(raw), dtype="<u8", buffer=padded, strides=(1,))
+    size = z - a
+    hashes = _mix((eight[a] & _KEEP[np.minimum(size, 8)]) ^ (size.astype(np.uint64) << np.uint64(56)), 0xD6E8FEB86659FD93)
+    more = np.flatnonzero((size > 8) & (size <= LONG))
+    at = 8
+    while len(more):
+        part = eight[a[more] + at] & _KEEP[np.minimum(size[more] - at, 8)]
+        hashes[more] = _mix(hashes[more] * np.uint64(0x9E3779B97F4A7C15) + part, 0xD6E8FEB86659FD93)
+        at += 8
+        more = more[size[more] > at]
+    for k in np.flatnonzero(size > LONG):
+        hashes[k] = xxhash.xxh64_intdigest(padded[a[k]:z[k]].tobytes(), seed=1)
+    return a, z, hashes
+
+
+def _lines(texts: pa.Array, at_once: int = SECTION):
+    """Chunks (texts, numbers, starts, stops, counts, words) of a column: of
+    each line its text, number, bytes and number of words; and of the words
+    (starts, stops, hashes), end to end."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    if not len(texts):
+        return
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    first = 0
+    while first < len(texts):
+        last = max(int(np.searchsorted(offsets, offsets[first] + at_once, "right")) - 1, first + 1)
+        lo = offsets[first]
+        raw, opens = data[lo:offsets[last]], offsets[first:last + 1] - lo
+        breaks = np.flatnonzero(raw == 10)
+        of = np.concatenate([np.arange(last - first), np.searchsorted(opens[1:], breaks, "right")])
+        by = np.argsort(of, kind="stable")
+        text, start = of[by], np.concatenate([opens[:-1], breaks + 1])[by]
+        head = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        number = np.arange(len(text)) - np.repeat(head, np.diff(np.append(head, len(text))))
+        stop = np.append(start[1:] - 1, len(raw))
+        ends = np.append(head[1:] - 1, len(text) - 1)
+        stop[ends] = opens[1:]  # a text's last line has no line end
+        if len(raw):
+            a, z, hashes = _words(raw, opens[:-1][opens[:-1] < len(raw)])
+        else:
+            a = z = np.zeros(0, np.int64)
+            hashes = np.zeros(0, np.uint64)
+        counts = np.diff(np.append(np.searchsorted(a, start), len(a)))
+        yield text + first, number, raw, start, stop, counts, hashes
+        first = last
+
+
+def _zip(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
+def _unzip(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
+
+
+def _chunks(table: np.ndarray, size: int):
+    """Rows (chunk, data) of the parts of a table that hold anything."""
+    parts = table.reshape(-1, size)
+    at = np.flatnonzero(parts.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([_zip(parts[k]) for k in at], pa.binary())], ["chunk", "data"])
+
+
+def _folded(rows: DataFrame, fold, kind) -> DataFrame:
+    """The parts of each chunk made one by ``fold``, a chunk at a time."""
+    def run(batches):
+        chunk, held = None, None
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part = _unzip(data, kind)
+                if k != chunk:
+                    if held is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([_zip(held)], pa.binary())], ["chunk", "data"])
+                    chunk, held = k, part.copy()
+                else:
+                    held = fold(held, part)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([_zip(held)], pa.binary())], ["chunk", "data"])
+
+    return rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk int, data binary")
 
 
 def _count(batches):
-    total = np.zeros(1 << SKETCH, dtype=np.int64)
+    total = np.zeros(1 << SKETCH, dtype=np.uint64)
     for b in batches:
-        for *_, hashes in _lines(b.column(0).to_pylist()):
-            total += np.bincount((hashes >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["bucket", "n"])
+        for *_, hashes in _lines(b.column(0)):
+            at, n = np.unique((hashes >> np.uint64(64 - SKETCH)).astype(np.int64), return_counts=True)
+            total[at] += n.astype(np.uint64)
+    yield _chunks(total, 1 << CHUNK)
+
+
+def _levels(texts: DataFrame) -> np.ndarray:
+    """A level for each bucket of the sketch: 0 for words met once at most,
+    then four steps to each power of two. At most 2 ** SKETCH bytes come to
+    the driver, whatever the corpus holds."""
+    def level(batches):
+        for b in batches:
+            data = []
+            for v in b.column(1).to_pylist():
+                n = _unzip(v, np.uint64)
+                data.append(np.where(n > 1, np.clip(np.ceil(4 * np.log2(np.maximum(n, 1))) - 3, 1, (1 << LEVEL) - 1), 0).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["chunk", "data"])
+
+    counts = _folded(texts.mapInArrow(_count, "chunk int, data binary"), np.add, np.uint64)
+    table = np.zeros(1 << SKETCH, dtype=np.uint8)
+    for row in counts.mapInArrow(level, "chunk int, data binary").collect():  # a byte for each bucket
+        table[row["chunk"] << CHUNK:(row["chunk"] + 1) << CHUNK] = np.frombuffer(bytes(row["data"]), np.uint8)
+    return table
 
 
-def _sets(hashes: np.ndarray, counts: np.ndarray, rarity: np.ndarray):
+def _sets(hashes: np.ndarray, counts: np.ndarray, levels: np.ndarray):
     """(words, start, size): each line's distinct words, rarest first. A word
-    is its rarity and HASH bits of its hash. Lines go by in runs small enough
-    that one 64-bit key holds line and word."""
-    ends = np.cumsum(counts)
-    words, sizes = [], []
-    step = 1 << (63 - HASH - 6)
-    for s in range(0, len(counts), step):
-        n = counts[s:s + step]
-        lo, hi = (ends[s] - counts[s]), ends[min(s + step, len(counts)) - 1]
-        h = hashes[lo:hi]
-        key = (rarity[(h >> np.uint64(64 - SKETCH)).astype(np.int64)].astype(np.uint64) << np.uint64(HASH)) | (h & np.uint64((1 << HASH) - 1))
-        key |= np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(HASH + 6)
-        key.sort()
-        fresh = np.ones(len(key), dtype=bool)
-        fresh[1:] = key[1:] != key[:-1]
-        key = key[fresh]
-        words.append(key & np.uint64((1 << (HASH + 6)) - 1))
-        sizes.append(np.bincount((key >> np.uint64(HASH + 6)).astype(np.int64), minlength=len(n)))
-    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-    return (np.concatenate(words) if words else np.zeros(0, np.uint64)), np.cumsum(size) - size, size
-
-
-def _identify(words: np.ndarray, start: np.ndarray, size: np.ndarray, hashes: np.ndarray, counts: np.ndarray):
-    """(digest, map) of each set: a sum of mixed words, with the least, the
-    greatest, the union and the intersection of its whole hashes, so that sets
-    of few words do not rest on HASH bits; and a bit for each word
-    in two to four times as many bits as there are words, a power of two. Two
-    sets differ in as many words as bits, or more; the wider of two maps is
-    folded to the other's width."""
-    mixed = words * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(32)
-    digest = np.zeros(len(size), np.uint64)
+    is its level and the bits of its hash that are left beside it."""
+    key = levels[(hashes >> np.uint64(64 - SKETCH)).astype(np.int64)].astype(np.uint64) << np.uint64(64 - LEVEL)
+    key |= hashes & np.uint64((1 << (64 - LEVEL)) - 1)
+    start = np.cumsum(counts) - counts
+    order = np.argsort(counts, kind="stable")
+    sizes, at = np.unique(counts[order], return_index=True)
+    for n, a, z in zip(sizes, at, np.append(at[1:], len(order)), strict=True):
+        if n > 1:  # lines of so many words are sorted together
+            where = start[order[a:z]][:, None] + np.arange(n)
+            key[where] = np.sort(key[where], axis=1)
+    fresh = np.ones(len(key), dtype=bool)
+    fresh[1:] = key[1:] != key[:-1]
+    fresh[start[counts > 0]] = True
+    size = np.zeros(len(counts), np.int64)
+    some = counts > 0
+    if some.any():
+        size[some] = np.add.reduceat(fresh.astype(np.int64), start[some])
+    return key[fresh], np.cumsum(size) - size, size
+
+
+def _sums(words: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int):
+    """Of each set two sums of mixed words, which name it, and 128 parities: a
+    word turns one of them, so two sets differ in as many words as parities,
+    or more."""
+    out = np.zeros((4, len(size)), np.uint64)
     some = np.flatnonzero(size)
     if len(some):
-        digest[some] = np.add.reduceat(mixed, start[some])
-        at = (np.cumsum(counts) - counts)[some]
-        for by, odd in ((np.minimum, 0x9E3779B97F4A7C15), (np.maximum, 0xC2B2AE3D27D4EB4F), (np.bitwise_or, 0x165667B19E3779F9), (np.bitwise_and, 0xD6E8FEB86659FD93)):
-            whole = by.reduceat(hashes, at) * np.uint64(odd)
-            digest[some] += whole ^ (whole >> np.uint64(31))
-    width = (np.int64(1) << np.ceil(np.log2(np.clip(2 * size, 64, 1 << 15))).astype(np.int64))
-    ends = np.cumsum(width)
-    bits = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=bool)
-    of = np.repeat(np.arange(len(size)), size)
-    bits[(ends - width)[of] + (mixed.view(np.int64) & (width[of] - 1))] = True
-    raw = np.packbits(bits, bitorder="little")
-    offsets = pa.array(np.concatenate([[0], ends // 8]), pa.int32())
-    return digest.view(np.int64), pa.Array.from_buffers(pa.binary(), len(size), [None, offsets.buffers()[1], pa.py_buffer(raw)])
-
-
-class _Maps:
-    """The bit maps of some rows, by width, each also folded to half of it."""
-
-    def __init__(self, column: pa.Array):
-        offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
-        data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
-        self.width = np.diff(offsets)
-        self.by = {}
-        own = {int(w): (at := np.flatnonzero(self.width == w), data[offsets[at][:, None] + np.arange(w)].view(np.uint64)) for w in np.unique(self.width)}
-        for w, (at, bits) in own.items():
-            if 2 * w in own:
-                wide, more = own[2 * w]
-                half = w // 8
-                at, bits = np.concatenate([at, wide]), np.concatenate([bits, more[:, :half] | more[:, half:]])
-            slot = np.full(len(column), -1, np.int32)
-            slot[at] = np.arange(len(at))
-            self.by[w] = slot, bits
-
-    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Bits in which pairs of rows differ; their widths are one step apart
-        at most."""
-        out, w = np.zeros(len(x), np.int64), np.minimum(self.width[x], self.width[y])
-        for k in np.unique(w):
-            at = np.flatnonzero(w == k)
-            slot, bits = self.by[int(k)]
-            out[at] = np.bitwise_count(bits[slot[x[at]]] ^ bits[slot[y[at]]]).sum(axis=1, dtype=np.int64)
-        return out
-
-
-def _cut(words, start, n):
-    """List array of the first n words of some sets."""
-    ends = np.cumsum(n)
-    flat = words[np.repeat(start - (ends - n), n) + np.arange(ends[-1])]
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat.view(np.int64)))
-
-
-def _prefixes(rarity, threshold: float, least: int):
+        at = start[some]
+        one = _mix(words ^ np.uint64(seed * 2 + 1), 0x9E3779B97F4A7C15)
+        out[0, some] = np.add.reduceat(one, at)
+        out[1, some] = np.add.reduceat(_mix(words + np.uint64(seed), 0xC2B2AE3D27D4EB4F), at)
+        bit = np.uint64(1) << (one & np.uint64(63))
+        low = (one & np.uint64(64)) == 0
+        out[2, some] = np.bitwise_xor.reduceat(np.where(low, bit, np.uint64(0)), at)
+        out[3, some] = np.bitwise_xor.reduceat(np.where(low, np.uint64(0), bit), at)
+    return out.view(np.int64)
+
+
+def _least(threshold: float, n):
+    """Words that a match shares with a set of n words, at least."""
+    return np.ceil(threshold * n - 1e-9).astype(np.int64)
+
+
+def _prefixes(levels, threshold: float, least: int, seed: int):
+    """Of each line its place, the name, size and parities of its set, and the
+    prefix: so many of the rarest words that a match shares two of them, where
+    it shares two. Words met once are 0. Words from ``cool`` on are in the
+    sketch often enough to be hot."""
+    warm = int(max(0, np.ceil(4 * np.log2(max(HOT, 1))) - 3))
+
     def run(batches):
         for b in batches:
             keys = b.column(1).to_numpy(zero_copy_only=False)
-            for docs, numbers, counts, hashes in _lines(b.column(2).to_pylist()):
-                words, start, size = _sets(hashes, counts, rarity.value)
-                digest, bits = _identify(words, start, size, hashes, counts)
+            for docs, numbers, _, _, _, counts, hashes in _lines(b.column(2)):
+                words, start, size = _sets(hashes, counts, levels.value)
                 at = np.flatnonzero(size >= least)
                 if not len(at):
                     continue
-                # one word over the prefix, for pairs of words
-                n = np.minimum(size[at] - np.ceil(threshold * size[at] - 1e-9).astype(np.int64) + 2, size[at])
+                sums = _sums(words, start, size, seed)
+                start, size = start[at], size[at]
+                n = np.minimum(size - _least(threshold, size) + 2, size)
+                ends = np.cumsum(n)
+                flat = words[np.repeat(start - (ends - n), n) + np.arange(ends[-1])]
+                level = (flat >> np.uint64(64 - LEVEL)).astype(np.int64)
+                cool = np.add.reduceat((level < warm).astype(np.int64), ends - n)
+                short = _mix(flat, 0x165667B19E3779F9).astype(np.uint32)
+                short = np.where(level == 0, np.uint32(0), np.maximum(short, np.uint32(1)))
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(short.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(docs[at])), pa.array(keys[docs[at]]), pa.array(numbers[at], pa.int32()), pa.array(digest[at]), bits.take(pa.array(at)),
-                     pa.array(size[at], pa.int32()), _cut(words, start[at], n)],
-                    ["doc_id", "text_key", "line", "digest", "map", "n", "prefix"])
+                    [b.column(0).take(pa.array(docs[at])), pa.array(keys[docs[at]]), pa.array(numbers[at], pa.int32()), *[pa.array(v[at]) for v in sums],
+                     pa.array(size, pa.int32()), pa.array(cool, pa.int32()), prefix],
+                    ["doc_id", "text_key", "line", "d1", "d2", "low", "high", "n", "cool", "prefix"])
 
     return run
 
 
-def _near(threshold, n, pos, maps, x, y):
-    """Of pairs of sets that share a word, those that the length, positional
-    and bit-map filters let pass, and in how many bits they differ."""
-    total = n[x] + n[y]
-    need = np.ceil(threshold / (1 + threshold) * total - 1e-9)
-    ok = np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9
-    ok &= np.minimum(n[y] - pos[y], n[x] - pos[x]) >= need
-    x, y, most = x[ok], y[ok], (total - 2 * need)[ok]
-    apart = maps.apart(x, y)
-    ok = apart <= most
-    return x[ok], y[ok], apart[ok]
+#: Columns of the rows that meet in buckets.
+MEET = ["word", "second", "cell", "part", "sid", "rank", "line", "n", "pos", "low", "high"]
+
+
+def _meeting(threshold: float, table: pa.Table):
+    """Runs (early, late, apart): rows of one bucket that the length,
+    positional and parity filters let pass, and in how many parities they
+    differ. Rows lie by length, so the length filter is a range; of the
+    shorter row the word is in the prefix that suffices for it."""
+    col = {c: table[c].to_numpy() for c in MEET}
+    new = np.zeros(len(table), bool)
+    for c in ("word", "second", "cell"):
+        new[1:] |= col[c][1:] != col[c][:-1]
+    key = (np.cumsum(new) << 32) | col["n"]
+    order = np.argsort(key, kind="stable")
+    key, n, pos = key[order], col["n"][order].astype(np.int64), col["pos"][order].astype(np.int64)
+    from_ = np.searchsorted(key, (key >> 32 << 32) | _least(threshold, n))
+    share = threshold / (1 + threshold)
+    index = n - pos >= np.ceil(share * 2 * n - 1e-9)
+    before = np.concatenate([[0], np.cumsum(index)])
+    index = np.flatnonzero(index)
+    first, count = before[from_], before[:-1] - before[from_]
+    rows = np.flatnonzero(count)
+    low, high, part = col["low"].view(np.uint64)[order], col["high"].view(np.uint64)[order], col["part"][order]
+    diagonal = col["cell"][order] >= 0
+    for s in _runs(count[rows], PAIRS):
+        y = rows[s]
+        k = count[y]
+        at = np.repeat(y, k)
+        x = index[np.repeat(first[y] - (np.cumsum(k) - k), k) + np.arange(len(at))]
+        need = np.ceil(share * (n[x] + n[at]) - 1e-9)
+        ok = np.minimum(n[at] - pos[at], n[x] - pos[x]) >= need
+        ok &= diagonal[at] | (part[at] != part[x])
+        x, at, most = x[ok], at[ok], (n[x] + n[at] - 2 * need)[ok]
+        apart = np.bitwise_count(low[x] ^ low[at]).astype(np.int64) + np.bitwise_count(high[x] ^ high[at])
+        ok = apart <= most
+        x, at, apart = order[x[ok]], order[at[ok]], apart[ok]
+        swap = np.zeros(len(x), bool)
+        same = np.ones(len(x), bool)
+        for c in ("rank", "line", "sid"):
+            swap |= same & (col[c][x] > col[c][at])
+            same &= col[c][x] == col[c][at]
+        yield np.where(swap, at, x), np.where(swap, x, at), apart
 
 
 def _candidates(threshold: float, tried: int):
     """Of the sets that meet in a bucket: for each the ``tried`` most alike, by
-    the bit map, of the earlier ones that the filters let pass, and whether
+    their parities, of the earlier ones that the filters let pass, and whether
     there are more."""
     def flush(table):
-        word, second, digest, n, pos, rank = (c.to_numpy() for c in table.columns[:6])
-        maps = _Maps(table["map"].combine_chunks())
-        order = np.lexsort((digest, pos >> 32, rank, second, word))
-        pos, word, second = pos & 0xFFFFFFFF, word[order], second[order]
-        new = np.ones(len(word), bool)
-        new[1:] = (word[1:] != word[:-1]) | (second[1:] != second[:-1])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(word)), 0))
-        before = np.arange(len(word)) - first  # earlier rows of the bucket
-        rows = np.flatnonzero(before)
-        found = np.zeros(len(word), np.int64)
+        sid = table["sid"].to_numpy()
+        found = np.zeros(len(table), np.int64)
         late, early, more = [], [], []
-        for s in _runs(before[rows], PAIRS):
-            y = rows[s]
-            k = before[y]
-            at = np.repeat(y, k)
-            x = order[first[at] + np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)]
-            x, at, apart = _near(threshold, n, pos, maps, x, order[at])
-            if not len(x):
-                continue
-            # a row's pairs are all in one run: the most alike of them first
-            by = np.lexsort((x, apart, at))
-            x, at = x[by], at[by]
-            start = np.concatenate([[True], at[1:] != at[:-1]])
-            number = np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-            np.add.at(found, at, 1)
+        for x, y, apart in _meeting(threshold, table):
+            by = np.lexsort((sid[x], apart, y))
+            x, y = x[by], y[by]
+            start = np.concatenate([[True], y[1:] != y[:-1]])[:len(y)]
+            number = np.arange(len(y)) - np.maximum.accumulate(np.where(start, np.arange(len(y)), 0))
+            found += np.bincount(y, minlength=len(found))
             keep = number < tried
-            late.append(digest[at[keep]])
-            early.append(digest[x[keep]])
+            late.append(sid[y[keep]])
+            early.append(sid[x[keep]])
             more.append(np.zeros(keep.sum(), bool))
-        rest = np.unique(digest[found > tried])
+        rest = np.unique(sid[found > tried])
         late, early, more = [*late, rest], [*early, rest], [*more, np.ones(len(rest), bool)]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (late, early, more)], ["late", "early", "more"])
 
@@ -222,46 +322,28 @@ def _buckets(batches, rows: int, flush):
         if size < rows:
             continue
         table = pa.Table.from_batches(held)
-        word, second = (table[i].to_numpy() for i in (0, 1))
-        cuts = np.flatnonzero((np.diff(word) != 0) | (np.diff(second) != 0)) + 1
-        if len(cuts):  # the last bucket may go on in the next batch
-            yield from flush(table.slice(0, cuts[-1]))
-            table = table.slice(cuts[-1])
+        cut = 0
+        for i in range(3):
+            at = np.flatnonzero(np.diff(table[i].to_numpy()))
+            cut = max(cut, int(at[-1]) + 1 if len(at) else 0)
+        if cut:  # the last bucket may go on in the next batch
+            yield from flush(table.slice(0, cut).combine_chunks())
+            table = table.slice(cut)
         held, size = table.combine_chunks().to_batches(), table.num_rows
     if held:
-        yield from flush(pa.Table.from_batches(held))
-
-
-def _open_pairs(threshold, table):
-    """Runs (early, late, bits apart) of rows: each set marked open with all the
-    earlier ones of its bucket that pass the filters."""
-    word, second, digest, n, pos, rank = (c.to_numpy() for c in table.columns[:6])
-    maps = _Maps(table["map"].combine_chunks())
-    order = np.lexsort((digest, pos >> 32, rank, second, word))
-    pos = pos & 0xFFFFFFFF
-    w, t = word[order], second[order]
-    new = np.ones(len(w), bool)
-    new[1:] = (w[1:] != w[:-1]) | (t[1:] != t[:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
-    before = np.where(table["still"].to_numpy()[order], np.arange(len(w)) - first, 0)
-    rows = np.flatnonzero(before)
-    for s in _runs(before[rows], PAIRS):
-        y = rows[s]
-        k = before[y]
-        at = np.repeat(y, k)
-        x = order[first[at] + np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)]
-        yield _near(threshold, n, pos, maps, x, order[at])
+        yield from flush(pa.Table.from_batches(held).combine_chunks())
 
 
 def _needed(threshold: float):
     """The sets whose words the second round compares, each once a run."""
     def flush(table):
-        digest, parts = table["digest"].to_numpy(), [np.zeros(0, np.int64)]
-        for x, y, _ in _open_pairs(threshold, table):
-            parts.append(np.unique(digest[np.concatenate([x, y])]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(parts)))], ["digest"])
+        sid, still, parts = table["sid"].to_numpy(), table["still"].to_numpy(), [np.zeros(0, np.int64)]
+        for x, y, _ in _meeting(threshold, table):
+            open_ = still[y]
+            parts.append(np.unique(sid[np.concatenate([x[open_], y[open_]])]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(parts)))], ["sid"])
 
-    return lambda batches: _buckets(batches, PAIRS, flush)
+    return lambda batches: _buckets(batches, PAIRS // 4, flush)
 
 
 def _settle(threshold: float):
@@ -269,22 +351,24 @@ def _settle(threshold: float):
     comes up to the threshold: of pairs that pass the filters all words are
     compared, the most alike first."""
     def flush(table):
-        digest, ends = table["digest"].to_numpy(), np.cumsum(table["n"].to_numpy())
-        words, gone = table["words"].combine_chunks().flatten().to_numpy(), []
-        start = ends - table["n"].to_numpy()
-        for x, at, apart in _open_pairs(threshold, table):
-            done = -1
-            for i in np.lexsort((apart, at)):
-                if at[i] == done:
+        sid, still, words, gone = table["sid"].to_numpy(), table["still"].to_numpy(), table["words"], np.zeros(0, np.int64)
+        for x, y, apart in _meeting(threshold, table):
+            open_ = still[y] & ~np.isin(sid[y], gone)
+            x, y, apart = x[open_], y[open_], apart[open_]
+            done, sets, more = -1, {}, []
+            for i in np.lexsort((apart, y)):
+                if y[i] == done:
                     continue
-                a, b = (words[start[r]:ends[r]] for r in (x[i], at[i]))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if both >= threshold * (len(a) + len(b) - both) - 1e-9:
-                    done = at[i]
-                    gone.append(digest[done])
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array(gone, dtype=np.int64)))], ["digest"])
+                if y[i] not in sets:  # rows come set by set: the one before is not needed again
+                    sets = {y[i]: frozenset(words[int(y[i])].as_py())}
+                a, b = frozenset(words[int(x[i])].as_py()), sets[y[i]]
+                if len(a & b) >= threshold * len(a | b) - 1e-9:
+                    done = y[i]
+                    more.append(sid[done])
+            gone = np.union1d(gone, np.array(more, dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(gone)], ["sid"])
 
-    return lambda batches: _buckets(batches, PAIRS // 4, flush)
+    return lambda batches: _buckets(batches, PAIRS // 16, flush)
 
 
 def _runs(sizes: np.ndarray, most: int):
@@ -297,123 +381,188 @@ def _runs(sizes: np.ndarray, most: int):
         yield slice(a, z)
 
 
-def _members(rarity, wanted, least: int):
+class Names:
+    """A bit table of names: whether one may be among those put in. Two bits a
+    name, in 16 bits for each name or 2 ** 28 at most, 32 MB."""
+
+    MOST = 28
+
+    def __init__(self, ids: DataFrame):
+        rows = ids.count()
+        power = int(np.clip(np.ceil(np.log2(16 * rows + 1)), 20, self.MOST))
+        self.shift = np.uint64(64 - power)
+
+        def run(batches):
+            table = np.zeros(1 << power, dtype=bool)
+            for b in batches:
+                for at in self._places(b.column(0).to_numpy(zero_copy_only=False)):
+                    table[at] = True
+            yield _chunks(np.packbits(table), 1 << 17 if power >= 20 else 1)
+
+        self.bits = np.zeros(1 << (power - 3), dtype=np.uint8)
+        size = 1 << 17
+        for row in _folded(ids.mapInArrow(run, "chunk int, data binary"), np.bitwise_or, np.uint8).toLocalIterator():
+            self.bits[row["chunk"] * size:(row["chunk"] + 1) * size] = _unzip(bytes(row["data"]), np.uint8)
+
+    def _places(self, names: np.ndarray):
+        names = names.astype(np.int64).view(np.uint64)
+        for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            yield (_mix(names, odd) >> self.shift).astype(np.int64)
+
+    def have(self, names: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(names), bool)
+        for at in self._places(names):
+            ok &= (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        return ok
+
+
+def _members(levels, wanted, least: int, seed: int):
+    """The words themselves of the lines whose names are wanted."""
     def run(batches):
         for b in batches:
-            for _, _, counts, hashes in _lines(b.column(0).to_pylist()):
-                words, start, size = _sets(hashes, counts, rarity.value)
-                digest, _ = _identify(words, start, size, hashes, counts)
-                ok = size >= least
-                if wanted is not None:
-                    ok &= wanted.value[np.minimum(np.searchsorted(wanted.value, digest), len(wanted.value) - 1)] == digest if len(wanted.value) else False
-                at = np.flatnonzero(ok)
+            for _, _, raw, opens, stops, counts, hashes in _lines(b.column(0)):
+                words, start, size = _sets(hashes, counts, levels.value)
+                d1, d2, _, _ = _sums(words, start, size, seed)
+                at = np.flatnonzero((size >= least) & wanted.value.have(d1))
                 if not len(at):
                     continue
-                at = at[np.unique(digest[at], return_index=True)[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(digest[at]), _cut(words, start[at], size[at])], ["digest", "words"])
+                data = raw.tobytes()
+                found = {(int(d1[k]), int(d2[k]), b" ".join(sorted(set(data[opens[k]:stops[k]].lower().split())))) for k in at}
+                first, second, said = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(said, pa.binary()).cast(pa.string())], ["d1", "d2", "words"])
 
     return run
 
 
-def line_matches(docs: DataFrame, scratch: Scratch, threshold: float, least: int) -> DataFrame:
+def line_matches(docs: DataFrame, scratch: Scratch, threshold: float, least: int, seed: int = 1) -> DataFrame:
     """(doc_id, text_key, lines): the numbers of the lines to remove."""
     spark = docs.sparkSession
     texts = docs.select("text")
-    got = texts.mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # 2 ** SKETCH rows at most
-    counts = np.zeros(1 << SKETCH)
-    counts[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    rarity = spark.sparkContext.broadcast(np.ceil(np.log2(counts + 1)).clip(0, 63).astype(np.uint8))
-
+    levels = spark.sparkContext.broadcast(_levels(texts))
     lines = scratch.keep(docs.select("doc_id", "text_key", "text").mapInArrow(
-        _prefixes(rarity, threshold, least), "doc_id long, text_key long, line int, digest long, map binary, n int, prefix array<long>"))
+        _prefixes(levels, threshold, least, seed),
+        "doc_id long, text_key long, line int, d1 long, d2 long, low long, high long, n int, cool int, prefix array<int>"))
     place = F.struct("doc_id", "line", "text_key")
-    sets = scratch.keep(lines.groupBy("digest").agg(F.min(place).alias("first"), F.first("map").alias("map"),
-                                                    F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    # a set of n words that cannot match one of n + 1 matches only equal sets
-    length = F.expr(f"n - cast(ceil({threshold!r} * n - 1e-9) as int) + 1")
-    words = sets.where(F.col("n") / (F.col("n") + 1) >= threshold - 1e-9).select("digest", "map", "n", F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("rank"), F.col("first.line").alias("line"), "prefix",
-                        F.posexplode(F.slice("prefix", F.lit(1), length)).alias("pos", "word"))
-    # only words whose bucket of the sketch holds enough can be hot
-    tally = words.where(F.shiftright("word", HASH) >= F.lit(HOT.bit_length())).groupBy("word").count()
-    hot = scratch.keep(tally.where(F.col("count") > HOT).select("word", F.lit(True).alias("hot")))
-    words = words.join(F.broadcast(hot) if small(hot) else hot, "word", "left")
-    # sets are in the order of their first document, line and digest; under a
-    # hot word, sets meet by it and another word of the prefix
-    words = words.withColumn("second", F.explode(F.when(F.col("hot"), F.array_except("prefix", F.array("word"))).otherwise(F.array(F.lit(0).cast("long")))))
-    cols = ["word", "second", "digest", F.col("n").cast("long").alias("n"), F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("pos"), "rank", "map"]
-    rows = words.select(*cols)
-    dealt = lambda df: df.repartition("word", "second").sortWithinPartitions("word", "second")
-    firsts = sets.select("digest", "first")
+    same = lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), (F.count("*") > 1).alias("many"), *[F.first(c).alias(c) for c in ("low", "high", "n", "cool", "prefix")])
+    sets = scratch.keep(same.withColumn("sid", F.monotonically_increasing_id()))
+    rows = _rows(sets, scratch, threshold)
+    dealt = lambda df: df.repartition("word", "second", "cell").sortWithinPartitions("word", "second", "cell")
+    found = scratch.keep(dealt(rows).mapInArrow(_candidates(threshold, TRIED), "late long, early long, more boolean").distinct())
+    names = sets.select("sid", "d1", "d2")
 
     def members(ids: DataFrame) -> DataFrame:
-        """All words of some sets."""
-        wanted = None
-        if small(ids, 1_000_000):
-            wanted = spark.sparkContext.broadcast(np.sort(ids.toPandas()["digest"].to_numpy(np.int64)))
-        got = texts.mapInArrow(_members(rarity, wanted, least), "digest long, words array<long>")
-        if wanted is None:
-            got = got.join(ids, "digest", "left_semi")
-        return got.groupBy("digest").agg(F.first("words").alias("words"))
+        """(sid, words): all words of some sets, told apart by the words
+        themselves; two contents of one name fail the query."""
+        ids = scratch.keep(ids.join(names, "sid"))
+        wanted = spark.sparkContext.broadcast(Names(ids.select("d1")))
+        said = texts.mapInArrow(_members(levels, wanted, least, seed), "d1 long, d2 long, words string").distinct().join(ids, ["d1", "d2"])
+        return scratch.keep(said.groupBy("sid").agg(F.min("words").alias("words"), F.max("words").alias("other")))
 
-    found = scratch.keep(dealt(rows).mapInArrow(_candidates(threshold, TRIED), "late long, early long, more boolean").distinct())
     pairs = found.where("not more").select("late", "early")
-    some = scratch.keep(members(scratch.keep(pairs.select(F.explode(F.array("late", "early")).alias("digest")).distinct())))
-    side = lambda name: some.select(F.col("digest").alias(name), F.col("words").alias(f"w_{name}"))
+    wanted = pairs.select(F.explode(F.array("late", "early")).alias("sid")).unionByName(sets.where("many").select("sid")).distinct()
+    some = members(wanted)
+    if not some.where("words != other").isEmpty():
+        # two sets of one name: other names are given
+        return line_matches(docs, scratch, threshold, least, seed + 1)
+    side = lambda name: some.select(F.col("sid").alias(name), F.split("words", " ").alias(f"w_{name}"))
     both = F.size(F.array_intersect("w_late", "w_early"))
     gone = scratch.keep(pairs.join(side("late"), "late").join(side("early"), "early")
-                        .where(both >= threshold * (F.size("w_late") + F.size("w_early") - both) - 1e-9).select(F.col("late").alias("digest")).distinct())
+                        .where(both >= threshold * (F.size("w_late") + F.size("w_early") - both) - 1e-9).select(F.col("late").alias("sid")).distinct())
     scratch.drop(some)
     # sets with candidates left and none that reached the threshold
-    open_ = scratch.keep(found.where("more").select(F.col("late").alias("digest")).distinct().join(gone, "digest", "left_anti"))
+    open_ = scratch.keep(found.where("more").select(F.col("late").alias("sid")).distinct().join(gone, "sid", "left_anti"))
+    scratch.drop(found)
     if not open_.isEmpty():
-        mark = open_.withColumn("still", F.lit(True))
-        met = scratch.keep(rows.join(F.broadcast(open_) if small(open_) else open_, "digest", "left_semi").select("word", "second").distinct())
-        again = rows.join(F.broadcast(met) if small(met) else met, ["word", "second"], "left_semi")
-        again = again.join(F.broadcast(mark) if small(open_) else mark, "digest", "left").withColumn("still", F.coalesce("still", F.lit(False)))
-        cols = ["word", "second", "digest", "n", "pos", "rank", "map", "still"]
-        needed = scratch.keep(dealt(again.select(*cols)).mapInArrow(_needed(threshold), "digest long").distinct())
-        full = scratch.keep(members(needed))
-        again = dealt(again.join(full, "digest").select(*cols, "words"))
-        gone = scratch.keep(gone.unionByName(again.mapInArrow(_settle(threshold), "digest long")).distinct())
+        met = scratch.keep(rows.join(open_, "sid", "left_semi").select("word", "second", "cell").distinct())
+        again = rows.join(met, ["word", "second", "cell"], "left_semi").join(open_.withColumn("still", F.lit(True)), "sid", "left")
+        again = again.withColumn("still", F.coalesce("still", F.lit(False))).select(*MEET, "still")
+        needed = scratch.keep(dealt(again).mapInArrow(_needed(threshold), "sid long").distinct())
+        full = members(needed)
+        if not full.where("words != other").isEmpty():
+            return line_matches(docs, scratch, threshold, least, seed + 1)
+        again = again.join(full.select("sid", F.split("words", " ").alias("words")), "sid").select(*MEET, "still", "words")
+        gone = scratch.keep(gone.unionByName(dealt(again).mapInArrow(_settle(threshold), "sid long")).distinct())
         scratch.drop(full)
-    state = firsts.join(gone.withColumn("gone", F.lit(True)), "digest", "left")
-    out = (lines.select("digest", "doc_id", "text_key", "line").join(state, "digest")
+    # lines of sets that stay and have one line only take no further part
+    state = sets.join(gone.withColumn("gone", F.lit(True)), "sid", "left").where("many or gone").select("d1", "d2", "first", "gone")
+    out = (lines.select("d1", "d2", "doc_id", "text_key", "line").join(state, ["d1", "d2"])
            .where(F.coalesce("gone", F.lit(False)) | ~place.eqNullSafe(F.col("first")))
            .groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line")).alias("lines")))
     out = scratch.keep(out)
-    for t in (lines, sets, found):
+    for t in (lines, sets):
         scratch.drop(t)
     return out
 
 
+def _rows(sets: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """The rows that meet, by buckets: a row for each word of a set's prefix
+    that other sets may hold.
+
+    Hot words give a row for each word of the prefix after them: the first two
+    words that a match shares are such a pair. A set whose match may share one
+    word alone (``least`` of them is 1) keeps its single row as well. Buckets
+    of more than HOT rows are dealt: a row's part is by its set, and each two
+    parts are a cell, as is each part alone.
+    """
+    least = F.expr(f"cast(ceil({threshold!r} * n - 1e-9) as int)")
+    base = sets.select("sid", F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("rank"), F.col("first.line").alias("line"), "n", "low", "high", "prefix", "cool",
+                       (F.col("n") - least + 1).alias("p"), least.alias("least"))
+    plain = ["sid", "rank", "line", "n", "low", "high", "pos", "word"]
+    at = base.select("*", F.posexplode("prefix").alias("pos", "word")).where("word != 0 and pos < p")
+    tally = at.where("pos >= cool").groupBy("word").count().where(F.col("count") > HOT)
+    hot = scratch.keep(tally.select("word", F.lit(True).alias("hot")))
+    zero = [F.lit(0).alias("second"), F.lit(0).cast("long").alias("cell"), F.lit(0).alias("part")]
+    if hot.isEmpty():
+        return at.select(*plain, *zero).select(*MEET)
+    at = at.join(F.broadcast(hot) if small(hot) else hot, "word", "left")
+    single = at.where("hot is null").select(*plain, *zero)
+    later = F.array_remove(F.slice("prefix", F.col("pos") + 2, F.greatest(F.size("prefix") - F.col("pos") - 1, F.lit(0))), 0)
+    seconds = F.concat(later, F.when(F.col("least") < 2, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
+    pairs = scratch.keep(at.where("hot").select(*plain, F.explode(seconds).alias("second")))
+    parts = F.ceil(F.col("count") / F.lit(HOT)).cast("int")
+    large = scratch.keep(pairs.groupBy("word", "second").count().where(F.col("count") > HOT).select("word", "second", parts.alias("parts")))
+    if large.isEmpty():
+        return single.unionByName(pairs.select(*plain, "second", *zero[1:])).select(*MEET)
+    pairs = pairs.join(F.broadcast(large) if small(large) else large, ["word", "second"], "left")
+    pairs = pairs.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    pairs = pairs.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("part", "with").cast("long"), F.greatest("part", "with").cast("long")
+    # a part alone is numbered from 0 on, two parts below
+    cell = F.when(low == high, low).otherwise(-1 - (low * F.col("parts") + high))
+    return single.unionByName(pairs.withColumn("cell", cell).select(*plain, "second", "cell", "part")).select(*MEET)
+
+
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove lines that match an earlier line of the corpus.
 
     A line is the set of its words (A-Z lower-cased, between ASCII white
     space). Lines are in order of document id, then of their numbers; a line
-    goes if any earlier one has a Jaccard similarity of ``threshold`` or more
-    to it, whether or not that one goes too. Lines of fewer than ``least``
-    distinct words stay and match nothing; at 1 these are the blank lines.
+    goes if any earlier one has a Jaccard similarity of ``threshold`` (over 0,
+    up to 1) or more to it, whether or not that one goes too. Lines of fewer
+    than ``least`` distinct words stay and match nothing; at 1 these are the
+    blank lines.
 
-    Equal sets are grouped before they are joined. Words are hashes, ordered by
-    rarity; sets meet by the words of their prefixes, pass the
-    length and positional filters and a bit map of their words, and are
-    verified by all their words.
+    Equal sets are grouped before they are joined. Words are ordered by rarity
+    and sets meet by the words of their prefixes, pass the length, positional
+    and parity filters, and are verified by the words themselves; so are the
+    groups of equal sets. Hashes only bring sets together.
 
     Returns the rows of ``docs`` with the text that is left, and n_lines and
     n_removed (columns of these names are replaced). Null text stays null,
     with zeros; the empty text has one line. Null ids come first. Rows that
     repeat id and text are one document, and stay alike; of texts that share an
-    id, lines of one number go by their hashes. An empty table gives
+    id, lines of one number go in no set order. An empty table gives
     no rows; other columns stay. The memory of a task holds a chunk of lines
-    and one bucket's rows.
+    or one bucket's rows, at most two parts of about HOT.
     """
+    if not 0 < threshold <= 1 or least < 1:
+        raise ValueError("threshold is over 0 and up to 1, least is 1 or more")
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.drop("n_lines", "n_removed")
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text"))
     gone = line_matches(narrow, scratch, threshold, least).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("lines").alias("__gone"))
     rows = docs.withColumn("__at", F.xxhash64(text_of(text_col)))
-    rows = rows.join(F.broadcast(gone) if small(gone, 50_000) else gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__key")), "left")
+    rows = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__key")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
