@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*+\"|=\s*'[^']*+'|=)*+)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: A name, and its value if it has one; names inside values are not met.
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|[\"'][^\"']*[\"']?")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # What HTML's elements are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -20,7 +21,7 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp".split(
 CLOSE = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SKIPPED = frozenset(
-    "applet aside audio button canvas datalist dialog embed fieldset footer form frame frameset head header iframe input label math menu meter nav noembed noframes noscript object "
+    "applet aside audio button canvas datalist dialog embed fieldset footer frame frameset head header iframe input label math menu meter nav noembed noframes noscript object "
     "optgroup option output progress script select style svg template textarea title video xmp".split())
 PARAGRAPHS = frozenset("p pre blockquote td div section article main dd li center".split())
 #: An open element of the left is ended by the start of one of the right.
@@ -29,42 +30,78 @@ ENDED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot", "thead"]),
     "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option", "optgroup"]),
     "thead": frozenset(["tbody", "tfoot"]), "tbody": frozenset(["tbody", "tfoot"])}
-#: Words in a class, id or role that mark what is not the article.
-UNLIKELY = frozenset(
-    "ad ads advert adverts advertisement advertising advertorial adsense alert alertdialog banner breadcrumb breadcrumbs combx comment comments complementary contentinfo cookie cookies consent "
-    "disclaimer discussion disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification notifications outbrain overlay pagination pager paywall popup "
-    "promo promoted promotion related replies reply respond rss search share sharing shoutbox sidebar signup skyscraper social sponsor sponsored subscribe subscription taboola toolbar widget".split())
+#: What the contract leaves out, as a class, an id or a role names it.
+PARTS = {
+    "menu": "menu menubar nav navbar navigation breadcrumb breadcrumbs pager pagination toolbar search",
+    "edge": "header footer banner contentinfo",
+    "side": "sidebar aside complementary related social share sharing",
+    "notice": "notice notices notification notifications cookie cookies consent alert alertdialog popup modal overlay newsletter subscribe subscription signup",
+    "advert": "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion",
+    "reader": "comment comments reply replies discussion"}
+UNLIKELY = frozenset(w for words in PARTS.values() for w in words.split())
+READERS = frozenset(PARTS["reader"].split())
+#: Words of layout: the word before them says what a block is.
+LAYOUT = frozenset(
+    "area bar block box button buttons bottom col column container count elem element form group icon icons inner item items left link links list outer panel posts right row section "
+    "slot stories text title top unit wrap wrapper".split())
+#: Words by which a name speaks of something beside the block.
+BESIDE = frozenset("above after before below free has is no non not of on with without".split())
 LISTS = frozenset("ul ol dl dir".split())
 TRUSTED = frozenset(["html", "body", "article", "main"])
 BLOCK_LENGTH, COMMA, SHARE = 25, ",，、،", 0.2
+#: Of the page's prose: a block with a name of UNLIKELY that holds so much, in
+#: paragraphs, is the article itself; so is a form of that share. A block with
+#: such a word elsewhere in its name keeps so much of its score.
+WHOLE, WHOLE_FORM, DOUBT = 0.75, 0.5, 0.7
 
 
 class Node:
-    __slots__ = ("chars", "drop", "kids", "links", "name", "score", "up")
+    __slots__ = ("chars", "drop", "kids", "links", "mark", "name", "score", "up")
 
-    def __init__(self, name, up, drop):
-        self.name, self.up, self.drop = name, up, drop
+    def __init__(self, name, up, drop, mark=0):
+        self.name, self.up, self.drop, self.mark = name, up, drop, mark
         self.kids: list = []  # strings, in page order with the nodes
         self.chars = self.links = 0
         self.score = None
 
 
-def _marked(name: str, attributes: str) -> bool:
-    """Whether a start tag's attributes hide it or mark it as no article."""
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+#: Marks of a block: a doubt, the name of what is no article, not to be shown.
+DOUBTED, NAMED, HIDDEN = 1, 2, 3
+
+
+def _name(token: str) -> int:
+    """What one class, id or role says: by the last word that is not layout."""
+    words = [w.lower() for w in WORDS.findall(token)]
+    whole = "".join(words)
+    if whole in UNLIKELY:
+        return HIDDEN if whole in READERS else NAMED
+    if UNLIKELY.isdisjoint(words) and UNLIKELY.isdisjoint(map("".join, zip(words, words[1:], strict=False))):
+        return 0
+    if not BESIDE.isdisjoint(words):
+        return DOUBTED
+    while len(words) > 1 and words[-1] in LAYOUT and "".join(words[-2:]) not in UNLIKELY:
+        words.pop()
+    head = words[-1] if words[-1] in UNLIKELY else "".join(words[-2:])
+    return DOUBTED if head not in UNLIKELY else HIDDEN if head in READERS else NAMED
+
+
+def _marked(name: str, attributes: str) -> int:
+    """The mark of a start tag, by its attributes."""
+    mark = 0
+    if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
+        return mark
     for m in ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return name not in TRUSTED
+        key, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif name not in TRUSTED:
-            words = [w.lower() for w in WORDS.findall(value)]
-            if not UNLIKELY.isdisjoint(words) or not UNLIKELY.isdisjoint(map("".join, zip(words, words[1:], strict=False))):
-                return True
-    return False
+                return HIDDEN
+        elif name in TRUSTED:
+            continue
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return HIDDEN
+        elif key in ("class", "id", "role"):
+            mark = max([mark, *map(_name, value.split())])
+    return mark
 
 
 def parse(page: str) -> Node:
@@ -114,7 +151,7 @@ def parse(page: str) -> Node:
                 link = 1
             if inline_drop and name == inline_drop[0]:
                 inline_drop.append(name)
-            elif not at.drop and not inline_drop and _marked(name, m[3]):
+            elif not at.drop and not inline_drop and _marked(name, m[3]) >= NAMED:
                 inline_drop.append(name)
             continue
         if name in RAW:
@@ -129,7 +166,8 @@ def parse(page: str) -> Node:
         while up.up is not None and name in ENDED_BY.get(up.name, ()):
             up = up.up
         at = up
-        node = Node(name, at, at.drop or bool(inline_drop) or name in SKIPPED or _marked(name, m[3]))
+        mark = _marked(name, m[3])
+        node = Node(name, at, at.drop or bool(inline_drop) or name in SKIPPED or mark == HIDDEN, mark)
         at.kids.append(node)
         if not m[3].endswith("/") or name not in ("svg", "math"):
             at = node
@@ -144,6 +182,40 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
+def _prose(n: Node) -> int:
+    """Characters outside links of a block that reads like a paragraph."""
+    return n.chars - n.links if n.name in PARAGRAPHS and n.chars >= BLOCK_LENGTH else 0
+
+
+def _settle(nodes: list[Node]) -> None:
+    """Drop the blocks named as no article, and forms, unless the page's
+    article is inside: most of its prose, in two paragraphs or more, with no
+    article element elsewhere."""
+    named = [n for n in nodes if n.mark == NAMED or n.name == "form"]
+    if not named:
+        return
+    prose = {id(n): [_prose(n), int(_prose(n) > 0)] for n in nodes}
+    for n in reversed(nodes):
+        if n.up is not None:
+            prose[id(n.up)][0] += prose[id(n)][0]
+            prose[id(n.up)][1] += prose[id(n)][1]
+    articles = [set(map(id, _up(n))) for n in nodes if n.name in ("article", "main") and n.chars + sum(k.chars for k in n.kids if type(k) is Node)]
+    total = prose[id(nodes[0])][0]
+    for n in named:
+        share = WHOLE if n.mark == NAMED else WHOLE_FORM
+        held, blocks = prose[id(n)]
+        if total and held >= share * total and blocks >= (2 if n.mark == NAMED else 1) and all(id(n) in up for up in articles):
+            n.mark = DOUBTED if n.mark == NAMED else n.mark
+        else:
+            n.drop = True
+
+
+def _up(n):
+    while n is not None:
+        yield n
+        n = n.up
+
+
 def _text(top: list, skip) -> str:
     """Texts of the nodes in page order, without recursion, so any depth does."""
     out, stack = [], list(reversed(top))
@@ -164,13 +236,17 @@ def main_text(page: str | None) -> str:
     Each paragraph passes a point, one for each comma and up to three for its
     length to its parent, half to the next ancestor and less to each further
     one, all discounted by the share of its text in links. The container with
-    most points after its own discount is kept, or the article round it, with
-    the siblings that score a fifth of it or read like paragraphs. Of these all
-    blocks are kept but menus: lists of two items or more, each mostly links.
+    most points after its own discount is kept, the first of equal ones, or
+    the article element round it, with the siblings that score a fifth of it
+    or read like paragraphs. All its blocks are kept but those that are
+    doubted by their name and mostly links, and menus before its first or,
+    outside an article element, after its last paragraph: lists of two items
+    or more, each mostly links.
     """
     if not page:
         return ""
     root = parse(page)
+    _settle(_nodes(root))
     nodes = _nodes(root)
     own = {id(n): (n.chars, n.links) for n in nodes}
     for n in reversed(nodes):  # children come after their parents
@@ -190,37 +266,51 @@ def main_text(page: str | None) -> str:
                 up, level = up.up, level + 1
     dense = lambda n: n.links / n.chars if n.chars else 0.0
     linked = lambda n: n.chars and n.links > 0.5 * n.chars
+    doubted = lambda n: n.mark == DOUBTED and linked(n)
 
     def menu(n):
         items = [k for k in n.kids if type(k) is Node and not k.drop and k.chars] if n.name in LISTS and linked(n) else []
         return len(items) > 1 and all(map(linked, items))
 
-    final = {id(n): n.score * (1 - dense(n)) for n in nodes}
+    def shown(top, after=True):
+        """Their text without what is doubted and menus at the edges."""
+        order, stack = [], list(reversed(top))
+        while stack:
+            n = stack.pop()
+            if type(n) is Node and not n.drop:
+                order.append(n)
+                if not menu(n):
+                    stack += reversed(n.kids)
+        prose = [k for k, n in enumerate(order) if n.name in PARAGRAPHS and own[id(n)][0] - own[id(n)][1] > 0 and not linked(n)]
+        edge = {id(n) for k, n in enumerate(order) if menu(n) and prose and (k < prose[0] or after and k > prose[-1])}
+        return _text(top, lambda n: id(n) in edge or doubted(n))
+
+    final = {id(n): n.score * (1 - dense(n)) * (DOUBT if n.mark == DOUBTED else 1) for n in nodes}
     best = max(nodes, key=lambda n: final[id(n)])
     if final[id(best)] <= 0:
-        return _text([root], menu)
+        return _text([root], lambda n: menu(n) or doubted(n))
     while best.up is not None and best.up.up is not None and final[id(best.up)] >= 0.75 * final[id(best)]:
         best = best.up
     up = best
     while up is not None and up.name != "article":
         up = up.up
     if up is not None:
-        return _text([up], menu)
+        return shown([up], after=False)
     if best.up is None:
-        return _text([best], menu)
+        return shown([best])
     keep, least = [], max(1.0, SHARE * final[id(best)])
     for k in best.up.kids:
         if k is best or type(k) is Node and not k.drop and (
                 final[id(k)] >= least or k.name in ("p", "pre", "blockquote", "h1", "h2", "h3") and k.chars and dense(k) < 0.25):
             keep.append(k)
-    return _text(keep, menu)
+    return shown(keep)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """The rows without the html, with text and n_chars (code points).
 
     Null and empty pages give the empty text; other columns, nulls in them and
-    repeated rows stay; columns named text or n_chars are replaced; an empty
+    repeated rows stay, and repeated pages give the same text; columns named text or n_chars are replaced; an empty
     table gives no rows. One page is held at a time, whole.
     """
     keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
