@@ -6,49 +6,66 @@ import functools
 import re
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: The bounded sample: so many languages, documents of each, and bytes of each
-#: document at most; a dictionary is the last DICTIONARY bytes of its sample.
-LANGUAGES, SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY = 64, 96, 16_384, 131_072
+#: The bounded sample: documents of each language, characters of each document
+#: at most, bytes of a dictionary and of all dictionaries together.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY, DICTIONARIES = 96, 16_384, 131_072, 1 << 25
+#: More languages than this are an error, not a cap.
+LANGUAGES = 4096
 WINDOW = 4096
-LETTER = re.compile(r"[^\W\d_]")
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters alone make a text one of a language; marks belong to their words.
+LETTER = regex.compile(r"\p{L}")
+LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+PLAIN = re.compile(r"[a-z]+")
 UNKNOWN = "und"
 
 
 def spelled(text: str) -> bytes:
-    """The words of a whole text in lower case, without marks and digits, so
+    """The words of a whole text in lower case, without signs and digits, so
     that case and layout say nothing about the language."""
-    return " ".join(LETTERS.findall(text.lower())).encode("utf-8", "surrogatepass")
+    text = text.lower()
+    return " ".join((PLAIN if text.isascii() else LETTERS).findall(text)).encode("utf-8", "surrogatepass")
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", seed: int = 42, languages: int = LANGUAGES,
-          sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, dictionary: int = DICTIONARY) -> list[tuple[str, bytes]]:
-    """(language, dictionary) pairs, the language with most documents first.
-
-    Learns from rows with text and a language. The sample is bounded in
-    languages, documents and bytes (the parameters), and chosen by a seeded
-    hash of the text among documents of at most ``sample_bytes`` bytes; only
-    it comes to the driver.
+          sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dictionary: int = DICTIONARY, dictionaries: int = DICTIONARIES) -> list[tuple[str, bytes]]:
+    """(language, dictionary) pairs, the language with most documents first;
+    of as many, by name.
+
+    Learns every language there is from rows with text and a language; texts
+    without letters teach nothing. The sample is bounded in documents,
+    characters and bytes (the parameters): of each language the texts whose
+    seeded hashes are lowest, and of a longer text a part that begins at a
+    seeded place. A share of the hashes that holds about four times as many
+    texts as needed is cut off first, so no task meets all of a language; the
+    sample alone comes to the driver. Dictionaries share ``dictionaries``
+    bytes, 128 kB each at most. Copies of a text count once. More than
+    ``languages`` different languages raise a ValueError.
     """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    names = [r["lang"] for r in top]
-    if not names:
+    rows = rows.withColumn("place", F.xxhash64("text", F.lit(seed)))
+    # one row for each language; over the bound it is not read further
+    known = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("place").alias("texts")).limit(languages + 1).collect()
+    if len(known) > languages:
+        raise ValueError(f"more than {languages} languages")
+    if not known:
         return []
-    fit = rows.where(F.col("lang").isin(names) & F.octet_length("text").between(1, sample_bytes)).withColumn("place", F.xxhash64("text", F.lit(seed)))
-    order = W.partitionBy("lang").orderBy("place")
-    # ranks come from hashes alone; texts are fetched by them, so no text is sorted
-    chosen = fit.select("lang", "place").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).drop("n")
-    got = fit.join(F.broadcast(chosen), ["lang", "place"]).dropDuplicates(["lang", "place"]).collect()
+    # hashes run from -2**63 to 2**63 - 1
+    cuts = [(r["lang"], float(-2**63 + 2**64 * min(1.0, 4 * sample_docs / max(1, r["texts"])))) for r in known]
+    few = rows.join(F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut double")), "lang").where(F.col("place").cast("double") <= F.col("cut"))
+    start = F.pmod(F.xxhash64("place", F.lit(seed)), F.greatest(F.char_length("text") - sample_chars, F.lit(0)) + 1).cast("int") + 1
+    few = few.groupBy("lang", "place").agg(F.first(F.substring("text", start, F.lit(sample_chars))).alias("text"))
+    got = few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("place"))).where(F.col("n") <= sample_docs).collect()
+    size = min(dictionary, dictionaries // len(known))
     out = []
-    for name in names:
-        texts = [r["text"] for r in sorted((r for r in got if r["lang"] == name), key=lambda r: r["place"])]
-        if texts:
-            out.append((name, b" ".join(map(spelled, texts))[-dictionary:]))
+    for r in sorted(known, key=lambda r: (-r["n"], r["lang"])):
+        texts = [spelled(g["text"]) for g in sorted((g for g in got if g["lang"] == r["lang"]), key=lambda g: g["place"])]
+        if any(texts):
+            out.append((r["lang"], b" ".join(t for t in texts if t)[-size:]))
     return out
 
 
@@ -68,7 +85,8 @@ def classify(text: str | None, learned: tuple, level: int = 6) -> tuple[str, flo
     """(language, margin): the margin is the share of bytes by which the best
     dictionary beats the next, 0 to 1. The whole text counts, window by
     window, so that the dictionary stays in reach of all of it. Equal sizes go
-    to the language with more training documents."""
+    to the language with more training documents, with a margin of 0; where
+    one language alone was learned, the margin is 1."""
     if not text or not learned or not LETTER.search(text):
         return UNKNOWN, 0.0
     raw = spelled(text)
@@ -85,7 +103,8 @@ def identify(docs: DataFrame, learned: list[tuple[str, bytes]], text_col: str =
     lang_pred is a learned language, or ``und`` for null, empty and letterless
     texts or where nothing was learned; lang_accepted is false for ``und`` and
     for margins under ``min_margin``. Whole texts count, however long. Columns
-    of these names are replaced; all others, nulls and repeated rows stay.
+    of these names are replaced; all others, nulls and repeated rows stay, and
+    repeated rows get the same; an empty table gives no rows.
     """
     docs = docs.drop("lang_pred", "lang_score", "lang_accepted")
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score"), F.lit(True).alias("lang_accepted")).schema
