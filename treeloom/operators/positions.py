@@ -1,10 +1,12 @@
 """Positions, running values and row frames over a whole table.
 
 A window without PARTITION BY would bring all rows to one task. Here the rows
-are cut into ranges of the order's first column by quantiles, numbered within
-each range, and each range's count moves the next ones on. Frames of a few rows
-then run in blocks of BLOCK positions that also hold the few rows before and
-after them; running values add what the blocks before have come to.
+are cut into ranges of the whole order, as many as the table's size asks for,
+numbered within each range, and each range's count moves the next ones on. The
+cuts come from a bounded sample of the order's values, inside the same query:
+nothing runs while it is planned. Frames of a few rows then run in blocks of
+BLOCK positions that also hold the few rows before and after them; running
+values add what the blocks before have come to.
 """
 
 from __future__ import annotations
@@ -13,35 +15,48 @@ from dataclasses import replace
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.values import QueryError
 from ..plans.relation import Rel, column, fresh
 
-RANGES, BLOCK = 32, 1 << 20
+#: Rows of a range, about; ranges at most, so that the table of cuts is
+#: bounded; rows of the sample for each range.
+ROWS, RANGES, SAMPLE = 1 << 16, 1 << 14, 32
+BLOCK = 1 << 20
 POS = "__pos"
 
 
+def cuts(rel: Rel):
+    """One row: where the ranges begin (``__cuts``, in order) and the steps of a
+    search among them (``__steps``, falling powers of two).
+
+    The sample is the rows whose hash is low enough, so many that each range
+    has about SAMPLE of them, at most RANGES * SAMPLE in all; a small table is
+    one range and has no cuts.
+    """
+    keys = rel.df.select(rel.place().alias("k"))
+    size = rel.df.agg(F.count("*").alias("n"))
+    ranges = F.least(F.ceil(F.col("n") / ROWS), F.lit(RANGES))
+    size = size.select(ranges.alias("r"), (F.lit(2.0**63) * F.least(F.lit(1.0), ranges * SAMPLE / F.greatest("n", F.lit(1)))).alias("low"))
+    some = keys.join(F.broadcast(size), F.lit(True)).where((F.col("r") > 1) & (F.abs(F.xxhash64("k").cast("double")) <= F.col("low")))
+    held = some.agg(F.array_sort(F.collect_list("k")).alias("all"), F.max("r").alias("r"))
+    at = F.transform(F.sequence(F.lit(1).cast("bigint"), F.coalesce(F.col("r"), F.lit(2)) - 1), lambda i: F.floor(i * F.size("all") / F.col("r")).cast("int"))
+    held = held.select(F.transform(F.filter(F.array_distinct(at), lambda i: (i >= 0) & (i < F.size("all"))), lambda i: F.get("all", i)).alias("__cuts"))
+    bits = F.sequence(F.ceil(F.log2(F.size("__cuts") + 1)).cast("int"), F.lit(0))
+    return held.withColumn("__steps", F.transform(bits, lambda b: F.pow(F.lit(2), b).cast("int")))
+
+
 def positions(rel: Rel) -> Rel:
-    """The relation ordered by a column ``__pos``, 0 to n - 1."""
+    """The relation ordered by a column ``__pos``, 0 to n - 1. Rows that are
+    equal in the whole order share a range."""
     if [n for n, _ in rel.order] == [POS]:
         return rel
     order = rel.sorting()
-    first, down = rel.order[0]
-    x, t = column(first), rel.df.schema[first].dataType
-    if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        x = F.unix_micros(x.cast("timestamp"))
-    elif not isinstance(t, T.NumericType):
-        x = F.conv(F.rpad(F.hex(F.substring(F.encode(x.cast("string"), "UTF-8"), 1, 6)), 12, "0"), 16, 10)
-    x = x.cast("double")
-    cuts = rel.df.agg(F.percentile_approx(x, [i / RANGES for i in range(1, RANGES)], 2000)).first()[0] or []
-    part = F.lit(0)
-    for c in sorted(set(cuts)):
-        part = part + F.coalesce(x >= c, F.lit(False)).cast("int")
-    part = F.when(x.isNull(), -1).otherwise(part)
-    ranged = rel.df.withColumn("__range", -part if down else part)
+    found = F.aggregate("__steps", F.lit(0), lambda lo, s: F.when((lo + s <= F.size("__cuts")) & (F.get("__cuts", lo + s - 1) <= F.col("__key")), lo + s).otherwise(lo))
+    keyed = rel.df.withColumn("__key", rel.place()).join(F.broadcast(cuts(rel)), F.lit(True))
+    ranged = keyed.withColumn("__range", found).drop("__key", "__cuts", "__steps")
     counts = ranged.groupBy("__range").agg(F.count("*").alias("n"))
-    # at most RANGES + 1 rows
+    # at most RANGES rows
     before = counts.select("__range", (F.sum("n").over(W.orderBy("__range")) - F.col("n")).alias("__before"))
     local = F.row_number().over(W.partitionBy("__range").orderBy(*order)) - 1
     df = ranged.withColumn("__local", local).join(F.broadcast(before), "__range")

@@ -284,7 +284,8 @@ def rel_take(r, n: int) -> Rel:
 
 
 def rel_skip(r, n: int) -> Rel:
-    return r.on(r.df.orderBy(*r.sorting()).offset(n))
+    p = positions(r)
+    return p.on(p.df.where(F.col(POS) >= n))
 
 
 rel("take")(lambda r, a: rel_take(r, amount(a)))

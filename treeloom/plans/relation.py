@@ -23,6 +23,37 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def falling(x: Column, t: T.DataType) -> Column:
+    """A value that falls where ``x`` rises; only for values that are not null.
+
+    Whole numbers are complemented, which does not overflow; NaN is the
+    largest number; the bytes of a text are turned round and closed by a
+    letter above them all, so that a text comes before its beginnings.
+    """
+    if isinstance(t, T.BooleanType):
+        return ~x
+    if isinstance(t, T.IntegralType):
+        return F.bitwise_not(x)
+    if isinstance(t, (T.DoubleType, T.FloatType)):
+        return F.struct((~F.isnan(x)).alias("n"), (-x).alias("x"))
+    if isinstance(t, T.DecimalType):
+        return -x
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return F.bitwise_not(F.unix_micros(x.cast("timestamp")))
+    if isinstance(t, T.DateType):
+        return F.bitwise_not(F.unix_date(x))
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        digits = F.hex(F.encode(x, "UTF-8") if isinstance(t, T.StringType) else x)
+        return F.concat(F.translate(digits, "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    if isinstance(t, T.StructType):
+        return F.struct(*[f(x.getField(c.name), c.dataType).alias(f"{k}{i}") for i, c in enumerate(t.fields) for k, f in (("n", lambda v, _: v.isNull()), ("v", falling))])
+    if isinstance(t, T.ArrayType):
+        part = lambda v: F.struct(F.lit(False).alias("e"), v.isNull().alias("n"), falling(v, t.elementType).alias("v"))
+        items = F.transform(x, part)
+        return F.concat(items, F.transform(F.array(F.lit(0)), lambda _: F.struct(F.lit(True).alias("e"), F.lit(True).alias("n"), falling(F.lit(None).cast(t.elementType), t.elementType).alias("v"))))
+    raise QueryError(f"{t.simpleString()} has no order")
+
+
 @dataclass
 class Rel:
     """``names`` are the visible columns; a relation of scalars has none and
@@ -56,21 +87,16 @@ class Rel:
         return [column(n).desc() if down != back else column(n).asc() for n, down in self.order]
 
     def place(self, back: bool = False) -> Column:
-        """One value that rises along the order, for min_by and the like."""
+        """One value that rises along the order, for min_by and the like. As in
+        ``sorting``, nulls come first, or last when descending."""
         parts = []
         schema = self.df.schema
         for n, down in self.order or self.sorting():
-            x, t = column(n), schema[n].dataType
+            x = column(n)
             if down != back:
-                if isinstance(t, T.NumericType):
-                    x = -x
-                elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-                    x = -F.unix_micros(x.cast("timestamp"))
-                elif isinstance(t, T.DateType):
-                    x = -F.unix_date(x)
-                else:
-                    raise QueryError("text cannot be taken in descending order here")
-            parts.append(x.alias(f"o{len(parts)}"))
+                parts += [x.isNull().alias(f"o{len(parts)}"), falling(x, schema[n].dataType).alias(f"o{len(parts) + 1}")]
+            else:
+                parts.append(x.alias(f"o{len(parts)}"))
         return F.struct(*parts)
 
     def select(self, c: C, df: DataFrame | None = None, **more) -> Rel:
