@@ -23,6 +23,7 @@ and a task that is run again leaves no half-written ones.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 
@@ -64,33 +65,55 @@ def decode_block(control: bytes, data: bytes, count: int) -> np.ndarray:
     return word & MASKS[size - 1]
 
 
+# The settings of a tokenizer file under which words may be
+# encoded apart from each other.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+#: A Latin word and perhaps one mark: letters below U+0250, all of them
+#: composed, whose case does not look around.
+PLAIN = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+[,.]?$"
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer file has the settings that WordBpe knows, and added
+    tokens that no plain word holds."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    added = held["added_tokens"]
+    return (held["normalizer"] == NORMALIZER and held["pre_tokenizer"] == SPLITTER and held["truncation"] is None and MODEL.items() <= held["model"].items()
+            and all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added))
+
+
 class WordBpe:
     """Ids as the tokenizers library gives them for a whole text.
 
-    The file's patterns never reach across ASCII white space, so words are
-    encoded apart and known ones looked up. Plain Latin words go straight to the library's BPE model, all others
-    through the library's whole chain.
+    Under the settings that ``by_words`` looks for, no pattern reaches across
+    ASCII white space, so words are encoded apart and known ones looked up.
+    Plain Latin words go, in lower case and without their mark, straight to the
+    library's BPE model, all others through the library's whole chain. With a
+    file of other settings the library encodes whole texts.
     """
 
     def __init__(self, path: str):
         self.whole = tokenizer(path)
         self.model = self.whole.model
+        self.apart = by_words(path)
         self.shown = byte_chars()
         self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
-        self.known = Known(self.word, self.whole.get_vocab_size())
+        count = self.whole.get_vocab_size()
+        self.known, self.stems = Known(self.word, count), Known(self.stem, count)
+        self.kind = self.known.kind
+        if self.apart:
+            self.marks = [b"", *[self.known[m] for m in ",."]]
+
+    def stem(self, stem: str) -> list[int]:
+        """The ids of a plain word in lower case, with no mark."""
+        return [t.id for t in self.model.tokenize(stem if stem.isascii() else "".join(map(self.shown.__getitem__, stem.encode())))]
 
     def word(self, word: str) -> list[int]:
-        if not word:
-            return []
-        mark = word[-1] if word[-1] in ",." else ""
-        stem = word[:-1] if mark else word
-        # below U+0250 all is composed already, and case does not look around
-        if stem.isalpha() and max(stem) < "\u0250" and "\u0130" not in stem:
-            stem = stem.lower()
-            if not stem.isascii():
-                stem = "".join(map(self.shown.__getitem__, stem.encode()))
-            ids = [t.id for t in self.model.tokenize(stem)]
-            return ids + [t.id for t in self.model.tokenize(mark)] if mark else ids
         if word.isascii() and "<|" not in word and word.isprintable():
             return [t.id for p in self.pieces.findall(word.lower()) for t in self.model.tokenize(p)]
         return self.whole.encode(word, add_special_tokens=False).ids
@@ -98,15 +121,35 @@ class WordBpe:
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_all(pa.array([text], pa.string())))
 
+    def codes(self, words: pa.Array) -> list[bytes]:
+        """The ids of some different words, as bytes."""
+        plain = pc.match_substring_regex(words, PLAIN)
+        some = words.filter(plain)
+        stems = pc.utf8_lower(pc.utf8_rtrim(some, ",.")).dictionary_encode()
+        ids = list(map(self.stems.__getitem__, stems.dictionary.to_pylist()))
+        mark = pc.ends_with(some, ",").cast(pa.int8()).to_numpy() + 2 * pc.ends_with(some, ".").cast(pa.int8()).to_numpy()
+        out = np.empty(len(words), dtype=object)
+        plain = plain.to_numpy(zero_copy_only=False)
+        if len(some):
+            marks = self.marks
+            out[plain] = [ids[i] + marks[m] if m else ids[i] for i, m in zip(stems.indices.to_numpy().tolist(), mark.tolist(), strict=True)]
+        if len(some) < len(words):
+            out[~plain] = list(map(self.known.__getitem__, words.filter(pa.array(~plain)).to_pylist()))
+        return out.tolist()
+
     def encode_all(self, texts):
         """The ids of each text. The different words of some texts at a time
         are looked up once each; the ids of a text are gathered by numpy."""
+        if not self.apart:
+            for text in texts.to_pylist():
+                yield np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+            return
         for s in range(0, len(texts), ROWS):
             lists = pc.ascii_split_whitespace(texts.slice(s, ROWS))
             words = lists.flatten().dictionary_encode()
-            codes = list(map(self.known.__getitem__, words.dictionary.to_pylist()))
-            ids = np.frombuffer(b"".join(codes), dtype=self.known.kind)
-            n = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // self.known.kind.itemsize
+            codes = self.codes(words.dictionary)
+            ids = np.frombuffer(b"".join(codes), dtype=self.kind)
+            n = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // self.kind.itemsize
             start = np.cumsum(n) - n
             at = words.indices.to_numpy(zero_copy_only=False)
             stop = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
@@ -208,12 +251,15 @@ def write_tokens(ids: DataFrame, out: str, vocabulary: int) -> None:
     ordered = ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     parts = ordered.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "ids")
     parts.mapInArrow(_pack(shared, kind), "part long, number long, count long, docs array<bigint>, lengths binary, control binary, data binary").write.parquet(f"{out}/parts")
-    # a row for each block takes part in the running sum, no ids
+    # ids before each part, from a row for each part; those before a block
+    # inside its part, from the rows of that part
     heads = spark.read.parquet(f"{out}/parts").select("part", "number", "count")
-    order = W.orderBy("part", "number")
-    starts = heads.select("part", "number", F.row_number().over(order).cast("long").alias("block"),
-                          (F.sum("count").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("count")).alias("first"))
-    starts.write.parquet(f"{out}/index")
+    own = W.partitionBy("part").orderBy("number").rowsBetween(W.unboundedPreceding, 0)
+    totals = heads.groupBy("part").agg(F.sum("count").alias("all"), F.count("*").alias("blocks"))
+    order = W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)
+    totals = totals.select("part", (F.sum("all").over(order) - F.col("all")).alias("ids"), (F.sum("blocks").over(order) - F.col("blocks")).alias("before"))
+    starts = heads.select("part", "number", (F.sum("count").over(own) - F.col("count")).alias("in")).join(totals, "part")
+    starts.select("part", "number", (F.col("before") + F.col("number") + 1).alias("block"), (F.col("ids") + F.col("in")).alias("first")).write.parquet(f"{out}/index")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
