@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +14,16 @@ from pyspark.sql import functions as F
 
 from .vocab import Known, byte_chars, rank_file
 
-#: How text is cut before the merges, where white space is the Unicode
-#: property and not Python's own notion of it.
-SPACE = r"\t-\r \x85\xa0  -     　"
-PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+# The Unicode property of white space, which patterns of public
+# tokenizers mean by \s; Python's own notion differs.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def splitter(pattern: str):
+    """A tokenizer's pattern for how text is cut before the merges."""
+    return regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
+
+
 LATIN, LEADS, MARKS = "\u0250", frozenset(" abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), frozenset(",.")
 
 
@@ -25,11 +32,11 @@ class ByteBpe:
 
     The library's BPE model is built from the ranks: bytes become characters
     by the byte table, the merges are the pairs of known parts, in the order
-    of their ranks. Chunks of text between safe places are looked up first;
+    of their ranks; decoding turns the table round. Chunks of text between safe places are looked up first;
     the table of them is emptied when it is full, so its size is bounded.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str):
         from tokenizers import models
 
         ranks = rank_file(path)
@@ -45,7 +52,11 @@ class ByteBpe:
                 merges.append((name(piece[:cut]), name(piece[cut:])))
         self.model = models.BPE(vocab={name(p): i for p, i in ranks.items()}, merges=merges, cache_capacity=0)
         self.ranks = ranks
-        self.pieces = regex.compile(PIECES)
+        self.pieces = splitter(pattern)
+        self.names = list(map(name, self.table))
+        # every stand-in is below U+0200
+        self.back = np.zeros(512, dtype=np.uint8)
+        self.back[[ord(c) for c in self.shown]] = np.arange(256)
         self.size = np.array([len(p) for p in self.table], dtype=np.int64)
         self.decimal = [str(i) for i in range(len(self.table))]
         self.known = Known(self.chunk, len(self.table))
@@ -78,10 +89,13 @@ class ByteBpe:
             return np.array(self.chunk(text), dtype=self.known.kind)
         return self.known.join(text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"))
 
-    _odd = staticmethod(regex.compile(rf"[{SPACE}](?:[{SPACE}]|\Z)|[\t\x0b-\r\x85\xa0  -     　]").search)
+    _odd = staticmethod(regex.compile(rf"[{SPACE}](?:[{SPACE}]|\Z)|[{SPACE}--[ \n]]", regex.V1).search)
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.table.__getitem__, np.asarray(ids).tolist()))
+        """The bytes that the characters of the tokens stand for. A character
+        that tokens split is whole again, as its bytes are joined."""
+        said = "".join(map(self.names.__getitem__, np.asarray(ids).tolist()))
+        return self.back[np.frombuffer(said.encode("utf-16-le"), dtype="<u2")].tobytes()
 
     def spans(self, text: str, ids) -> tuple[np.ndarray, np.ndarray]:
         """First and past-the-last character of each token. A token that holds
@@ -105,9 +119,16 @@ def _last_merge(piece: bytes, ranks: dict[bytes, int]) -> int:
     return len(parts[0])
 
 
+def codec(path: str, pattern: str | None = None) -> ByteBpe:
+    """The codec of a rank file and its pattern, the public one by default."""
+    if pattern is None:
+        from public_tokenizers import PATTERN as pattern  # noqa: N811
+    return _codec(path, pattern)
+
+
 @functools.cache
-def codec(path: str) -> ByteBpe:
-    return ByteBpe(path)
+def _codec(path: str, pattern: str) -> ByteBpe:
+    return ByteBpe(path, pattern)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -144,19 +165,27 @@ def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text is encoded,
     the ids are decoded again, and both are digested. Cases as in
-    encode_documents; of the empty text both digests are those of nothing."""
+    encode_documents; of the empty text the digests are those of nothing.
+    ``spans`` adds spans_crc32, of the first and past-the-last characters of
+    the tokens (little-endian unsigned 32-bit, all firsts, then all ends)."""
     def run(batches):
         bpe = codec(path)
         for b in batches:
-            n, a, d = [], [], []
+            n, a, d, c = [], [], [], []
             for text in b.column(1).to_pylist():
                 ids = bpe.encode(text)
                 n.append(len(ids))
                 a.append(hashlib.sha256(" ".join(map(bpe.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
                 d.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                if spans:
+                    start, stop = bpe.spans(text, ids)
+                    c.append(zlib.crc32(stop.astype("<u4").tobytes(), zlib.crc32(start.astype("<u4").tobytes())))
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *([pa.array(c, pa.int64())] if spans else [])]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", spans_crc32 long" * spans
+    names = [f.split()[0] for f in schema.split(", ")]
+    return _texts(docs, id_col, text_col).mapInArrow(run, schema)

@@ -51,7 +51,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    return round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), spans=True)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
