@@ -7,15 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Bytes of a table that may be sent to every executor.
+BROADCAST = 16 << 20
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
-    Only where it is unset (tests, one machine) a temporary folder is made and
-    registered with the context.
+    Only where it is unset and one machine is all there is (a local master, as
+    in tests) a temporary folder is made and registered with the context; on a
+    cluster without it this raises a RuntimeError.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -23,6 +27,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="treeloom-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -60,7 +66,22 @@ def text_of(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def small(df: DataFrame, limit: int = 200_000) -> bool:
-    """Whether a table written to the shared folder has few enough rows to
-    broadcast; its files know their rows, so nothing is read."""
-    return df.count() <= limit
+def held_bytes(df: DataFrame) -> int:
+    """About how many bytes a table's rows hold in memory: 16 a row and 8 a
+    value, and what texts, bytes and arrays are long."""
+    def width(x, t):
+        if isinstance(t, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(x), F.lit(0)) + 16
+        if isinstance(t, T.StructType):
+            return sum((width(x.getField(f.name), f.dataType) for f in t.fields), F.lit(8))
+        if isinstance(t, T.ArrayType):
+            return F.coalesce(F.size(x), F.lit(0)) * 8 + 24
+        return F.lit(8)
+
+    return df.agg(F.sum(sum((width(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(16)).cast("long"))).first()[0] or 0
+
+
+def small(df: DataFrame) -> bool:
+    """Whether the rows of a table written to the shared folder are few enough
+    bytes to broadcast; beyond that the planner joins by a shuffle."""
+    return held_bytes(df) <= BROADCAST

@@ -51,7 +51,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         split = scratch.keep(
             more.groupBy("gid", "digit").agg(F.count("*").alias("size"))
             .withColumn("sub", F.monotonically_increasing_id()))
-        tied = F.broadcast(split) if width <= 4096 and small(split, 20_000) else split
+        tied = F.broadcast(split) if small(split) else split
         # ids of a level do not meet those of another: the level's number goes in front
         going = scratch.keep(
             more.drop("size").join(tied, ["gid", "digit"])

@@ -24,7 +24,8 @@ SECTION = 1 << 20
 #: So many candidates of a set are verified first; sets with more, none of
 #: which holds, have all theirs verified in a second round.
 TRIED = 4
-PAIRS = 1 << 20
+#: Pairs looked at, and rows of buckets held, at once.
+PAIRS, HELD = 1 << 18, 1 << 17
 
 #: Longer words are hashed one at a time.
 LONG = 256
@@ -41,13 +42,15 @@ def _words(raw: np.ndarray, opens: np.ndarray):
     """(starts, stops, hashes) of the words of some bytes, A-Z as a-z; no word
     reaches across the places in ``opens``."""
     inside = (raw != 32) & ((raw - np.uint8(9)) > np.uint8(4))
-    cut = np.zeros(len(raw) + 1, dtype=bool)
-    cut[opens] = True
-    shut = ~inside
-    start = inside.copy()
-    start[1:] &= shut[:-1] | cut[1:-1]
-    inside[:-1] &= shut[1:] | cut[1:-1]
-    a, z = np.flatnonzero(start), np.flatnonzero(inside) + 1
+    at = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    cut = opens[(opens > 0) & (opens < len(raw))]
+    cut = np.unique(cut[inside[cut - 1] & inside[cut]])  # where a word ends and the next begins
+    at = np.insert(at, np.repeat(np.searchsorted(at, cut), 2), np.repeat(cut, 2))
+    if inside[0]:
+        at = np.concatenate([[0], at])
+    if inside[-1]:
+        at = np.append(at, len(raw))
+    a, z = at[::2], at[1::2]
     padded = np.zeros(len(raw) + 8, np.uint8)
     padded[:len(raw)] = raw + ((raw - np.uint8(65)) < np.uint8(26)) * np.uint8(32)
     # eight bytes from each place on
@@ -116,8 +119,9 @@ def _chunks(table: np.ndarray, size: int):
     return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([_zip(parts[k]) for k in at], pa.binary())], ["chunk", "data"])
 
 
-def _folded(rows: DataFrame, fold, kind) -> DataFrame:
-    """The parts of each chunk made one by ``fold``, a chunk at a time."""
+def _folded(rows: DataFrame, fold, kind, out) -> DataFrame:
+    """The parts of each chunk, of one kind, made one of another by ``fold``, a
+    chunk at a time."""
     def run(batches):
         chunk, held = None, None
         for b in batches:
@@ -126,9 +130,9 @@ def _folded(rows: DataFrame, fold, kind) -> DataFrame:
                 if k != chunk:
                     if held is not None:
                         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([_zip(held)], pa.binary())], ["chunk", "data"])
-                    chunk, held = k, part.copy()
+                    chunk, held = k, part.astype(out)
                 else:
-                    held = fold(held, part)
+                    fold(held, part, out=held, casting="unsafe")
         if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([_zip(held)], pa.binary())], ["chunk", "data"])
 
@@ -136,11 +140,15 @@ def _folded(rows: DataFrame, fold, kind) -> DataFrame:
 
 
 def _count(batches):
-    total = np.zeros(1 << SKETCH, dtype=np.uint64)
+    total, held = np.zeros(1 << SKETCH, dtype=np.uint32), 0
     for b in batches:
         for *_, hashes in _lines(b.column(0)):
-            at, n = np.unique((hashes >> np.uint64(64 - SKETCH)).astype(np.int64), return_counts=True)
-            total[at] += n.astype(np.uint64)
+            held += len(hashes)
+            if held >= 1 << 32:  # no count can overflow
+                yield _chunks(total, 1 << CHUNK)
+                total[:], held = 0, len(hashes)
+            at, n = np.unique((hashes >> np.uint64(64 - SKETCH)).astype(np.uint32), return_counts=True)
+            total[at] += n.astype(np.uint32)
     yield _chunks(total, 1 << CHUNK)
 
 
@@ -156,7 +164,7 @@ def _levels(texts: DataFrame) -> np.ndarray:
                 data.append(np.where(n > 1, np.clip(np.ceil(4 * np.log2(np.maximum(n, 1))) - 3, 1, (1 << LEVEL) - 1), 0).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["chunk", "data"])
 
-    counts = _folded(texts.mapInArrow(_count, "chunk int, data binary"), np.add, np.uint64)
+    counts = _folded(texts.mapInArrow(_count, "chunk int, data binary"), np.add, np.uint32, np.uint64)
     table = np.zeros(1 << SKETCH, dtype=np.uint8)
     for row in counts.mapInArrow(level, "chunk int, data binary").collect():  # a byte for each bucket
         table[row["chunk"] << CHUNK:(row["chunk"] + 1) << CHUNK] = np.frombuffer(bytes(row["data"]), np.uint8)
@@ -241,8 +249,10 @@ def _prefixes(levels, threshold: float, least: int, seed: int):
     return run
 
 
-#: Columns of the rows that meet in buckets.
-MEET = ["word", "second", "cell", "part", "sid", "rank", "line", "n", "pos", "low", "high"]
+#: Columns of the rows that meet in buckets, all long: the words, the cell, the
+#: set, its document, line and part, its size and the word's place, parities.
+MEET = ["key", "cell", "sid", "rank", "at", "size", "low", "high"]
+BUCKET = ["key", "cell"]
 
 
 def _meeting(threshold: float, table: pa.Table):
@@ -252,11 +262,11 @@ def _meeting(threshold: float, table: pa.Table):
     shorter row the word is in the prefix that suffices for it."""
     col = {c: table[c].to_numpy() for c in MEET}
     new = np.zeros(len(table), bool)
-    for c in ("word", "second", "cell"):
+    for c in BUCKET:
         new[1:] |= col[c][1:] != col[c][:-1]
-    key = (np.cumsum(new) << 32) | col["n"]
+    key = (np.cumsum(new) << 32) | (col["size"] >> 32)
     order = np.argsort(key, kind="stable")
-    key, n, pos = key[order], col["n"][order].astype(np.int64), col["pos"][order].astype(np.int64)
+    key, n, pos = key[order], col["size"][order] >> 32, col["size"][order] & 0xFFFFFFFF
     from_ = np.searchsorted(key, (key >> 32 << 32) | _least(threshold, n))
     share = threshold / (1 + threshold)
     index = n - pos >= np.ceil(share * 2 * n - 1e-9)
@@ -264,7 +274,7 @@ def _meeting(threshold: float, table: pa.Table):
     index = np.flatnonzero(index)
     first, count = before[from_], before[:-1] - before[from_]
     rows = np.flatnonzero(count)
-    low, high, part = col["low"].view(np.uint64)[order], col["high"].view(np.uint64)[order], col["part"][order]
+    low, high, part = col["low"].view(np.uint64)[order], col["high"].view(np.uint64)[order], col["at"][order] & 0xFFFFFFFF
     diagonal = col["cell"][order] >= 0
     for s in _runs(count[rows], PAIRS):
         y = rows[s]
@@ -280,7 +290,7 @@ def _meeting(threshold: float, table: pa.Table):
         x, at, apart = order[x[ok]], order[at[ok]], apart[ok]
         swap = np.zeros(len(x), bool)
         same = np.ones(len(x), bool)
-        for c in ("rank", "line", "sid"):
+        for c in ("rank", "at", "sid"):
             swap |= same & (col[c][x] > col[c][at])
             same &= col[c][x] == col[c][at]
         yield np.where(swap, at, x), np.where(swap, x, at), apart
@@ -308,7 +318,7 @@ def _candidates(threshold: float, tried: int):
         late, early, more = [*late, rest], [*early, rest], [*more, np.ones(len(rest), bool)]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (late, early, more)], ["late", "early", "more"])
 
-    return lambda batches: _buckets(batches, PAIRS, flush)
+    return lambda batches: _buckets(batches, HELD, flush)
 
 
 def _buckets(batches, rows: int, flush):
@@ -323,8 +333,8 @@ def _buckets(batches, rows: int, flush):
             continue
         table = pa.Table.from_batches(held)
         cut = 0
-        for i in range(3):
-            at = np.flatnonzero(np.diff(table[i].to_numpy()))
+        for c in BUCKET:
+            at = np.flatnonzero(np.diff(table[c].to_numpy()))
             cut = max(cut, int(at[-1]) + 1 if len(at) else 0)
         if cut:  # the last bucket may go on in the next batch
             yield from flush(table.slice(0, cut).combine_chunks())
@@ -343,7 +353,7 @@ def _needed(threshold: float):
             parts.append(np.unique(sid[np.concatenate([x[open_], y[open_]])]))
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(parts)))], ["sid"])
 
-    return lambda batches: _buckets(batches, PAIRS // 4, flush)
+    return lambda batches: _buckets(batches, HELD, flush)
 
 
 def _settle(threshold: float):
@@ -368,7 +378,7 @@ def _settle(threshold: float):
             gone = np.union1d(gone, np.array(more, dtype=np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(gone)], ["sid"])
 
-    return lambda batches: _buckets(batches, PAIRS // 16, flush)
+    return lambda batches: _buckets(batches, HELD // 4, flush)
 
 
 def _runs(sizes: np.ndarray, most: int):
@@ -393,15 +403,15 @@ class Names:
         self.shift = np.uint64(64 - power)
 
         def run(batches):
-            table = np.zeros(1 << power, dtype=bool)
+            table = np.zeros(1 << (power - 3), dtype=np.uint8)
             for b in batches:
                 for at in self._places(b.column(0).to_numpy(zero_copy_only=False)):
-                    table[at] = True
-            yield _chunks(np.packbits(table), 1 << 17 if power >= 20 else 1)
+                    np.bitwise_or.at(table, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+            yield _chunks(table, 1 << 17)
 
         self.bits = np.zeros(1 << (power - 3), dtype=np.uint8)
         size = 1 << 17
-        for row in _folded(ids.mapInArrow(run, "chunk int, data binary"), np.bitwise_or, np.uint8).toLocalIterator():
+        for row in _folded(ids.mapInArrow(run, "chunk int, data binary"), np.bitwise_or, np.uint8, np.uint8).toLocalIterator():
             self.bits[row["chunk"] * size:(row["chunk"] + 1) * size] = _unzip(bytes(row["data"]), np.uint8)
 
     def _places(self, names: np.ndarray):
@@ -446,21 +456,28 @@ def line_matches(docs: DataFrame, scratch: Scratch, threshold: float, least: int
     same = lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), (F.count("*") > 1).alias("many"), *[F.first(c).alias(c) for c in ("low", "high", "n", "cool", "prefix")])
     sets = scratch.keep(same.withColumn("sid", F.monotonically_increasing_id()))
     rows = _rows(sets, scratch, threshold)
-    dealt = lambda df: df.repartition("word", "second", "cell").sortWithinPartitions("word", "second", "cell")
+    dealt = lambda df: df.repartition(*BUCKET).sortWithinPartitions(*BUCKET)
     found = scratch.keep(dealt(rows).mapInArrow(_candidates(threshold, TRIED), "late long, early long, more boolean").distinct())
-    names = sets.select("sid", "d1", "d2")
+    names = sets.select("sid", "d1", "d2", "first")
 
-    def members(ids: DataFrame) -> DataFrame:
-        """(sid, words): all words of some sets, told apart by the words
-        themselves; two contents of one name fail the query."""
+    def members(ids: DataFrame, every: bool) -> DataFrame:
+        """(sid, words, other): the words of some sets, and those of another
+        line of the same name, if there are other ones. Of all lines, or of
+        the first line of each alone."""
         ids = scratch.keep(ids.join(names, "sid"))
         wanted = spark.sparkContext.broadcast(Names(ids.select("d1")))
-        said = texts.mapInArrow(_members(levels, wanted, least, seed), "d1 long, d2 long, words string").distinct().join(ids, ["d1", "d2"])
+        among = texts
+        if not every:
+            at = ids.select("first.doc_id", "first.text_key").distinct()
+            keys = [docs[c].eqNullSafe(at[c]) for c in ("doc_id", "text_key")]
+            among = docs.join(F.broadcast(at) if small(at) else at, keys[0] & keys[1], "left_semi").select("text")
+        ids = ids.drop("first")
+        said = among.mapInArrow(_members(levels, wanted, least, seed), "d1 long, d2 long, words string").distinct().join(ids, ["d1", "d2"])
         return scratch.keep(said.groupBy("sid").agg(F.min("words").alias("words"), F.max("words").alias("other")))
 
     pairs = found.where("not more").select("late", "early")
     wanted = pairs.select(F.explode(F.array("late", "early")).alias("sid")).unionByName(sets.where("many").select("sid")).distinct()
-    some = members(wanted)
+    some = members(wanted, True)
     if not some.where("words != other").isEmpty():
         # two sets of one name: other names are given
         return line_matches(docs, scratch, threshold, least, seed + 1)
@@ -473,11 +490,11 @@ def line_matches(docs: DataFrame, scratch: Scratch, threshold: float, least: int
     open_ = scratch.keep(found.where("more").select(F.col("late").alias("sid")).distinct().join(gone, "sid", "left_anti"))
     scratch.drop(found)
     if not open_.isEmpty():
-        met = scratch.keep(rows.join(open_, "sid", "left_semi").select("word", "second", "cell").distinct())
-        again = rows.join(met, ["word", "second", "cell"], "left_semi").join(open_.withColumn("still", F.lit(True)), "sid", "left")
+        met = scratch.keep(rows.join(open_, "sid", "left_semi").select(*BUCKET).distinct())
+        again = rows.join(met, BUCKET, "left_semi").join(open_.withColumn("still", F.lit(True)), "sid", "left")
         again = again.withColumn("still", F.coalesce("still", F.lit(False))).select(*MEET, "still")
         needed = scratch.keep(dealt(again).mapInArrow(_needed(threshold), "sid long").distinct())
-        full = members(needed)
+        full = members(needed, False)
         if not full.where("words != other").isEmpty():
             return line_matches(docs, scratch, threshold, least, seed + 1)
         again = again.join(full.select("sid", F.split("words", " ").alias("words")), "sid").select(*MEET, "still", "words")
@@ -507,29 +524,34 @@ def _rows(sets: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
     least = F.expr(f"cast(ceil({threshold!r} * n - 1e-9) as int)")
     base = sets.select("sid", F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("rank"), F.col("first.line").alias("line"), "n", "low", "high", "prefix", "cool",
                        (F.col("n") - least + 1).alias("p"), least.alias("least"))
-    plain = ["sid", "rank", "line", "n", "low", "high", "pos", "word"]
     at = base.select("*", F.posexplode("prefix").alias("pos", "word")).where("word != 0 and pos < p")
     tally = at.where("pos >= cool").groupBy("word").count().where(F.col("count") > HOT)
     hot = scratch.keep(tally.select("word", F.lit(True).alias("hot")))
-    zero = [F.lit(0).alias("second"), F.lit(0).cast("long").alias("cell"), F.lit(0).alias("part")]
+
+    def met(df, second, cell, part):
+        pair = lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+        return df.select(pair(F.col("word"), second).alias("key"), cell.cast("long").alias("cell"), "sid", "rank", pair(F.col("line"), part).alias("at"),
+                         pair(F.col("n"), F.col("pos")).alias("size"), "low", "high")
+
+    zero = F.lit(0)
     if hot.isEmpty():
-        return at.select(*plain, *zero).select(*MEET)
+        return met(at, zero, zero, zero)
     at = at.join(F.broadcast(hot) if small(hot) else hot, "word", "left")
-    single = at.where("hot is null").select(*plain, *zero)
+    single = met(at.where("hot is null"), zero, zero, zero)
     later = F.array_remove(F.slice("prefix", F.col("pos") + 2, F.greatest(F.size("prefix") - F.col("pos") - 1, F.lit(0))), 0)
     seconds = F.concat(later, F.when(F.col("least") < 2, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
-    pairs = scratch.keep(at.where("hot").select(*plain, F.explode(seconds).alias("second")))
+    pairs = scratch.keep(at.where("hot").select("sid", "rank", "line", "n", "low", "high", "pos", "word", F.explode(seconds).alias("second")))
     parts = F.ceil(F.col("count") / F.lit(HOT)).cast("int")
     large = scratch.keep(pairs.groupBy("word", "second").count().where(F.col("count") > HOT).select("word", "second", parts.alias("parts")))
     if large.isEmpty():
-        return single.unionByName(pairs.select(*plain, "second", *zero[1:])).select(*MEET)
+        return single.unionByName(met(pairs, F.col("second"), zero, zero))
     pairs = pairs.join(F.broadcast(large) if small(large) else large, ["word", "second"], "left")
     pairs = pairs.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
     pairs = pairs.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("part", "with").cast("long"), F.greatest("part", "with").cast("long")
     # a part alone is numbered from 0 on, two parts below
     cell = F.when(low == high, low).otherwise(-1 - (low * F.col("parts") + high))
-    return single.unionByName(pairs.withColumn("cell", cell).select(*plain, "second", "cell", "part")).select(*MEET)
+    return single.unionByName(met(pairs, F.col("second"), cell, F.col("part")))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -562,10 +584,12 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1, id_col:
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text"))
     gone = line_matches(narrow, scratch, threshold, least).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("lines").alias("__gone"))
     rows = docs.withColumn("__at", F.xxhash64(text_of(text_col)))
-    rows = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__key")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
+    rows = rows.join(F.broadcast(gone) if small(gone) else gone.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__key")), "left")
+    # lines have a column of their own, so that a text is cut once
+    rows = rows.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split(F.col(text_col), "\n", -1)))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")), lambda i: F.get("__lines", i))
+    text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    breaks = F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(breaks + 1).cast("long")
     n_removed = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
-    return rows.withColumns({"n_lines": n_lines, "n_removed": n_removed, text_col: text}).drop("__at", "__id", "__key", "__gone")
+    return rows.withColumns({"n_lines": n_lines, "n_removed": n_removed, text_col: text}).drop("__at", "__id", "__key", "__gone", "__lines")
