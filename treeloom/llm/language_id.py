@@ -17,6 +17,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY, DICTIONARIES = 96, 16_384, 131_072, 1 <<
 #: More languages than this are an error, not a cap.
 LANGUAGES = 4096
 WINDOW = 4096
+#: Labelled texts that choose a margin, and the margins to choose from.
+JUDGED, MARGINS = 2048, (0.001, 0.002, 0.005, 0.01, 0.02)
 #: Letters alone make a text one of a language; marks belong to their words.
 LETTER = regex.compile(r"\p{L}")
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
@@ -46,6 +48,21 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", seed:
     bytes, 128 kB each at most. Copies of a text count once. More than
     ``languages`` different languages raise a ValueError.
     """
+    known, got = _sample(docs, text_col, lang_col, seed, languages, sample_docs, sample_chars)
+    if not known:
+        return []
+    size = min(dictionary, dictionaries // len(known))
+    out = []
+    for r in sorted(known, key=lambda r: (-r["n"], r["lang"])):
+        texts = [spelled(g["text"]) for g in got if g["lang"] == r["lang"]]
+        if any(texts):
+            out.append((r["lang"], b" ".join(t for t in texts if t)[-size:]))
+    return out
+
+
+def _sample(docs: DataFrame, text_col: str, lang_col: str, seed: int, languages: int, sample_docs: int, sample_chars: int, skip: int = 0):
+    """The languages with their rows, and of each so many texts by the order of
+    their hashes, after the first ``skip``."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     rows = rows.withColumn("place", F.xxhash64("text", F.lit(seed)))
     # one row for each language; over the bound it is not read further
@@ -53,20 +70,36 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", seed:
     if len(known) > languages:
         raise ValueError(f"more than {languages} languages")
     if not known:
-        return []
+        return [], []
     # hashes run from -2**63 to 2**63 - 1
-    cuts = [(r["lang"], float(-2**63 + 2**64 * min(1.0, 4 * sample_docs / max(1, r["texts"])))) for r in known]
+    need = 4 * (skip + sample_docs)
+    cuts = [(r["lang"], float(-2**63 + 2**64 * min(1.0, need / max(1, r["texts"])))) for r in known]
     few = rows.join(F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut double")), "lang").where(F.col("place").cast("double") <= F.col("cut"))
     start = F.pmod(F.xxhash64("place", F.lit(seed)), F.greatest(F.char_length("text") - sample_chars, F.lit(0)) + 1).cast("int") + 1
     few = few.groupBy("lang", "place").agg(F.first(F.substring("text", start, F.lit(sample_chars))).alias("text"))
-    got = few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("place"))).where(F.col("n") <= sample_docs).collect()
-    size = min(dictionary, dictionaries // len(known))
-    out = []
-    for r in sorted(known, key=lambda r: (-r["n"], r["lang"])):
-        texts = [spelled(g["text"]) for g in sorted((g for g in got if g["lang"] == r["lang"]), key=lambda g: g["place"])]
-        if any(texts):
-            out.append((r["lang"], b" ".join(t for t in texts if t)[-size:]))
-    return out
+    few = few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("place"))).where(F.col("n").between(skip + 1, skip + sample_docs))
+    return known, sorted(few.collect(), key=lambda g: (g["lang"], g["place"]))
+
+
+def choose_margin(docs: DataFrame, learned: list[tuple[str, bytes]], text_col: str = "text", lang_col: str = "lang", seed: int = 42, languages: int = LANGUAGES,
+                  sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, judged: int = JUDGED) -> float:
+    """The margin under which a prediction is no better than a guess: of the
+    labelled texts that the dictionaries were not made of, the widest of
+    MARGINS such that of those under it half or fewer are right; 0, which
+    rejects none, if there is no such margin or no such text. At most
+    ``judged`` texts come to the driver."""
+    if len(learned) < 2:
+        return 0.0
+    _, got = _sample(docs, text_col, lang_col, seed, languages, max(1, judged // len(learned)), sample_chars, sample_docs)
+    model = tuple(learned)
+    found = [(g["lang"], *classify(g["text"], model)) for g in got]
+    found = [(margin, lang == said) for lang, said, margin in found if said != UNKNOWN]
+    best = 0.0
+    for m in MARGINS:
+        under = [right for margin, right in found if margin < m]
+        if under and sum(under) * 2 <= len(under):
+            best = m
+    return best
 
 
 @functools.lru_cache(4)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, Scratch
 
 WEIGHTS = (3, 1, 2)
+#: Shards of a source at most, which one task plans.
+MOST_SHARDS = 1 << 16
 
 
 def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None) -> np.ndarray:
@@ -90,7 +92,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = 1.5, most: int = 2, bl
     Sources in code-point order, null last, have ``weights`` in turn and share
     ``budget`` times all words, none above ``most`` times its own. A source's
     documents lie in a seeded order in shards of about ``shard_docs``
-    documents; blocks of ``block_tokens`` words are apportioned to the sources
+    documents, or MOST_SHARDS larger ones; blocks of ``block_tokens`` words are apportioned to the sources
     and then to the shards of each source. A shard takes whole rounds of
     itself and then the blocks that follow a seeded place, round the end.
 
@@ -101,14 +103,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = 1.5, most: int = 2, bl
     Null text has size 0; a null source is a source of its own, the last;
     repeated rows count each; an empty table gives no rows; other columns are
     ignored. One task holds a row for each source, and for each source a row
-    for each shard; documents never meet in a group larger than a shard.
+    for each shard, MOST_SHARDS at most; documents never meet in a group larger than a shard.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     sized = scratch.keep(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.xxhash64(text_col).alias("text_key"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size")))
-    sources = (sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / shard_docs).alias("shards"))
+    sources = (sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.least(F.ceil(F.count("*") / shard_docs), F.lit(MOST_SHARDS)).alias("shards"))
                .withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_plan_sources(tuple(weights), budget, most, block_tokens),
                                                 "source string, source_size long, shards long, target double, quota long"))
     sources = scratch.keep(sources)

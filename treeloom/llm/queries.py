@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import stages
 from .byte_bpe import round_trip
 from .embeddings import embedding_groups
 from .exact_dedup import exact_dedup
@@ -15,6 +16,7 @@ from .mixing import mix
 from .simhash import simhash_groups
 from .token_counts import count_tokens
 from .token_files import token_checks, token_files
+from .vocab import vocabulary
 
 
 #: Narrower margins than this share of the bytes are rejected: texts that two
@@ -22,13 +24,6 @@ from .token_files import token_checks, token_files
 MIN_MARGIN = 0.01
 
 
-def vocabulary(name: str) -> str:
-    """Path of a public tokenizer's file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -79,9 +74,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 def queries() -> dict:
