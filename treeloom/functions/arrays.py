@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .values import BOOL, BUILTINS, DOUBLE, LONG, NULL, STRING, C, QueryError, array_of, builtin, cast, common, display, equal, hof, is_int, kind, lit, numeric, order, struct_of, truthy, whole
+from .values import BOOL, BUILTINS, DOUBLE, LONG, NULL, STRING, C, QueryError, array_of, builtin, cast, common, display, dropped, equal, hof, is_int, kind, lit, numeric, order, struct_of, truthy, whole
 
 
 def array(*names, other=None):
@@ -351,8 +351,10 @@ def includes(c, a):
         return C(F.coalesce(F.exists(whole(c), lambda x: display(C(x, c.t.elementType)) == display(v)), F.lit(False)), BOOL)
     if k == "string":
         return C(F.coalesce(F.contains(c.col, v.col if kind(v.t) == "string" else F.lit("")), F.lit(False)), BOOL)
-    if isinstance(c.t, T.StructType):
+    if isinstance(c.t, T.StructType) and not any(map(dropped, c.t.fields)):
         return lit(v.lit in c.t.names) if v.lit is not ... else C(v.col.isin(c.t.names), BOOL)
+    if isinstance(c.t, T.StructType):
+        return C(F.coalesce(F.array_contains(BUILTINS["keys"](c, a).col, v.col), F.lit(False)), BOOL)
     if isinstance(c.t, T.MapType):
         return C(F.coalesce(F.map_contains_key(c.col, v.col), F.lit(False)), BOOL)
     if k == "variant":
@@ -367,6 +369,8 @@ def len_(c, a):
         return C(F.size(whole(c)).cast("long"), LONG)
     if k == "string":
         return C(F.char_length(c.col).cast("long"), LONG)
+    if isinstance(c.t, T.StructType) and any(map(dropped, c.t.fields)):
+        return C(F.size(BUILTINS["keys"](c, a).col).cast("long"), LONG)
     if isinstance(c.t, T.StructType):
         return lit(len(c.t.names))
     if k == "variant":

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import array_of
-from .values import BOOL, NULL, STRING, C, QueryError, builtin, cast, common, display, hof, kind, lit, struct_of, truthy, whole
+from .values import BOOL, NULL, STRING, C, QueryError, builtin, cast, common, display, dropped, hof, kind, lit, struct_of, truthy, whole
 
 
 def fields(c: C) -> dict[str, C]:
@@ -23,7 +23,9 @@ def as_map(c: C) -> C:
     if isinstance(t, T.NullType):
         t = STRING
     parts = [x for n, v in fields(c).items() for x in (F.lit(n), cast(v, t).col)]
-    return C(F.create_map(*parts), T.MapType(STRING, t))
+    gone = [f.name for f in c.t.fields if dropped(f)]
+    m = F.create_map(*parts)
+    return C(F.map_filter(m, lambda k, v: ~(k.isin(gone) & v.isNull())) if gone else m, T.MapType(STRING, t))
 
 
 def obj(*names, other=None):
@@ -46,13 +48,15 @@ def none(t):
 @obj("keys", other=none(STRING))
 def keys(c, a):
     if isinstance(c.t, T.StructType):
+        if any(map(dropped, c.t.fields)):
+            return C(F.array_compact(F.array(*[F.when(whole(c.field(f.name)).isNotNull(), f.name) if dropped(f) else F.lit(f.name) for f in c.t.fields])), T.ArrayType(STRING))
         return array_of([lit(n) for n in c.t.names])
     return C(F.map_keys(as_map(c).col), T.ArrayType(STRING))
 
 
 @obj("values", other=none(STRING))
 def values(c, a):
-    if isinstance(c.t, T.StructType):
+    if isinstance(c.t, T.StructType) and not any(map(dropped, c.t.fields)):
         return array_of(list(fields(c).values()))
     m = as_map(c)
     return C(F.map_values(m.col), T.ArrayType(m.t.valueType))

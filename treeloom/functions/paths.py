@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,6 +168,37 @@ def descend(c: C, path: str = "$", every: bool = False):
             yield from descend(v, f"{path}.{n}")
 
 
+#: Levels of a value without a known shape that a descent goes down.
+LEVELS = 64
+
+
+def inside(v: Column) -> Column:
+    """The nodes of a variant, its own first, pre-order, as {at, path, v}: one
+    level after another, sorted by their places at the end. A value of more
+    than LEVELS levels fails the query."""
+    node = lambda at, path, x: F.struct(at.alias("at"), path.alias("path"), x.alias("v"))
+    t = "array<struct<at:array<int>,path:string,v:variant>>"
+
+    def below(n):
+        at, path, x = n.getField("at"), n.getField("path"), n.getField("v")
+        items = F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda y, i: node(F.array_append(at, i), F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), y))
+        pairs = F.transform(F.map_entries(F.try_variant_get(x, "$", "map<string,variant>")),
+                            lambda e, i: node(F.array_append(at, i), F.concat(path, F.lit("."), e.getField("key")), e.getField("value")))
+        return F.coalesce(items, pairs, F.array().cast(t))
+
+    start = F.struct(F.array().cast(t).alias("all"), F.array(node(F.array().cast("array<int>"), F.lit(""), v)).alias("last"))
+    step = lambda s, i: F.struct(F.concat(s.getField("all"), s.getField("last")).alias("all"), F.flatten(F.transform(s.getField("last"), below)).alias("last"))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), start, step)
+    found = F.array_sort(end.getField("all"), lambda a, b: F.when(a.getField("at") < b.getField("at"), -1).when(a.getField("at") > b.getField("at"), 1).otherwise(0))
+    deep = F.raise_error(F.lit(f"a value of more than {LEVELS} levels")).cast(t)
+    return F.when(v.isNull(), F.array().cast(t)).when(F.size(end.getField("last")) > 0, deep).otherwise(found)
+
+
+def is_list(x: C) -> Column:
+    """Whether a variant is an array."""
+    return F.coalesce(F.schema_of_variant(x.col).startswith("ARRAY"), F.lit(False))
+
+
 def nodes(c: C, test, path=None) -> C:
     """All nodes of a tree for which ``test`` gives a predicate, pre-order, as
     one array; with ``path`` as {path, value} structs."""
@@ -191,6 +223,13 @@ def nodes(c: C, test, path=None) -> C:
 
     def walk(x: C, at):
         parts = []
+        if kind(x.t) == "variant":
+            if test(x, True) is None:
+                return parts
+            item = lambda n: cast(C(n.getField("v"), x.t), t).col
+            if at is not None:
+                item = lambda n: F.struct(F.concat(at, n.getField("path")).alias("path"), cast(C(n.getField("v"), x.t), t).col.alias("value"))
+            return [F.transform(F.filter(inside(x.col), lambda n: test(C(n.getField("v"), x.t), False)), item)]
         ok = test(x, False)
         if ok is not None:
             item = cast(x, t).col
@@ -236,6 +275,8 @@ def deep_find(c, a):
     needs = a.fields()
 
     def test(x, dry):
+        if kind(x.t) == "variant":
+            return True if dry else ~is_list(x) & tried(fns, x, dry)
         if kind(x.t) == "array" or (needs and not (isinstance(x.t, T.StructType) and needs <= set(x.t.names))):
             return None
         return tried(fns, x, dry)
@@ -246,7 +287,16 @@ def deep_find(c, a):
 @builtin("deep_shape")
 def deep_shape(c, a):
     names = set(a.entry_names(0))
-    return nodes(c, lambda x, dry: (True if dry else whole(x).isNotNull() if x.parts is None else F.lit(True)) if isinstance(x.t, T.StructType) and names <= set(x.t.names) else None)
+
+    def held(x, dry):
+        if dry:
+            return True
+        got = F.lit(True)
+        for n in sorted(names):
+            got = got & x.field(n).col.isNotNull()
+        return got
+
+    return nodes(c, lambda x, dry: held(x, dry) if kind(x.t) == "variant" else (True if dry else whole(x).isNotNull() if x.parts is None else F.lit(True)) if isinstance(x.t, T.StructType) and names <= set(x.t.names) else None)
 
 
 @builtin("deep_like")
@@ -254,13 +304,16 @@ def deep_like(c, a):
     want = a.entries(0)
 
     def test(x, dry):
-        if not (isinstance(x.t, T.StructType) and set(want) <= set(x.t.names)):
+        open_ = kind(x.t) == "variant"
+        if not open_ and not (isinstance(x.t, T.StructType) and set(want) <= set(x.t.names)):
             return None
         if dry:
             return True
         got = F.lit(True)
         for n, v in want.items():
             got = got & equal(x.field(n), v)
+            if open_:
+                got = got & x.field(n).col.isNotNull()
         return got
 
     return nodes(c, test)
@@ -275,10 +328,13 @@ def trace_path(c, a):
 def named(c: C, name: str | None) -> C:
     """All values stored under a name, or all nodes but arrays."""
     if name is None:
-        return nodes(c, lambda x, dry: None if kind(x.t) == "array" else (True if dry else F.lit(True)))
+        return nodes(c, lambda x, dry: None if kind(x.t) == "array" else True if dry else ~is_list(x) if kind(x.t) == "variant" else F.lit(True))
 
     def gather(x: C) -> list[C]:
         out = []
+        if kind(x.t) == "variant":
+            here = lambda n: C(n.getField("v"), x.t).field(name).col
+            return [C(F.transform(F.filter(inside(x.col), lambda n: here(n).isNotNull()), here), T.ArrayType(x.t))]
         if isinstance(x.t, T.StructType):
             if name in x.t.names:
                 v = x.field(name)

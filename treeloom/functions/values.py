@@ -7,6 +7,7 @@ kinds that have no order are false; keys are compared by their display text.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -29,12 +30,14 @@ class C:
     #: a test that is null or false where this one is false: a filter takes it
     #: instead, so that the scan can have it
     keep: Column | None = None
+    #: as a field of an object it is left out where it is null
+    drop: bool = False
 
     def field(self, name: str) -> C:
         if self.parts is not None:
             return self.parts.get(name, NULL)
         if isinstance(self.t, T.StructType):
-            return C(self.col.getField(name), self.t[name].dataType) if name in self.t.names else NULL
+            return C(self.col.getField(name), self.t[name].dataType, drop=dropped(self.t[name])) if name in self.t.names else NULL
         if isinstance(self.t, T.MapType):
             return C(F.try_element_at(self.col, F.lit(name)), self.t.valueType)
         if isinstance(self.t, T.VariantType):
@@ -42,6 +45,26 @@ class C:
         return NULL
 
 
+DROP = {"drop": True}
+
+
+def dropped(f: T.StructField) -> bool:
+    """Whether a field is left out where it is null."""
+    return bool((f.metadata or {}).get("drop"))
+
+
+def drops(t: T.DataType) -> bool:
+    """Whether a type has such a field anywhere."""
+    if isinstance(t, T.StructType):
+        return any(dropped(f) or drops(f.dataType) for f in t.fields)
+    return isinstance(t, T.ArrayType) and drops(t.elementType)
+
+
+def called(col: Column, name: str, drop: bool) -> Column:
+    """A Column under the name of a field."""
+    return col.alias(name, metadata=DROP) if drop else col.alias(name)
+
+
 LONG, DOUBLE, STRING, BOOL = T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType()
 NULL = C(None, T.NullType(), None)
 BUILTINS: dict[str, object] = {}
@@ -92,7 +115,7 @@ def whole(c: C) -> Column:
     """The Column of a value; of a row the struct of its fields."""
     if c.col is None:
         if c.parts is not None:
-            return F.struct(*[whole(p).alias(n) for n, p in c.parts.items()]) if c.parts else F.struct()
+            return F.struct(*[called(whole(p), n, p.drop) for n, p in c.parts.items()]) if c.parts else F.struct()
         return F.lit(None)
     return c.col
 
@@ -170,7 +193,25 @@ def plain_double(x: Column) -> Column:
             .when(text.contains("E") & (F.abs(x) >= 1e18), x.cast("decimal(38,0)").cast("string")).when(text.contains("E"), wide).otherwise(text))
 
 
+def json_parts(c: C) -> Column:
+    """JSON text of an object or array some fields of which are left out where
+    they are null."""
+    x = whole(c)
+    if isinstance(c.t, T.ArrayType):
+        items = F.transform(x, lambda v: F.coalesce(json_text(C(v, c.t.elementType)), F.lit("null")))
+        return F.when(x.isNotNull(), F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")))
+    parts = []
+    for f in c.t.fields:
+        v = c.field(f.name)
+        said = F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ":"), F.coalesce(json_text(v), F.lit("null")))
+        parts.append(F.when(whole(v).isNotNull(), said) if dropped(f) else said)
+    said = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    return said if c.parts is not None else F.when(x.isNotNull(), said)
+
+
 def json_text(c: C) -> Column:
+    if drops(c.t):
+        return json_parts(c)
     if kind(c.t) in ("array", "object", "variant"):
         return F.to_json(whole(c), {"ignoreNullFields": "false"})
     if kind(c.t) == "string":
@@ -226,7 +267,9 @@ def common(types: list[T.DataType]) -> T.DataType:
         return T.ArrayType(common([t.elementType for t in types]))
     if all(isinstance(t, T.StructType) for t in types):
         names = list(dict.fromkeys(n for t in types for n in t.names))
-        return T.StructType([T.StructField(n, common([t[n].dataType for t in types if n in t.names])) for n in names])
+        # a field that one of them lacks is left out there
+        gone = lambda n: any(n not in t.names or dropped(t[n]) for t in types)
+        return T.StructType([T.StructField(n, common([t[n].dataType for t in types if n in t.names]), metadata=DROP if gone(n) else None) for n in names])
     return T.VariantType()
 
 
@@ -241,7 +284,7 @@ def cast(c: C, t: T.DataType) -> C:
         text = F.parse_json(json_text(c))
         return C(text if c.parts is not None else F.when(whole(c).isNotNull(), text), t)
     if isinstance(t, T.StructType) and isinstance(c.t, T.StructType) and c.t.names != t.names:
-        parts = [cast(c.field(f.name), f.dataType).col.alias(f.name) for f in t.fields]
+        parts = [called(cast(c.field(f.name), f.dataType).col, f.name, dropped(f)) for f in t.fields]
         built = F.struct(*parts)
         return C(built if c.parts is not None else F.when(whole(c).isNotNull(), built), t)
     if isinstance(t, T.ArrayType) and isinstance(c.t, T.ArrayType) and isinstance(t.elementType, (T.StructType, T.VariantType)):
@@ -258,7 +301,7 @@ def array_of(items: list[C]) -> C:
 
 def struct_of(fields: dict[str, C]) -> C:
     """An object of known fields; its parts stay reachable."""
-    t = T.StructType([T.StructField(n, c.t) for n, c in fields.items()])
+    t = T.StructType([T.StructField(n, c.t, metadata=DROP if c.drop else None) for n, c in fields.items()])
     return C(None, t, ..., dict(fields))
 
 

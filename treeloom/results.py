@@ -8,17 +8,21 @@ import math
 from pyspark.sql import Row
 from pyspark.sql import types as T
 
+from .functions.values import called, dropped
 from .plans.evaluate import Doc, Grouped, as_c, from_grouped
 from .plans.relation import Rel
 
 
-def plain(v):
+def plain(v, t: T.DataType | None = None):
+    """A value as JSON has it; of objects, fields that are left out where they
+    are null are not there."""
     if isinstance(v, Row):
-        return {k: plain(x) for k, x in v.asDict().items()}
+        fields = t.fields if isinstance(t, T.StructType) else [T.StructField(n, T.NullType()) for n in v.__fields__]
+        return {f.name: plain(x, f.dataType) for f, x in zip(fields, v, strict=True) if x is not None or not dropped(f)}
     if isinstance(v, dict):
-        return {k: plain(x) for k, x in v.items()}
+        return {k: plain(x, t.valueType if isinstance(t, T.MapType) else None) for k, x in v.items()}
     if isinstance(v, (list, tuple)):
-        return [plain(x) for x in v]
+        return [plain(x, t.elementType if isinstance(t, T.ArrayType) else None) for x in v]
     if isinstance(v, T.VariantVal):
         return json.loads(v.toJson())
     if isinstance(v, float) and not math.isfinite(v):
@@ -26,6 +30,10 @@ def plain(v):
     return v
 
 
+def rows_of(df) -> list:
+    return [plain(r, df.schema) for r in df.collect()]
+
+
 def ordered(rel: Rel):
     return rel.on(rel.df.orderBy(*rel.sorting())).result() if rel.order else rel.result()
 
@@ -35,13 +43,12 @@ def python_value(engine, text: str):
     if isinstance(value, Grouped):
         value = from_grouped(value)
     if isinstance(value, Doc):
-        out = {n: [plain(r) for r in ordered(t).collect()] for n, t in value.tables.items()}
+        out = {n: rows_of(ordered(t)) for n, t in value.tables.items()}
         if value.row is not None:
-            got = env.scope.df.select(*[c_whole(p).alias(n) for n, p in value.row.parts.items()]).first()
-            out |= plain(got)
+            out |= rows_of(env.scope.df.select(*[called(c_whole(p), n, p.drop) for n, p in value.row.parts.items()]))[0]
         return out
     if isinstance(value, Rel):
-        rows = [plain(r) for r in ordered(value).collect()]
+        rows = rows_of(ordered(value))
         if value.names is None:
             rows = [r["value"] for r in rows]
         if value.single:
@@ -51,8 +58,10 @@ def python_value(engine, text: str):
         return rows
     c = as_c(value, env)
     if c.parts is not None:
-        return plain(env.scope.df.select(*[c_whole(p).alias(n) for n, p in c.parts.items()]).first())
-    return plain(env.scope.df.select(c_whole(c).alias("value")).first())["value"]
+        # a part has its own type: Spark's may forget what is left out
+        got = env.scope.df.select(*[c_whole(p).alias(f"v{i}") for i, p in enumerate(c.parts.values())]).first()
+        return {n: plain(v, p.t) for (n, p), v in zip(c.parts.items(), got, strict=True) if v is not None or not p.drop}
+    return plain(env.scope.df.select(c_whole(c).alias("value")).first()[0], c.t)
 
 
 def c_whole(c):
