@@ -62,7 +62,7 @@ q("q_partition", "$.orders.map(o_orderkey).partition(@ % 2 == 0) -> {...r} | {ev
   "SELECT count(*) FILTER (WHERE o_orderkey % 2 = 0) AS even, count(*) FILTER (WHERE o_orderkey % 2 <> 0) AS odd FROM orders")
 q("q_fanout", "$.part.map(p_size.fanout(@ + 1, @ * 2).join('|'))", "SELECT (p_size + 1) || '|' || (p_size * 2) AS value FROM part")
 q("q_zip_shape", "$.part.map(@.zip_shape(n: p_name.len(), p_size)).map({n, p_size: p_size as int})", "SELECT length(p_name) AS n, CAST(p_size AS BIGINT) AS p_size FROM part")
-q("q_theta_join", "$.region.flat_map(r => $.nation.filter(n_regionkey == r.r_regionkey).map(n_name))", "SELECT n_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey")
+q("q_flat_map_lookup", "$.region.flat_map(r => $.nation.filter(n_regionkey == r.r_regionkey).map(n_name))", "SELECT n_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey")
 
 # positions
 q("q_take", "$.orders.take(7).map(o_orderkey)", "SELECT o_orderkey AS value FROM orders ORDER BY o_orderkey LIMIT 7")
@@ -172,6 +172,41 @@ q("q_three_way", "$.orders.equi_join($.customer, o_custkey, c_custkey).equi_join
 q("q_lookup_join", "let idx = $.nation.index_by(n_nationkey) in $.customer.map({c_custkey, nation: idx[c_nationkey].n_name})", "SELECT c_custkey, n_name AS nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 q("q_correlated", "$.customer.map(c => {c_custkey, orders: $.orders.filter(o_custkey == c.c_custkey).count(), spent: $.orders.filter(o_custkey == c.c_custkey).sum(o_totalprice), first: $.orders.filter(o_custkey == c.c_custkey).first().o_orderkey})",
   "SELECT c_custkey, count(o_orderkey) AS orders, round(coalesce(sum(o_totalprice), 0), 2) AS spent, min(o_orderkey) AS first FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey", {"spent": 2})
+q("q_theta_join", "$.region.flat_map(r => $.nation.filter(n_regionkey > r.r_regionkey).map(n_name))", "SELECT n_name AS value FROM region JOIN nation ON n_regionkey > r_regionkey")
+q("q_theta_count", "$.supplier.map(s => {s_suppkey, poorer: $.customer.filter(c_acctbal < s.s_acctbal).count(), next: $.customer.filter(c_acctbal >= s.s_acctbal).min(c_acctbal), sum: $.customer.filter(s.s_acctbal > c_acctbal).sum(c_custkey)})",
+  "SELECT s_suppkey, (SELECT count(*) FROM customer WHERE c_acctbal < s_acctbal) AS poorer, (SELECT min(c_acctbal) FROM customer WHERE c_acctbal >= s_acctbal) AS next, (SELECT CAST(coalesce(sum(c_custkey), 0) AS BIGINT) FROM customer WHERE c_acctbal < s_acctbal) AS sum FROM supplier")
+q("q_theta_residual", "$.customer.map(c => {c_custkey, big: $.orders.filter(o_custkey == c.c_custkey and o_totalprice > c.c_acctbal * 10).count()})",
+  "SELECT c_custkey, count(o_orderkey) AS big FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > c_acctbal * 10 GROUP BY c_custkey")
+q("q_theta_between", "$.part.filter(p_partkey <= 20).map(p => {p_partkey, n: $.supplier.filter(s_acctbal > p.p_size * 10 and s_acctbal < p.p_size * 200).count()})",
+  "SELECT p_partkey, (SELECT count(*) FROM supplier WHERE s_acctbal > p_size * 10 AND s_acctbal < p_size * 200) AS n FROM part WHERE p_partkey <= 20")
+
+# descending orders with nulls, and of text
+_DEBT = "$.customer.map({c_custkey, c_nationkey, b: c_acctbal if c_acctbal > 0 else null}).sort(-b, c_custkey)"
+_DEBT_SQL = "(SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS b FROM customer)"
+q("q_desc_unique_by", _DEBT + ".unique_by(c_nationkey).map(c_custkey)", f"SELECT c_custkey AS value FROM {_DEBT_SQL} QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY b DESC NULLS LAST, c_custkey) = 1")
+q("q_desc_take_while", _DEBT + ".take_while(b > 5000).map(c_custkey)", f"SELECT c_custkey AS value FROM {_DEBT_SQL} WHERE b > 5000")
+q("q_desc_drop_while", _DEBT + ".drop_while(b > 0).map(c_custkey)", f"SELECT c_custkey AS value FROM {_DEBT_SQL} WHERE b IS NULL")
+q("q_desc_find_index", _DEBT + ".find_index(c_custkey == 7)", f"SELECT i AS value FROM (SELECT c_custkey, row_number() OVER (ORDER BY b DESC NULLS LAST, c_custkey) - 1 AS i FROM {_DEBT_SQL}) WHERE c_custkey = 7")
+q("q_desc_group_ends", _DEBT + ".group_shape(c_nationkey, {a: @.first().c_custkey, z: @.last().c_custkey})",
+  f"SELECT CAST(c_nationkey AS VARCHAR) AS key, first(c_custkey ORDER BY b DESC NULLS LAST, c_custkey) AS a, last(c_custkey ORDER BY b DESC NULLS LAST, c_custkey) AS z FROM {_DEBT_SQL} GROUP BY c_nationkey")
+q("q_desc_index_by", _DEBT + ".index_by(c_nationkey).transform_values(c_custkey)", f"SELECT CAST(c_nationkey AS VARCHAR) AS key, last(c_custkey ORDER BY b DESC NULLS LAST, c_custkey) AS value FROM {_DEBT_SQL} GROUP BY c_nationkey")
+q("q_desc_enumerate", "$.customer.sort(-c_mktsegment, -c_name).enumerate().map({i: index, k: value.c_custkey})", "SELECT row_number() OVER (ORDER BY c_mktsegment DESC, c_name DESC) - 1 AS i, c_custkey AS k FROM customer")
+q("q_desc_text_skip", "$.customer.sort(-c_name).skip(20).map(c_custkey)", "SELECT c_custkey AS value FROM customer ORDER BY c_name DESC OFFSET 20")
+q("q_desc_text_unique_by", "$.customer.sort(-c_mktsegment, -c_name).unique_by(c_nationkey).map(c_custkey)",
+  "SELECT c_custkey AS value FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment DESC, c_name DESC) = 1")
+q("q_skip_lineitem", "$.lineitem.skip(100).map({l_orderkey, l_linenumber})", "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate OFFSET 100")
+
+# forms of navigation, objects that leave out nulls
+q("q_has_operator", "$.nation.filter(n_name has 'A').map(n_name)", "SELECT n_name AS value FROM nation WHERE contains(n_name, 'A')")
+q("q_optional_field", "$.nation.map({a: @?.n_name, b: (@?.nope ?? 'none')})", "SELECT n_name AS a, 'none' AS b FROM nation")
+q("q_dynamic_index", "$.embeddings.map(embedding[vec_id % 4])", "SELECT embedding[vec_id % 4 + 1] AS value FROM embeddings")
+q("q_descendant_first", "$.orders..o_orderkey.first()", "SELECT min(o_orderkey) AS value FROM orders")
+q("q_deep_spread", "$.region.map({...**{a: {n: r_name}}, ...**{a: {k: r_regionkey}}}).map({n: a.n, k: a.k})", "SELECT r_name AS n, r_regionkey AS k FROM region")
+q("q_drop_nulls_len", "$.customer.map({c_custkey, owes?: c_acctbal if c_acctbal < 0 else null}).map({k: c_custkey, n: @.len()})", "SELECT c_custkey AS k, CASE WHEN c_acctbal < 0 THEN 2 ELSE 1 END::BIGINT AS n FROM customer")
+q("q_drop_nulls_json", "$.nation.map({k: n_nationkey, first: n_name when n_regionkey == 0}.to_json())",
+  "SELECT '{\"k\":' || n_nationkey || CASE WHEN n_regionkey = 0 THEN ',\"first\":\"' || n_name || '\"' ELSE '' END || '}' AS value FROM nation")
+q("q_drop_nulls_keys", "$.supplier.map({s_suppkey, debt?: null, owes: 1 when s_acctbal < 0}.keys().join(','))", "SELECT CASE WHEN s_acctbal < 0 THEN 's_suppkey,owes' ELSE 's_suppkey' END AS value FROM supplier")
+q("q_precedence", "$.part.filter(not p_size > 5 and p_size != 3 or p_size == 7).map({p_partkey, v: p_size + 2 * 3 - 1})", "SELECT p_partkey, p_size + 5 AS v FROM part WHERE NOT p_size > 5 AND p_size <> 3 OR p_size = 7")
 
 # objects
 _ONE = "SELECT n_nationkey, n_name, n_regionkey FROM nation"

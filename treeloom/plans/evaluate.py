@@ -36,13 +36,27 @@ class Grp:
     distinct: bool = False
 
 
+@dataclass
+class Theta:
+    """A test between rows of another table and the current row that is not an
+    equality alone. ``outers`` are the current row's values that it needs, by
+    name; ``test`` makes the Column of it from a struct of them. ``plain`` is
+    (operator, own value, name of the current row's) of a single comparison."""
+
+    outers: dict[str, C]
+    test: object
+    plain: tuple | None = None
+
+
 @dataclass
 class Corr:
-    """Rows of another table whose key equals a value of the current row."""
+    """Rows of another table whose key equals a value of the current row, or
+    that pass a test with it."""
 
     grp: Grp
-    key: C
-    outer: C
+    key: C | None
+    outer: C | None
+    theta: Theta | None = None
 
 
 @dataclass
@@ -215,13 +229,22 @@ class _NoArgs:
 
 
 def looked_up(corr: Corr, agg: C, env: Env, empty: C | None = None) -> C:
-    name = fresh("c")
     rel, key = corr.grp.rel, corr.key
-    table = rel.df.groupBy(whole(key).alias(name + "k")).agg(whole(agg).alias(name))
-    got = env.scope.lookup(table, whole(corr.outer).cast(key.t), name, agg.t)
+    if corr.theta is None:
+        got = env.scope.aggregate(rel.df, whole(key), whole(corr.outer).cast(key.t), whole(agg), agg.t)
+    else:
+        # each value of the current rows once, with the rows that pass its test
+        name = fresh("c")
+        outer = outer_struct(corr.theta)
+        met = env.scope.df.select(outer.alias(name + "k")).distinct().join(rel.df, corr.theta.test(column(name + "k")))
+        got = env.scope.lookup(met.groupBy(name + "k").agg(whole(agg).alias(name)), outer, name, agg.t)
     return got if empty is None else C(F.coalesce(got.col, whole(empty).cast(agg.t)), agg.t)
 
 
+def outer_struct(theta: Theta):
+    return F.struct(*[whole(c).alias(n) for n, c in theta.outers.items()])
+
+
 # expressions
 
 
@@ -576,6 +599,9 @@ def object_(n, env):
         value = ec(e.value, env)
         if e.cond is not None:
             value = C(F.when(truthy(ec(e.cond, env)), whole(value)), value.t) if kind(value.t) != "null" else value
+        value = replace(value, drop=e.optional or e.cond is not None)
+        if value.drop and kind(value.t) == "null":
+            continue
         if isinstance(e.key, str):
             out[e.key] = value
             continue
@@ -714,11 +740,17 @@ def flat_items(item: t.Comprehension, source: Rel, inner: Env, scope: Scope):
         df = outer.df.select(*[column(k).alias(v) for k, v in held.items()])
         right = other.df.select(*[column(k).alias(v) for k, v in tag.items()])
         on = F.lit(True)
-        if isinstance(below, Corr):
+        if isinstance(below, Corr) and below.theta is not None:
+            # the test joins the tables; their values are renamed after it
+            k = fresh("t")
+            df = outer.df.select("*", outer_struct(below.theta).alias(k)).select(*[column(c).alias(v) for c, v in held.items()], k)
+            df = df.join(other.df, below.theta.test(column(k))).select(*held.values(), *[column(c).alias(v) for c, v in tag.items()])
+        elif isinstance(below, Corr):
             on = renamed(below.key, tag).eqNullSafe(renamed(below.outer, held))
         e = renamed_c(other.elem, tag)
         here = replace(inner, vars={k: renamed_c(v, held) if isinstance(v, C) else v for k, v in inner.vars.items()}).let(item.names[0], e)
-        df = df.join(right, on)
+        if not (isinstance(below, Corr) and below.theta is not None):
+            df = df.join(right, on)
         rows = Scope(df)
         here = here.at(e, rows)
         if item.cond is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import describe
-from ..functions.values import BOOL, BUILTINS, DOUBLE, LONG, NULL, STRING, C, QueryError, cast, common, display, equal, group_key, is_int, kept, kind, lit, numeric, struct_of, truthy, whole
+from ..functions.values import BOOL, BUILTINS, DOUBLE, LONG, NULL, STRING, C, QueryError, called, cast, common, display, dropped, equal, group_key, is_int, kept, kind, lit, numeric, struct_of, truthy, whole
 from ..lang import tree as t
 from ..operators.positions import POS, framed, positions, running
 from . import evaluate as ev
@@ -91,14 +91,15 @@ def correlated(r, a):
     if not any(mentions(p, outer) for p, _ in parts):
         return None
     scope, env = inside(r, a)
-    keys, outers, rest = [], [], []
+    keys, outers, rest, theta = [], [], [], []
     for p, node in parts:
         wrap = lambda x, node=node: t.Lambda(node.params, x) if isinstance(node, t.Lambda) else x
         if not mentions(p, outer):
             rest.append(truthy(ev.function(wrap(p), env)(r.elem)))
             continue
         if not (isinstance(p, t.Binary) and p.op == "==" and mentions(p.left, outer) != mentions(p.right, outer)):
-            raise QueryError("rows of another table are found by fields equal to values of the current row")
+            theta.append((wrap, p))
+            continue
         own, other = (p.right, p.left) if mentions(p.left, outer) else (p.left, p.right)
         keys.append(ev.function(wrap(own), env)(r.elem))
         outers.append(ev.ec(other, a.env))
@@ -106,19 +107,118 @@ def correlated(r, a):
     for c in rest:
         df = df.where(c)
     r = r.on(df)
+    if theta:
+        return ev.Corr(ev.Grp(r, r.elem), None, None, theta_of(r, env, a.env, outer, theta, keys, outers))
     if len(keys) == 1 and kind(keys[0].t) == kind(outers[0].t):
         return ev.Corr(ev.Grp(r, r.elem), keys[0], outers[0])
     pair = lambda cs: C(F.to_json(F.array(*[display(c) for c in cs])), STRING)
     return ev.Corr(ev.Grp(r, r.elem), pair(keys), pair(outers))
 
 
+def wanted(node, name) -> set | None:
+    """The fields of a variable that a node mentions; None where it is
+    mentioned as a whole."""
+    if isinstance(node, t.Field) and node.of == t.Name(name):
+        return {node.name}
+    if node == t.Name(name):
+        return None
+    found = set()
+    if isinstance(node, (t.Node, tuple)):
+        for v in vars(node).values() if isinstance(node, t.Node) else node:
+            some = wanted(v, name)
+            if some is None:
+                return None
+            found |= some
+    return found
+
+
+def theta_of(r, env, around, outer, theta, keys, outers) -> ev.Theta:
+    """The test of a filter that compares with the current row by more than
+    equality: the equal keys, for the planner to join by, and the rest."""
+    held: dict[str, C] = {}
+    made = {}  # variable: how to rebuild it from the struct
+    for name in sorted(outer):
+        fields = wanted(tuple(p for _, p in theta), name)
+        v = around.vars[name]
+        if fields is None or v.parts is None:
+            if mentions(tuple(p for _, p in theta), {name}):
+                held[f"v_{name}"] = v
+                made[name] = (None, v.t)
+        elif fields:
+            made[name] = ({f: v.field(f).t for f in sorted(fields)}, None)
+            held |= {f"v_{name}_{f}": v.field(f) for f in sorted(fields)}
+    held |= {f"k{i}": o for i, o in enumerate(outers)}
+
+    def test(k):
+        inner = env
+        for name, (fields, ty) in made.items():
+            if fields is None:
+                inner = inner.let(name, C(k.getField(f"v_{name}"), ty))
+            else:
+                inner = inner.let(name, struct_of({f: C(k.getField(f"v_{name}_{f}"), ft) for f, ft in fields.items()}))
+        got = F.lit(True)
+        for i, (own, other) in enumerate(zip(keys, outers, strict=True)):
+            at = C(k.getField(f"k{i}"), other.t)
+            same = kind(own.t) == kind(other.t) and kind(own.t) in ("number", "string", "bool", "other")
+            got = got & (whole(own).eqNullSafe(at.col) if same else display(own) == display(at))
+        for wrap, p in theta:
+            got = got & kept(ev.function(wrap(p), inner)(r.elem))
+        return got
+
+    plain = None
+    if not keys and len(theta) == 1:
+        wrap, p = theta[0]
+        if isinstance(p, t.Binary) and p.op in TURNED and mentions(p.left, outer) != mentions(p.right, outer):
+            own, other, op = (p.right, p.left, TURNED[p.op]) if mentions(p.left, outer) else (p.left, p.right, p.op)
+            plain = (op, ev.function(wrap(own), env)(r.elem), ev.ec(other, around))
+    return ev.Theta(held, test, plain)
+
+
+#: A comparison with its sides exchanged.
+TURNED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
+def by_running(c, name, a, env):
+    """Of a single comparison count, sum, min and max need no pairs of rows:
+    both sides are put in one order and the aggregate runs along it."""
+    theta = c.theta
+    if theta is None or theta.plain is None or name not in ("count", "len", "sum", "min", "max") or c.grp.cond is not None or c.grp.distinct:
+        return None
+    op, own, outer = theta.plain
+    k = kind(own.t)
+    if k != kind(outer.t) or k not in ("number", "string"):
+        return None
+    ty = common([own.t, outer.t])
+    inner = Scope(c.grp.rel.df)
+    x = a.fn(0, a.env.at(c.grp.elem, inner))(c.grp.elem) if a.count else c.grp.elem
+    if name in ("count", "len"):
+        value = C(F.when(truthy(x), F.lit(1).cast("long")) if a.count else F.lit(1).cast("long"), LONG)
+    else:
+        value = x if kind(x.t) == "number" else numeric(x)
+        if name == "sum":
+            value = C(whole(value).cast(LONG if is_int(value.t) else DOUBLE), LONG if is_int(value.t) else DOUBLE)
+    tag = fresh("c")
+    at = whole(outer).cast(ty)
+    rows = inner.df.select(whole(own).cast(ty).alias("__at"), whole(value).alias("__w"), F.lit(True).alias("__in")).where("__at is not null")
+    asks = env.scope.df.select(at.alias("__at")).where("__at is not null").distinct().select("__at", F.lit(None).cast(value.t).alias("__w"), F.lit(False).alias("__in"))
+    # equal values pass <= and >=, so there the rows come before who asks
+    both = Rel(rows.unionByName(asks), ["__at", "__w", "__in"], [("__at", op[0] == ">"), ("__in", "=" in op)])
+    agg, merge = {"min": (F.min, F.least), "max": (F.max, F.greatest)}.get(name, (F.sum, lambda p, q: p + q))
+    got = running(both, F.col("__w"), agg, merge)
+    table = got.df.where("not __in").select(F.col("__at").alias(tag + "k"), F.col("__out").alias(tag))
+    return env.scope.lookup(table, at, tag, value.t)
+
+
 def corr_call(c, name, args, named, env):
-    scope = Scope(c.grp.rel.df)
     a = ev.Args(args, named, env)
+    empty = {"count": lit(0), "len": lit(0), "sum": lit(0), "any": lit(False), "exists": lit(False), "all": lit(True)}.get(name)
+    got = by_running(c, name, a, env)
+    if got is not None:
+        return got if empty is None else C(F.coalesce(got.col, whole(empty).cast(got.t)), got.t)
+    scope = Scope(c.grp.rel.df)
     got = group_call(c.grp, name, a, scope)
     if isinstance(got, ev.Grp):
-        return ev.Corr(got, c.key, c.outer)
-    empty = {"count": lit(0), "len": lit(0), "sum": lit(0), "any": lit(False), "exists": lit(False), "all": lit(True)}.get(name)
+        return ev.Corr(got, c.key, c.outer, c.theta)
     return ev.looked_up(c, got, env, empty)
 
 
@@ -440,7 +540,7 @@ def rel_concat(parts: list[Rel]) -> Rel:
         if ordered and not p.single:
             p = positions(p)
         c = cast(p.elem, ty)
-        cols = [whole(C(c.col, ty).field(n) if c.parts is None else c.field(n)).alias(n) for n in ty.names] if isinstance(ty, T.StructType) else [c.col.alias(VALUE)]
+        cols = [called(whole(C(c.col, ty).field(n) if c.parts is None else c.field(n)), n, dropped(ty[n])) for n in ty.names] if isinstance(ty, T.StructType) else [c.col.alias(VALUE)]
         hidden = [F.lit(i).alias("__part"), (F.lit(0).cast("long") if p.single else column(POS)).alias("__at")] if ordered else []
         out.append(p.df.select(*cols, *hidden))
     df = out[0]

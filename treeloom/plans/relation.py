@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import C, QueryError, display, struct_of, whole
+from ..functions.values import C, QueryError, called, display, dropped, struct_of, whole
 
 VALUE = "value"
 _ids = itertools.count()
@@ -72,7 +72,7 @@ class Rel:
         schema = self.df.schema
         if self.names is None:
             return C(column(VALUE), schema[VALUE].dataType)
-        return struct_of({n: C(column(n), schema[n].dataType) for n in self.names})
+        return struct_of({n: C(column(n), schema[n].dataType, drop=dropped(schema[n])) for n in self.names})
 
     def columns(self) -> list[str]:
         return [VALUE] if self.names is None else list(self.names)
@@ -104,7 +104,7 @@ class Rel:
         df = self.df if df is None else df
         if isinstance(c.t, T.StructType):
             names = list(c.t.names)
-            cols = [whole(c.field(n)).alias(n) for n in names]
+            cols = [called(whole(c.field(n)), n, c.field(n).drop) for n in names]
         else:
             names, cols = None, [whole(c).alias(VALUE)]
         if isinstance(c.t, T.NullType):
@@ -121,10 +121,25 @@ class Rel:
 
 class Scope:
     """Rows an expression is evaluated on. Single values and lookups that it
-    mentions are joined to them, so that it stays one Column."""
+    mentions are joined to them, so that it stays one Column. Lookups of one
+    table by one key become one aggregate and one join."""
 
     def __init__(self, df: DataFrame):
-        self.df = df
+        self.rows = df
+        self.asked: dict[tuple, list] = {}
+
+    @property
+    def df(self) -> DataFrame:
+        asked, self.asked = self.asked, {}
+        for table, key, outer, aggs in asked.values():
+            name = fresh("k")
+            found = table.groupBy(key.alias(name)).agg(*aggs)
+            self.rows = self.rows.join(found, column(name).eqNullSafe(outer), "left").drop(name)
+        return self.rows
+
+    @df.setter
+    def df(self, df: DataFrame):
+        self.asked, self.rows = {}, df
 
     def single(self, rel: Rel) -> C:
         name = fresh("s")
@@ -137,7 +152,14 @@ class Scope:
     def lookup(self, table: DataFrame, key: Column, name: str, t: T.DataType) -> C:
         """Left join with a table of (key column ``<name>k``, value ``name``)
         with one row for each key; Catalyst picks the join by its size."""
-        self.df = self.df.join(table, column(name + "k").eqNullSafe(key), "left")
+        self.df = self.df.join(table, column(name + "k").eqNullSafe(key), "left").drop(name + "k")
+        return C(column(name), t)
+
+    def aggregate(self, table: DataFrame, key: Column, outer: Column, agg: Column, t: T.DataType) -> C:
+        """A lookup of an aggregate of a table's rows by a key."""
+        name = fresh("c")
+        at = (id(table), str(key), str(outer))
+        self.asked.setdefault(at, (table, key, outer, []))[3].append(agg.alias(name))
         return C(column(name), t)
 
 
