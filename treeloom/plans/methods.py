@@ -513,9 +513,11 @@ def distinct_by(r: Rel, key: C, df) -> Rel:
     df = df.withColumn(k, group_key(key)[0])
     if not r.order:
         return r.on(df.dropDuplicates([k]).drop(k))
-    cols = [column(n) for n in [*r.columns(), *[n for n, _ in r.order if n not in r.columns()]]]
-    best = df.groupBy(k).agg(F.min_by(F.struct(*cols), r.on(df).place()).alias("__row"))
-    return r.on(best.select("__row.*"))
+    # a column each, so that those that the query does not use are not read
+    place, schema = r.on(df).place(), df.schema
+    names = [*r.columns(), *[n for n, _ in r.order if n not in r.columns()]]
+    best = df.groupBy(k).agg(*[F.min_by(column(n), place).alias(n, metadata=schema[n].metadata) for n in names])
+    return r.on(best.drop(k))
 
 
 @rel("unique", "distinct")
@@ -756,6 +758,9 @@ def rel_index(r: Rel, key: C, df, value=None) -> Rel:
         names = [VALUE]
     else:
         row = F.struct(*[column(n) for n in names])
+    if r.order and names != [VALUE]:
+        place = r.on(df).place()
+        return Rel(keyed(df, key, [F.max_by(column(n), place).alias(n, metadata=df.schema[n].metadata) for n in names], names).df, ["key", *names], keyed=True)
     pick = F.max_by(row, r.on(df).place()) if r.order else F.last(row)
     got = keyed(df, key, [pick.alias("__row")], ["__row"])
     return Rel(got.df.select("key", "__row.*"), ["key", *names], keyed=True)
