@@ -129,3 +129,20 @@ def test_sources(spark, tmp_path):
     assert sources.read(spark, str(tmp_path / "j"), "json").count() == 25
     assert sources.json_lines(spark, str(tmp_path / "j"), variant=True).count() == 25
     assert Engine(spark).table("n", sources.json_lines(spark, str(tmp_path / "j"))).collect("$.n.map(n_nationkey).max()") == 24
+
+
+def test_sessions(spark, tmp_path):
+    from treeloom.streaming import sessions
+    rows = [("a", 0), ("a", 50), ("a", 500), ("b", 10), ("b", 700)]
+    spark.createDataFrame(rows, "user string, s long").withColumn("ts", F.timestamp_seconds("s")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user string, s long, ts timestamp").parquet(str(tmp_path / "in"))
+    got = sessions(stream, "ts", "10 minutes", "2 minutes", ["user"], {"n": F.count("*")})
+    got.writeStream.format("memory").queryName("sessions").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+    assert sorted((r["user"], r["n"]) for r in spark.table("sessions").collect()) == [("a", 3), ("b", 1), ("b", 1)]
+
+
+def test_tables_from_python(spark):
+    from treeloom import sources
+    e = Engine(spark).table("t", sources.rows(spark, [{"a": 1, "b": "x"}, {"a": 2, "b": None}]), ["a"])
+    assert e.collect("$.t.map({a, b})") == [{"a": 1, "b": "x"}, {"a": 2}]
+    assert e.collect("$.t.sum(a)") == 3
