@@ -59,7 +59,7 @@ class ByteBpe:
         self.back[[ord(c) for c in self.shown]] = np.arange(256)
         self.size = np.array([len(p) for p in self.table], dtype=np.int64)
         self.decimal = [str(i) for i in range(len(self.table))]
-        self.known = Known(self.chunk, len(self.table))
+        self.known = Known(self.chunk, len(self.table), 75_000)
 
     def piece(self, piece: str) -> list[int]:
         raw = piece.encode("utf-8", "surrogatepass")
@@ -185,6 +185,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     c.append(zlib.crc32(stop.astype("<u4").tobytes(), zlib.crc32(start.astype("<u4").tobytes())))
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *([pa.array(c, pa.int64())] if spans else [])]
             yield pa.RecordBatch.from_arrays(cols, names)
+        codec(path).known.forget()
+        pa.default_memory_pool().release_unused()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", spans_crc32 long" * spans
     names = [f.split()[0] for f in schema.split(", ")]

@@ -19,7 +19,7 @@ CELL = 2048
 def table_shape(vectors: int, threshold: float, miss: float) -> tuple[int, int]:
     """(bits, tables): buckets of about BUCKET vectors, and as many tables as
     keep the chance of missing a pair right at the threshold under ``miss``."""
-    bits = min(24, max(2, math.ceil(math.log2(max(1, vectors) / BUCKET)))) if vectors > BUCKET else 1
+    bits = min(30, max(2, math.ceil(math.log2(max(1, vectors) / BUCKET)))) if vectors > BUCKET else 1
     same = 1 - math.acos(min(1.0, threshold)) / math.pi
     if same >= 1:
         return bits, 1

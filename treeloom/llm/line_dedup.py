@@ -119,9 +119,12 @@ def _chunks(table: np.ndarray, size: int):
     return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([_zip(parts[k]) for k in at], pa.binary())], ["chunk", "data"])
 
 
-def _folded(rows: DataFrame, fold, kind, out) -> DataFrame:
+def _folded(rows: DataFrame, fold, kind, out, finish=_zip) -> DataFrame:
     """The parts of each chunk, of one kind, made one of another by ``fold``, a
-    chunk at a time."""
+    chunk at a time; ``finish`` makes the bytes of it."""
+    def made(chunk, held):
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([finish(held)], pa.binary())], ["chunk", "data"])
+
     def run(batches):
         chunk, held = None, None
         for b in batches:
@@ -129,12 +132,12 @@ def _folded(rows: DataFrame, fold, kind, out) -> DataFrame:
                 part = _unzip(data, kind)
                 if k != chunk:
                     if held is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([_zip(held)], pa.binary())], ["chunk", "data"])
+                        yield made(chunk, held)
                     chunk, held = k, part.astype(out)
                 else:
                     fold(held, part, out=held, casting="unsafe")
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([_zip(held)], pa.binary())], ["chunk", "data"])
+            yield made(chunk, held)
 
     return rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk int, data binary")
 
@@ -156,17 +159,12 @@ def _levels(texts: DataFrame) -> np.ndarray:
     """A level for each bucket of the sketch: 0 for words met once at most,
     then four steps to each power of two. At most 2 ** SKETCH bytes come to
     the driver, whatever the corpus holds."""
-    def level(batches):
-        for b in batches:
-            data = []
-            for v in b.column(1).to_pylist():
-                n = _unzip(v, np.uint64)
-                data.append(np.where(n > 1, np.clip(np.ceil(4 * np.log2(np.maximum(n, 1))) - 3, 1, (1 << LEVEL) - 1), 0).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["chunk", "data"])
+    def level(n):
+        return np.where(n > 1, np.clip(np.ceil(4 * np.log2(np.maximum(n, 1))) - 3, 1, (1 << LEVEL) - 1), 0).astype(np.uint8).tobytes()
 
-    counts = _folded(texts.mapInArrow(_count, "chunk int, data binary"), np.add, np.uint32, np.uint64)
+    counts = _folded(texts.mapInArrow(_lean(_count), "chunk int, data binary"), np.add, np.uint32, np.uint64, level)
     table = np.zeros(1 << SKETCH, dtype=np.uint8)
-    for row in counts.mapInArrow(level, "chunk int, data binary").collect():  # a byte for each bucket
+    for row in counts.collect():  # a byte for each bucket
         table[row["chunk"] << CHUNK:(row["chunk"] + 1) << CHUNK] = np.frombuffer(bytes(row["data"]), np.uint8)
     return table
 
@@ -444,20 +442,30 @@ def _members(levels, wanted, least: int, seed: int):
     return run
 
 
+def _lean(run):
+    """Work of a task that gives back at its end what Arrow keeps for reuse:
+    the worker lives on beside others."""
+    def lean(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return lean
+
+
 def line_matches(docs: DataFrame, scratch: Scratch, threshold: float, least: int, seed: int = 1) -> DataFrame:
     """(doc_id, text_key, lines): the numbers of the lines to remove."""
     spark = docs.sparkSession
     texts = docs.select("text")
     levels = spark.sparkContext.broadcast(_levels(texts))
     lines = scratch.keep(docs.select("doc_id", "text_key", "text").mapInArrow(
-        _prefixes(levels, threshold, least, seed),
+        _lean(_prefixes(levels, threshold, least, seed)),
         "doc_id long, text_key long, line int, d1 long, d2 long, low long, high long, n int, cool int, prefix array<int>"))
     place = F.struct("doc_id", "line", "text_key")
     same = lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), (F.count("*") > 1).alias("many"), *[F.first(c).alias(c) for c in ("low", "high", "n", "cool", "prefix")])
     sets = scratch.keep(same.withColumn("sid", F.monotonically_increasing_id()))
     rows = _rows(sets, scratch, threshold)
     dealt = lambda df: df.repartition(*BUCKET).sortWithinPartitions(*BUCKET)
-    found = scratch.keep(dealt(rows).mapInArrow(_candidates(threshold, TRIED), "late long, early long, more boolean").distinct())
+    found = scratch.keep(dealt(rows).mapInArrow(_lean(_candidates(threshold, TRIED)), "late long, early long, more boolean").distinct())
     names = sets.select("sid", "d1", "d2", "first")
 
     def members(ids: DataFrame, every: bool) -> DataFrame:
@@ -472,7 +480,7 @@ def line_matches(docs: DataFrame, scratch: Scratch, threshold: float, least: int
             keys = [docs[c].eqNullSafe(at[c]) for c in ("doc_id", "text_key")]
             among = docs.join(F.broadcast(at) if small(at) else at, keys[0] & keys[1], "left_semi").select("text")
         ids = ids.drop("first")
-        said = among.mapInArrow(_members(levels, wanted, least, seed), "d1 long, d2 long, words string").distinct().join(ids, ["d1", "d2"])
+        said = among.mapInArrow(_lean(_members(levels, wanted, least, seed)), "d1 long, d2 long, words string").distinct().join(ids, ["d1", "d2"])
         return scratch.keep(said.groupBy("sid").agg(F.min("words").alias("words"), F.max("words").alias("other")))
 
     pairs = found.where("not more").select("late", "early")

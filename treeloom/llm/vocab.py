@@ -43,15 +43,16 @@ def tokenizer(path: str):
 class Known(dict):
     """Ids of words met before, as bytes of unsigned 16- or 32-bit integers.
 
-    Words over LONGEST characters are not kept. When there are CACHED of them
+    Words over LONGEST characters are not kept. When there are ``cached`` of them
     they become the older generation, from which a word met again comes back,
     and the one older is dropped: so the size is bounded.
     """
 
     CACHED, LONGEST = 150_000, 48
 
-    def __init__(self, ids_of, count: int):
+    def __init__(self, ids_of, count: int, cached: int = CACHED):
         super().__init__()
+        self.cached = cached
         self.ids_of, self.code = ids_of, "H" if count <= 1 << 16 else "I"
         self.kind, self.older = np.dtype(self.code), {}
 
@@ -60,11 +61,16 @@ class Known(dict):
         if ids is None:
             ids = array(self.code, self.ids_of(word)).tobytes()
         if len(word) <= self.LONGEST:
-            if len(self) >= self.CACHED:
+            if len(self) >= self.cached:
                 self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        """Hold nothing; for the end of a task, as its worker lives on."""
+        self.clear()
+        self.older = {}
+
     def join(self, words) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype=self.kind)
