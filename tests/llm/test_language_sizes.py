@@ -97,7 +97,7 @@ def test_a_sample_keeps_its_bound_and_copies_count_once(spark):
     assert learn(docs, sample_docs=20) == learn(docs.repartition(2), sample_docs=20)
 
 
-def test_the_margin_comes_from_texts_outside_the_dictionaries(spark):
+def test_the_margin_comes_from_texts_outside_the_dictionaries(spark, monkeypatch):
     r = random.Random(4)
     rows = [(i, " ".join(r.choice(SAID["en" if i % 2 else "fr"].split()) for _ in range(60)), "en" if i % 2 else "fr") for i in range(400)]
     # one word that no dictionary holds is a tie, labelled as the other language
@@ -105,9 +105,12 @@ def test_the_margin_comes_from_texts_outside_the_dictionaries(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     learned = learn(docs.where("doc_id < 1000"), sample_docs=40)
     tied = [t for _, t, _ in rows[400:] if classify(t, tuple(learned))[1] < 0.001]
+    monkeypatch.setattr(language_id, "EVIDENCE", 5)
     margin = language_id.choose_margin(docs, learned, sample_docs=40)
     wrong = [t for t in tied if classify(t, tuple(learned))[0] != "fr"]
     assert (margin > 0) == (2 * len(wrong) >= len(tied) > 0)
+    monkeypatch.setattr(language_id, "EVIDENCE", 1000)
+    assert language_id.choose_margin(docs, learned, sample_docs=40) == 0
     assert language_id.choose_margin(docs.where("doc_id < 1000"), learned, sample_docs=40) == 0
     assert language_id.choose_margin(docs.limit(0), learned) == 0
     assert language_id.choose_margin(docs, learned[:1]) == 0

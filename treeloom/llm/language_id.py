@@ -17,8 +17,9 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY, DICTIONARIES = 96, 16_384, 131_072, 1 <<
 #: More languages than this are an error, not a cap.
 LANGUAGES = 4096
 WINDOW = 4096
-#: Labelled texts that choose a margin, and the margins to choose from.
-JUDGED, MARGINS = 2048, (0.001, 0.002, 0.005, 0.01, 0.02)
+#: Labelled texts that choose a margin, the margins to choose from, and how
+#: many of the texts must lie under one to speak for it.
+JUDGED, MARGINS, EVIDENCE = 2048, (0.001, 0.002, 0.005, 0.01, 0.02), 30
 #: Letters alone make a text one of a language; marks belong to their words.
 LETTER = regex.compile(r"\p{L}")
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
@@ -85,8 +86,8 @@ def choose_margin(docs: DataFrame, learned: list[tuple[str, bytes]], text_col: s
                   sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, judged: int = JUDGED) -> float:
     """The margin under which a prediction is no better than a guess: of the
     labelled texts that the dictionaries were not made of, the widest of
-    MARGINS such that of those under it half or fewer are right; 0, which
-    rejects none, if there is no such margin or no such text. At most
+    MARGINS such that of those under it, EVIDENCE or more, half or fewer are
+    right; 0, which rejects none, if there is no such margin. At most
     ``judged`` texts come to the driver."""
     if len(learned) < 2:
         return 0.0
@@ -97,7 +98,7 @@ def choose_margin(docs: DataFrame, learned: list[tuple[str, bytes]], text_col: s
     best = 0.0
     for m in MARGINS:
         under = [right for margin, right in found if margin < m]
-        if under and sum(under) * 2 <= len(under):
+        if len(under) >= EVIDENCE and sum(under) * 2 <= len(under):
             best = m
     return best
 
@@ -153,6 +154,7 @@ def identify(docs: DataFrame, learned: list[tuple[str, bytes]], text_col: str =
                 [*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
                  pa.array([g[0] != UNKNOWN and g[1] >= min_margin for g in got], pa.bool_())],
                 [*names, "lang_pred", "lang_score", "lang_accepted"])
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 
