@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import acos, ceil, comb, log, pi, sqrt
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -14,9 +16,14 @@ from .components import connected_components, forest
 BITS = 64
 CHUNK, HELD = 1 << 14, 1 << 18
 SLICE = 1 << 16
-#: Min-hashes of a set of shingles in BANDS bands of WIDTH: of two sets with a
-#: Jaccard similarity of 0.8 no band agrees with a chance of 3e-6.
-BANDS, WIDTH, MINHASHED = 32, 5, 1 << 12
+#: Wide fingerprints of sets: a word of BITS bits is led by each of its LEADS
+#: blocks of LEAD bits in turn. LEAF values of a trie node are compared at once.
+LEAD, LEADS, LEAF = 14, 4, 16
+#: Hashes turned at once; 255 at most, as they are counted in bytes.
+TURNED = 248
+#: A pair of sets this small may differ in more bits than the angle says.
+FEW = 5
+_BYTES = np.uint64(0x0101010101010101)
 
 
 def _shingles(text: str | None, shingle: int):
@@ -61,15 +68,22 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def trie_pairs(vals: np.ndarray, depth: int, budget: int):
+def trie_pairs(vals: np.ndarray, depth: int, budget: int, more: np.ndarray | None = None, size: int = 1):
     """Pairs of positions in ``vals`` (sorted, no repeats) that share their
-    first ``depth`` bits and differ in at most ``budget`` others.
+    first ``depth`` bits and differ in at most ``budget`` others; those of
+    ``more``, a second word of each, count too.
 
     A trie node is a range of the sorted values. Node pairs are walked down
     together a bit at a time; a pair's differing bits add up and it is dropped
-    beyond the budget. Two leaves are compared at once. Pairs wait on a stack
-    in chunks, so memory does not follow the size of a bucket.
+    beyond the budget. Two leaves, nodes of at most ``size`` values, are
+    compared at once. Pairs wait on a stack in chunks, so memory does not
+    follow the size of a bucket.
     """
+    def near(x, y):
+        far = np.bitwise_count(vals[x] ^ vals[y])
+        ok = (far if more is None else far + np.bitwise_count(more[x] ^ more[y])) <= budget
+        return x[ok], y[ok]
+
     top = vals >> np.uint64(BITS - depth)
     edge = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1], [True]]))
     lo, hi = edge[:-1], edge[1:]
@@ -81,12 +95,16 @@ def trie_pairs(vals: np.ndarray, depth: int, budget: int):
         if not len(al):
             continue
         own = al == bl
-        leaf = (ah - al == 1) & (bh - bl == 1) & ~own
+        leaf = (ah - al <= size) & (bh - bl <= size) & ~(own & (ah - al == 1))
         if leaf.any():
-            x, y = al[leaf], bl[leaf]
-            near = np.bitwise_count(vals[x] ^ vals[y]) <= budget
-            if near.any():
-                yield x[near], y[near]
+            x, span, k = al[leaf], (ah - al)[leaf], (bh - bl)[leaf]
+            first, k = np.repeat(bl[leaf], span), np.repeat(k, span)
+            x = np.repeat(x - (np.cumsum(span) - span), span) + np.arange(span.sum())
+            y = np.repeat(first - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            x = np.repeat(x, k)
+            x, y = near(x[x < y], y[x < y])
+            if len(x):
+                yield x, y
             al, ah, bl, bh, far, own = (v[~leaf] for v in (al, ah, bl, bh, far, own))
         if not len(al) or d == BITS:
             continue
@@ -197,17 +215,38 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, budget: int = 3, id_col: s
     return fps.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _bands(h: np.ndarray) -> np.ndarray:
-    """A key for each band of min-hashes of a set of hashes."""
-    r = np.random.default_rng(64)
-    turn, odd = (r.integers(0, 1 << 63, (BANDS * WIDTH, 1), dtype=np.uint64) for _ in range(2))
-    odd = odd << np.uint64(1) | np.uint64(1)
-    low = np.full(BANDS * WIDTH, np.uint64((1 << 64) - 1))
-    for i in range(0, len(h), MINHASHED):
-        low = np.minimum(low, ((h[None, i:i + MINHASHED] ^ turn) * odd).min(axis=1))
-    low = (low ^ (low >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    key = (low * odd[::-1, 0]).reshape(BANDS, WIDTH).sum(axis=1, dtype=np.uint64)
-    return (key ^ (key >> np.uint64(32))).view(np.int64)
+def _chance(n: int, p: float, most: int) -> float:
+    return sum(comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(most + 1))
+
+
+def width_for(similarity: float, missed: float) -> tuple[int, int]:
+    """(words, budget) of wide fingerprints: of two sets with this Jaccard
+    similarity no try finds both in its budget with a chance of ``missed``.
+
+    Sets of similarity s have a cosine of 2s / (1 + s) or more, and a bit
+    differs with the chance of their angle. A try sees its lead block equal
+    and the rest of its word and a second word within the budget.
+    """
+    p = acos(min(2 * similarity / (1 + similarity), 1)) / pi
+    rest = 2 * BITS - LEAD
+    budget = ceil(rest * p + 3 * sqrt(rest * p * (1 - p)))
+    found = (1 - p) ** LEAD * _chance(rest, p, budget)
+    return (ceil(log(missed) / log(1 - found) / LEADS) if found < 1 else 1), budget
+
+
+def wide(h: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of a set of hashes in so many words of 64 bits."""
+    salt = np.random.default_rng(64).integers(0, 1 << 63, words, dtype=np.uint64)
+    ones = np.zeros((8, words, 8), np.int64)
+    for i in range(0, len(h), TURNED):
+        x = (h[i:i + TURNED, None] ^ salt) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        for k in range(8):  # the k-th bits of all bytes are counted together
+            ones[k] += ((x >> np.uint64(k)) & _BYTES).sum(axis=0).view(np.uint8).reshape(words, 8)
+    bits = (2 * ones > len(h)).transpose(1, 2, 0)
+    return np.packbits(bits.reshape(words, -1), axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
 def _digest(h: np.ndarray) -> int:
@@ -219,25 +258,91 @@ def _set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def _sketches(shingle: int, similarity: float):
+def _sketches(shingle: int, similarity: float, words: int):
     def run(batches):
         for b in batches:
-            digests, fps, bands = [], [], []
+            digests, fps = [], []
             for t in b.column(2).to_pylist():
-                parts = list(_shingles(t, shingle))
-                h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+                h = _set(t, shingle)
                 digests.append(_digest(h))
-                fps.append(_majority(parts))
                 # smaller sets match only equal ones
-                bands.append(_bands(h) if len(h) and len(h) / (len(h) + 1) >= similarity - 1e-9 else np.zeros(0, np.int64))
-            ends = pa.array(np.cumsum([0, *map(len, bands)]), pa.int32())
+                alone = not len(h) or len(h) / (len(h) + 1) < similarity - 1e-9
+                fps.append(np.zeros(0, np.int64) if alone else wide(h, 1 + words * (2 if len(h) <= FEW else 1)))
+            ends = pa.array(np.cumsum([0, *map(len, fps)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(digests, pa.int64()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bands) if bands else [], pa.int64()))],
-                ["doc_id", "text_key", "digest", "fp", "bands"])
+                [b.column(0), b.column(1), pa.array(digests, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(fps) if fps else [], pa.int64()))],
+                ["doc_id", "text_key", "digest", "fp"])
+
+    return run
+
+
+def _deal(batches):
+    """Tries of wide fingerprints, as (key, data): of each word, turned so that
+    one of its lead blocks comes first, the values by their first bits, each
+    with the fingerprint's first word, which names it."""
+    for b in batches:
+        fps = b.column(0)
+        n, flat = np.diff(fps.offsets.to_numpy()), fps.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        start = np.cumsum(n) - n
+        for word in range(1, int(n.max(initial=0))):
+            at = start[n > word]
+            for lead in range(LEADS):
+                v = flat[at + word]
+                shift = np.uint64(lead * LEAD)
+                v = (v << shift) | (v >> (np.uint64(BITS) - shift)) if lead else v
+                order = np.argsort(v, kind="stable")
+                rows, top = np.stack([v, flat[at]], axis=1)[order], (v >> np.uint64(BITS - 6))[order].astype(np.int64)
+                cut = np.flatnonzero(np.diff(top, prepend=-1))
+                keys = ((word * LEADS + lead) << 6) | top[cut]
+                data = [rows[i:j].tobytes() for i, j in zip(cut, np.append(cut[1:], len(rows)), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], ["key", "data"])
+
+
+def _join_wide(budget: int):
+    def links(parts):
+        rows = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        new = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
+        first = np.flatnonzero(new)
+        # equal values are one leaf
+        a, b = [rows[~new, 1]], [rows[first[np.cumsum(new) - 1], 1][~new]]
+        vals, name = rows[first, 0].copy(), rows[first, 1].copy()
+        held = len(a[0])
+        for x, y in trie_pairs(vals, LEAD, budget, name, LEAF):
+            a.append(name[x])
+            b.append(name[y])
+            held += len(x)
+            if held > HELD:
+                p, q = forest(np.concatenate(a), np.concatenate(b))
+                a, b, held = [p], [q], len(p)
+        p, q = forest(np.concatenate(a), np.concatenate(b))
+        yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(q.view(np.int64))], ["a", "b"])
+
+    def run(batches):
+        key, held, parts = None, 0, []
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                # a try goes as a whole, or as soon as enough of its buckets are there
+                if parts and k != key and (k >> 6 != key >> 6 or held > HELD):
+                    yield from links(parts)
+                    held, parts = 0, []
+                key, held = k, held + len(data) // 16
+                parts.append(data)
+        if parts:
+            yield from links(parts)
 
     return run
 
 
+def wide_links(fps: DataFrame, budget: int) -> DataFrame:
+    """(a, b): links between the first words of wide fingerprints, a column fp
+    of arrays, by a trie self-join of each of their other words from each of
+    its lead blocks: values that share the block and differ in at most
+    ``budget`` bits of word and first word together."""
+    rows = fps.select("fp").mapInArrow(_deal, "key long, data binary").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(_join_wide(budget), "a long, b long")
+
+
 def joined(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """Of each of some distinct sets the first one that is reachable through
     pairs of a Jaccard similarity of ``similarity`` or more.
@@ -294,40 +399,39 @@ def _joined(shingle: int, similarity: float):
     return run
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, missed: float = 3e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of texts whose sets of shingles are alike.
 
     Returns one row per input row: doc_id, text_key (a hash of the text) and
     group. Texts are of one group that are reachable through pairs with a
-    Jaccard similarity of ``similarity`` or more. Candidates are the trie
-    join's links within ``budget`` differing bits, which alone find only the
-    most alike, and texts that agree in a band of min-hashes; a pair of 0.8 is
-    in none with a chance of 3e-6. Candidates only say which texts are looked
-    at together: all pairs of a candidates' component are then settled by their
-    whole sets, so no pair below ``similarity`` links.
+    Jaccard similarity of ``similarity`` or more. Candidates are the links of a
+    trie self-join of the sets' SimHash fingerprints, which are as wide, and
+    its budget as large, as the similarity asks for: a pair of just that
+    similarity has no link with a chance of ``missed``. Candidates only say
+    which texts are looked at together: all pairs of a candidates' component
+    are then settled by their whole sets, so no pair below ``similarity``
+    links.
 
     Texts without words are alike; otherwise as in simhash_groups. A task holds
     the sets of one component of candidates, equal ones once.
     """
     scratch = Scratch(docs.sparkSession, "similar")
+    words, budget = width_for(similarity, missed)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text"))
-    rows = scratch.keep(texts.mapInArrow(_sketches(shingle, similarity), "doc_id long, text_key long, digest long, fp long, bands array<long>"))
-    sets = scratch.keep(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    bands = sets.select("digest", F.posexplode("bands").alias("band", "key"))
-    low = bands.groupBy("band", "key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high")
-    low = scratch.keep(low.select("band", "key", "low"))
-    met = bands.join(F.broadcast(low) if small(low) else low, ["band", "key"]).select(F.col("digest").alias("a"), F.col("low").alias("b"))
-    reps = scratch.keep(sets.groupBy("fp").agg(F.min("digest").alias("low")))
-    near = near_links(reps.select("fp"), budget)
-    near = near.join(reps.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(reps.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
-    same = sets.select("digest", "fp").join(reps, "fp").where("digest <> low").select("digest", "low")
-    comp = scratch.keep(connected_components(met.unionByName(near.toDF("a", "b")).unionByName(same.toDF("a", "b")).where("a <> b").distinct(), scratch))
-    wanted = scratch.keep(sets.join(comp, sets["digest"] == comp["node"]).select("digest", "component", F.col("at.doc_id").alias("__id"), F.col("at.text_key").alias("__key")))
+    rows = scratch.keep(texts.mapInArrow(_sketches(shingle, similarity, words), "doc_id long, text_key long, digest long, fp array<long>"))
+    sets = scratch.keep(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("fp").alias("fp")))
+    links = wide_links(sets.where(F.size("fp") > 0), budget)
+    named = sets.where(F.size("fp") > 0).select("digest", F.get("fp", F.lit(0)).alias("name"), "at")
+    # fingerprints of one first word are one node
+    several = named.groupBy("name").count().where(F.col("count") > 1).select(F.col("name").alias("node"), F.col("name").alias("component"))
+    comp = connected_components(links, scratch)
+    comp = scratch.keep(comp.unionByName(several.join(comp, "node", "left_anti")))
+    wanted = scratch.keep(named.join(comp, named["name"] == comp["node"]).select("digest", "component", F.col("at.doc_id").alias("__id"), F.col("at.text_key").alias("__key")))
     looked = texts.join(F.broadcast(wanted) if small(wanted) else wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")))
     looked = looked.select("component", "digest", "text").repartition("component").sortWithinPartitions("component")
     group = scratch.keep(looked.mapInArrow(_joined(shingle, similarity), "digest long, group long"))
     out = scratch.keep(rows.select("doc_id", "text_key", "digest").join(F.broadcast(group) if small(group) else group, "digest", "left")
                        .select("doc_id", "text_key", F.coalesce("group", "digest").alias("group")))
-    for t in (rows, sets, low, reps, comp, wanted, group):
+    for t in (rows, sets, comp, wanted, group):
         scratch.drop(t)
     return out
