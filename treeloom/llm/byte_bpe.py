@@ -12,6 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .vocab import Known, byte_chars, rank_file
 
 # The Unicode property of white space, which patterns of public
@@ -190,4 +191,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", spans_crc32 long" * spans
     names = [f.split()[0] for f in schema.split(", ")]
-    return _texts(docs, id_col, text_col).mapInArrow(run, schema)
+    return _texts(docs, id_col, text_col).mapInArrow(lean(run), schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +62,16 @@ class Scratch:
             self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
+def lean(run):
+    """Work of a task that gives back at its end what Arrow keeps for reuse:
+    the worker lives on beside others."""
+    def leaning(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return leaning
+
+
 def text_of(name: str):
     """A text column; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: The bounded sample: documents of each language, characters of each document
 #: at most, bytes of a dictionary and of all dictionaries together.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY, DICTIONARIES = 96, 16_384, 131_072, 1 << 25
@@ -156,7 +158,7 @@ def identify(docs: DataFrame, learned: list[tuple[str, bytes]], text_col: str =
                 [*names, "lang_pred", "lang_score", "lang_accepted"])
         pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small, text_of
+from .common import Scratch, lean, small, text_of
 
 #: Rarity comes from counts in 2 ** SKETCH buckets of word hashes, a table of
 #: fixed size whatever the corpus; it is summed in chunks of 2 ** CHUNK.
@@ -162,7 +162,7 @@ def _levels(texts: DataFrame) -> np.ndarray:
     def level(n):
         return np.where(n > 1, np.clip(np.ceil(4 * np.log2(np.maximum(n, 1))) - 3, 1, (1 << LEVEL) - 1), 0).astype(np.uint8).tobytes()
 
-    counts = _folded(texts.mapInArrow(_lean(_count), "chunk int, data binary"), np.add, np.uint32, np.uint64, level)
+    counts = _folded(texts.mapInArrow(lean(_count), "chunk int, data binary"), np.add, np.uint32, np.uint64, level)
     table = np.zeros(1 << SKETCH, dtype=np.uint8)
     for row in counts.collect():  # a byte for each bucket
         table[row["chunk"] << CHUNK:(row["chunk"] + 1) << CHUNK] = np.frombuffer(bytes(row["data"]), np.uint8)
@@ -442,30 +442,20 @@ def _members(levels, wanted, least: int, seed: int):
     return run
 
 
-def _lean(run):
-    """Work of a task that gives back at its end what Arrow keeps for reuse:
-    the worker lives on beside others."""
-    def lean(batches):
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-
-    return lean
-
-
 def line_matches(docs: DataFrame, scratch: Scratch, threshold: float, least: int, seed: int = 1) -> DataFrame:
     """(doc_id, text_key, lines): the numbers of the lines to remove."""
     spark = docs.sparkSession
     texts = docs.select("text")
     levels = spark.sparkContext.broadcast(_levels(texts))
     lines = scratch.keep(docs.select("doc_id", "text_key", "text").mapInArrow(
-        _lean(_prefixes(levels, threshold, least, seed)),
+        lean(_prefixes(levels, threshold, least, seed)),
         "doc_id long, text_key long, line int, d1 long, d2 long, low long, high long, n int, cool int, prefix array<int>"))
     place = F.struct("doc_id", "line", "text_key")
     same = lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), (F.count("*") > 1).alias("many"), *[F.first(c).alias(c) for c in ("low", "high", "n", "cool", "prefix")])
     sets = scratch.keep(same.withColumn("sid", F.monotonically_increasing_id()))
     rows = _rows(sets, scratch, threshold)
     dealt = lambda df: df.repartition(*BUCKET).sortWithinPartitions(*BUCKET)
-    found = scratch.keep(dealt(rows).mapInArrow(_lean(_candidates(threshold, TRIED)), "late long, early long, more boolean").distinct())
+    found = scratch.keep(dealt(rows).mapInArrow(lean(_candidates(threshold, TRIED)), "late long, early long, more boolean").distinct())
     names = sets.select("sid", "d1", "d2", "first")
 
     def members(ids: DataFrame, every: bool) -> DataFrame:
@@ -480,7 +470,7 @@ def line_matches(docs: DataFrame, scratch: Scratch, threshold: float, least: int
             keys = [docs[c].eqNullSafe(at[c]) for c in ("doc_id", "text_key")]
             among = docs.join(F.broadcast(at) if small(at) else at, keys[0] & keys[1], "left_semi").select("text")
         ids = ids.drop("first")
-        said = among.mapInArrow(_lean(_members(levels, wanted, least, seed)), "d1 long, d2 long, words string").distinct().join(ids, ["d1", "d2"])
+        said = among.mapInArrow(lean(_members(levels, wanted, least, seed)), "d1 long, d2 long, words string").distinct().join(ids, ["d1", "d2"])
         return scratch.keep(said.groupBy("sid").agg(F.min("words").alias("words"), F.max("words").alias("other")))
 
     pairs = found.where("not more").select("late", "early")
@@ -501,12 +491,12 @@ def line_matches(docs: DataFrame, scratch: Scratch, threshold: float, least: int
         met = scratch.keep(rows.join(open_, "sid", "left_semi").select(*BUCKET).distinct())
         again = rows.join(met, BUCKET, "left_semi").join(open_.withColumn("still", F.lit(True)), "sid", "left")
         again = again.withColumn("still", F.coalesce("still", F.lit(False))).select(*MEET, "still")
-        needed = scratch.keep(dealt(again).mapInArrow(_needed(threshold), "sid long").distinct())
+        needed = scratch.keep(dealt(again).mapInArrow(lean(_needed(threshold)), "sid long").distinct())
         full = members(needed, False)
         if not full.where("words != other").isEmpty():
             return line_matches(docs, scratch, threshold, least, seed + 1)
         again = again.join(full.select("sid", F.split("words", " ").alias("words")), "sid").select(*MEET, "still", "words")
-        gone = scratch.keep(gone.unionByName(dealt(again).mapInArrow(_settle(threshold), "sid long")).distinct())
+        gone = scratch.keep(gone.unionByName(dealt(again).mapInArrow(lean(_settle(threshold)), "sid long")).distinct())
         scratch.drop(full)
     # lines of sets that stay and have one line only take no further part
     state = sets.join(gone.withColumn("gone", F.lit(True)), "sid", "left").where("many or gone").select("d1", "d2", "first", "gone")

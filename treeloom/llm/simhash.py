@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small, text_of
+from .common import Scratch, lean, small, text_of
 from .components import connected_components, forest
 
 BITS = 64
@@ -339,8 +339,8 @@ def wide_links(fps: DataFrame, budget: int) -> DataFrame:
     of arrays, by a trie self-join of each of their other words from each of
     its lead blocks: values that share the block and differ in at most
     ``budget`` bits of word and first word together."""
-    rows = fps.select("fp").mapInArrow(_deal, "key long, data binary").repartition("key").sortWithinPartitions("key")
-    return rows.mapInArrow(_join_wide(budget), "a long, b long")
+    rows = fps.select("fp").mapInArrow(lean(_deal), "key long, data binary").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(lean(_join_wide(budget)), "a long, b long")
 
 
 def joined(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -418,7 +418,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     scratch = Scratch(docs.sparkSession, "similar")
     words, budget = width_for(similarity, missed)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text"))
-    rows = scratch.keep(texts.mapInArrow(_sketches(shingle, similarity, words), "doc_id long, text_key long, digest long, fp array<long>"))
+    rows = scratch.keep(texts.mapInArrow(lean(_sketches(shingle, similarity, words)), "doc_id long, text_key long, digest long, fp array<long>"))
     sets = scratch.keep(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("fp").alias("fp")))
     links = wide_links(sets.where(F.size("fp") > 0), budget)
     named = sets.where(F.size("fp") > 0).select("digest", F.get("fp", F.lit(0)).alias("name"), "at")
@@ -429,7 +429,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     wanted = scratch.keep(named.join(comp, named["name"] == comp["node"]).select("digest", "component", F.col("at.doc_id").alias("__id"), F.col("at.text_key").alias("__key")))
     looked = texts.join(F.broadcast(wanted) if small(wanted) else wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")))
     looked = looked.select("component", "digest", "text").repartition("component").sortWithinPartitions("component")
-    group = scratch.keep(looked.mapInArrow(_joined(shingle, similarity), "digest long, group long"))
+    group = scratch.keep(looked.mapInArrow(lean(_joined(shingle, similarity)), "digest long, group long"))
     out = scratch.keep(rows.select("doc_id", "text_key", "digest").join(F.broadcast(group) if small(group) else group, "digest", "left")
                        .select("doc_id", "text_key", F.coalesce("group", "digest").alias("group")))
     for t in (rows, sets, comp, wanted, group):

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .byte_bpe import round_trip
-from .common import Scratch, text_of
+from .common import Scratch, lean, small, text_of
 from .language_id import choose_margin, identify, learn
 from .line_dedup import dedup_lines
 from .mixing import mix
@@ -66,18 +66,27 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     to them in turn; any of them may get any, as they are alike."""
     scratch = Scratch(spark, "mixed")
     cuts = ["rounds", "size", "a0", "a1", "b0", "b1"]
-    plan = mix(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("source").alias("__source"), *[F.col(c).alias(f"__{c}") for c in cuts])
-    # rows that repeat id, text and source are told apart by their number
-    same = W.partitionBy("__id", "__key", "__source").orderBy("__rounds", "__a0", "__a1", "__b0", "__b1")
+    key = ["__id", "__key", "__source"]
+    plan = mix(docs).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("source").alias("__source"), "taken", *[F.col(c).alias(f"__{c}") for c in cuts])
+    plan = plan.withColumn("__more", F.count("*").over(W.partitionBy(*key)) > 1).where("taken > 0").drop("taken")
+    same = W.partitionBy(*key).orderBy("__rounds", "__a0", "__a1", "__b0", "__b1")
     plan = scratch.keep(plan.withColumn("__n", F.row_number().over(same)))
-    numbered = docs.withColumn("__key2", F.xxhash64("text"))
-    numbered = numbered.withColumn("__n2", F.row_number().over(W.partitionBy("doc_id", "__key2", "source").orderBy(F.xxhash64(*[c for c in docs.columns if c != "text"]))))
-    met = numbered.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__key2")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__n2")))
+    keyed = docs.withColumn("__key2", F.xxhash64("text"))
+    of = lambda p: F.col("doc_id").eqNullSafe(p["__id"]) & (F.col("__key2") == p["__key"]) & F.col("source").cast("string").eqNullSafe(p["__source"])
+    # texts are not sorted, and shuffled only beside a large plan
+    single = plan.where("not __more")
+    met = keyed.join(F.broadcast(single) if small(single) else single.hint("shuffle_hash"), of(single))
+    # rows that repeat id, text and source are told apart by their number
+    more = plan.where("__more")
+    keys = scratch.keep(more.select(*key).distinct())
+    number = F.row_number().over(W.partitionBy("doc_id", "__key2", "source").orderBy(F.xxhash64(*[c for c in docs.columns if c != "text"])))
+    numbered = keyed.join(F.broadcast(keys) if small(keys) else keys, of(keys), "left_semi").withColumn("__n2", number)
+    met = met.unionByName(numbered.join(more, of(more) & (F.col("__n2") == more["__n"])).drop("__n2"))
     met = met.withColumn("__pass", F.explode(F.sequence(F.lit(0), F.col("__rounds").cast("int"))))
     met = met.where("__pass < __rounds or __a1 > __a0 or __b1 > __b0")
     whole = F.expr("__pass < __rounds or __a1 - __a0 = __size or __b1 - __b0 = __size")
     met = met.select(*docs.columns, F.when(whole, F.array().cast("array<bigint>")).otherwise(F.array("__b0", "__b1", "__a0", "__a1")).alias("__cut"))
-    return with_length(met.mapInArrow(_cut(docs.columns.index("text")), docs.schema))
+    return with_length(met.mapInArrow(lean(_cut(docs.columns.index("text"))), docs.schema))
 
 
 def _cut(at: int):
