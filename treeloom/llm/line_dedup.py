@@ -26,6 +26,11 @@ SECTION = 1 << 20
 TRIED = 4
 #: Pairs looked at, and rows of buckets held, at once.
 PAIRS, HELD = 1 << 18, 1 << 17
+#: Packed rows are dealt to groups of about so many words of lines, or rows
+#: that meet; so many rows are packed together.
+WORDS, ROWS, PACKED = 1 << 19, 1 << 16, 1 << 19
+#: A list of hot words, or of large buckets, has no more than this.
+LISTED = 1 << 20
 
 #: Longer words are hashed one at a time.
 LONG = 256
@@ -69,17 +74,88 @@ def _words(raw: np.ndarray, opens: np.ndarray):
     return a, z, hashes
 
 
-def _lines(texts: pa.Array, at_once: int = SECTION):
+def _bytes(column: pa.Array):
+    """(offsets, data) of texts or bytes."""
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if large else np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return offsets, np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+
+
+def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of spans that begin at ``start`` and are ``n`` long."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The values up to each of ``ends`` as bytes, without a copy."""
+    offsets = (np.concatenate([[0], ends]) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values).view(np.uint8))])
+
+
+def _pack(group: np.ndarray, rows: np.ndarray, n: np.ndarray | None = None, flat: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row (part, data, more) for each group of some packed rows; ``more``
+    has the ``n`` values of ``flat`` that belong to each."""
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    last = np.flatnonzero(np.append(group[1:] != group[:-1], True))
+    if flat is None:
+        more = pa.nulls(len(last), pa.binary())
+    else:
+        more = _cut(flat[_spans((np.cumsum(n) - n)[order], n[order])], np.cumsum(n[order])[last])
+    return pa.RecordBatch.from_arrays([pa.array(group[last].astype(np.int32)), _cut(rows.take(order), last + 1), more], PARTS)
+
+
+PARTS = ["part", "data", "more"]
+DEALT = "part int, data binary, more binary"
+
+
+def _group(hashes: np.ndarray, groups: int) -> np.ndarray:
+    group = (_mix(hashes, 0xA0761D6478BD642F) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
+    return group.astype(np.min_scalar_type(groups))  # short numbers are sorted faster
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    return rows.repartition("part").sortWithinPartitions("part")
+
+
+def _whole(batches, kind: np.dtype, most: int):
+    """(rows, values) of whole groups, about so many rows at a time."""
+    def taken():
+        data, more = [], []
+        for b in held:
+            for k, parts in ((1, data), (2, more)):
+                offsets, raw = _bytes(b.column(k))
+                parts.append(raw[offsets[0]:offsets[-1]])
+        return np.concatenate(data).view(kind), np.concatenate(more).view(np.uint32)
+
+    held, size, last = [], 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part, at = b.column(0).to_numpy(), 0
+        ends = _bytes(b.column(1))[0] // kind.itemsize
+        for edge in np.flatnonzero(np.diff(part, prepend=part[0] if last is None else last)):
+            if size + ends[edge] - ends[at] >= most:
+                held.append(b.slice(at, edge - at))
+                yield taken()
+                held, size, at = [], 0, edge
+        held.append(b.slice(at))
+        size += ends[-1] - ends[at]
+        last = part[-1]
+    if held:
+        yield taken()
+
+
+def _lines(texts: pa.Array, at_once: int = SECTION, words: bool = True):
     """Chunks (texts, numbers, starts, stops, counts, words) of a column: of
     each line its text, number, bytes and number of words; and of the words
-    (starts, stops, hashes), end to end."""
+    (starts, stops, hashes), end to end, unless they are not asked for."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if not len(texts):
         return
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
-    data = texts.buffers()[2]
-    data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    offsets, data = _bytes(texts)
     first = 0
     while first < len(texts):
         last = max(int(np.searchsorted(offsets, offsets[first] + at_once, "right")) - 1, first + 1)
@@ -94,7 +170,7 @@ def _lines(texts: pa.Array, at_once: int = SECTION):
         stop = np.append(start[1:] - 1, len(raw))
         ends = np.append(head[1:] - 1, len(text) - 1)
         stop[ends] = opens[1:]  # a text's last line has no line end
-        if len(raw):
+        if words and len(raw):
             a, z, hashes = _words(raw, opens[:-1][opens[:-1] < len(raw)])
         else:
             a = z = np.zeros(0, np.int64)
@@ -214,81 +290,298 @@ def _least(threshold: float, n):
     return np.ceil(threshold * n - 1e-9).astype(np.int64)
 
 
-def _prefixes(levels, threshold: float, least: int, seed: int):
-    """Of each line its place, the name, size and parities of its set, and the
-    prefix: so many of the rarest words that a match shares two of them, where
-    it shares two. Words met once are 0. Words from ``cool`` on are in the
-    sketch often enough to be hot."""
-    warm = int(max(0, np.ceil(4 * np.log2(max(HOT, 1))) - 3))
+#: A line: the name, parities, size and prefix length of its set, its place
+#: (``some`` is 0 where the document id is null), and how many words of the
+#: prefix are in the sketch too seldom to be hot.
+LINE = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("low", "<i8"), ("high", "<i8"), ("doc", "<i8"), ("key", "<i8"),
+                 ("line", "<i4"), ("n", "<i4"), ("cool", "<i4"), ("words", "<i4"), ("some", "<i4")])
+
+
+def _warm() -> int:
+    """The least level of words that may be hot."""
+    return int(max(0, np.ceil(4 * np.log2(max(HOT, 1))) - 3))
+
+
+def _ids(column: pa.Array):
+    """(ids, whether there is one)."""
+    return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _prefixes(levels, threshold: float, least: int, seed: int, groups: int):
+    """Of each line a LINE and the prefix: so many of the rarest words of its
+    set that a match shares two of them, where it shares two. Words met once
+    are 0. Lines of one name are in one group."""
+    warm = _warm()
+
+    def packed(held):
+        rows, flat = (np.concatenate(v) for v in zip(*held, strict=True))
+        return _pack(_group(rows["d1"].astype(np.uint64), groups), rows, rows["words"].astype(np.int64), flat)
 
     def run(batches):
+        held, size = [], 0
         for b in batches:
-            keys = b.column(1).to_numpy(zero_copy_only=False)
+            (ids, some), keys = _ids(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
             for docs, numbers, _, _, _, counts, hashes in _lines(b.column(2)):
-                words, start, size = _sets(hashes, counts, levels.value)
-                at = np.flatnonzero(size >= least)
+                words, start, n = _sets(hashes, counts, levels.value)
+                at = np.flatnonzero(n >= least)
                 if not len(at):
                     continue
-                sums = _sums(words, start, size, seed)
-                start, size = start[at], size[at]
-                n = np.minimum(size - _least(threshold, size) + 2, size)
-                ends = np.cumsum(n)
-                flat = words[np.repeat(start - (ends - n), n) + np.arange(ends[-1])]
+                rows = np.zeros(len(at), LINE)
+                for c, v in zip(("d1", "d2", "low", "high"), _sums(words, start, n, seed), strict=True):
+                    rows[c] = v[at]
+                docs, start, n = docs[at], start[at], n[at]
+                many = np.minimum(n - _least(threshold, n) + 2, n)
+                ends = np.cumsum(many)
+                flat = words[_spans(start, many)]
                 level = (flat >> np.uint64(64 - LEVEL)).astype(np.int64)
-                cool = np.add.reduceat((level < warm).astype(np.int64), ends - n)
                 short = _mix(flat, 0x165667B19E3779F9).astype(np.uint32)
-                short = np.where(level == 0, np.uint32(0), np.maximum(short, np.uint32(1)))
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(short.view(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(docs[at])), pa.array(keys[docs[at]]), pa.array(numbers[at], pa.int32()), *[pa.array(v[at]) for v in sums],
-                     pa.array(size, pa.int32()), pa.array(cool, pa.int32()), prefix],
-                    ["doc_id", "text_key", "line", "d1", "d2", "low", "high", "n", "cool", "prefix"])
+                cool = np.add.reduceat((level < warm).astype(np.int64), ends - many)
+                for c, v in (("doc", ids[docs]), ("key", keys[docs]), ("line", numbers[at]), ("n", n), ("cool", cool), ("words", many), ("some", some[docs])):
+                    rows[c] = v
+                held.append((rows, np.where(level == 0, np.uint32(0), np.maximum(short, np.uint32(1)))))
+                size += len(rows) + len(flat) // 16
+                if size >= PACKED // 2:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
 
     return run
 
 
-#: Columns of the rows that meet in buckets, all long: the words, the cell, the
-#: set, its document, line and part, its size and the word's place, parities.
-MEET = ["key", "cell", "sid", "rank", "at", "size", "low", "high"]
-BUCKET = ["key", "cell"]
+#: What a line is: the only one of its set; the first of several; another of
+#: them, which goes. CLASH is added where another set has half of its name.
+ONLY, FIRST, REPEATED, CLASH = range(4)
+SETS = "sid long, doc_id long, text_key long, line int, n int, cool int, low long, high long, prefix binary, role int"
+
+
+def _whole_name(d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    return _mix(d1.view(np.uint64) ^ _mix(d2.view(np.uint64), 0xE7037ED1A0B428DB), 0x8EBC6AF09C88C6E3).view(np.int64)
+
+
+def _named(batches):
+    """Lines by their sets. A set's id is the first half of its name, or where
+    another set has that, a hash of both halves. The first line by place stands
+    for the set; lines of its own place are the same line."""
+    for rows, flat in _whole(batches, LINE, WORDS // 8):
+        order = np.lexsort([rows[c] for c in ("key", "line", "doc", "some", "d2", "d1")])
+        n = rows["words"].astype(np.int64)
+        start = (np.cumsum(n) - n)[order]
+        rows = rows.take(order)  # take moves packed rows many times faster than rows[order]
+        new = np.ones(len(rows), bool)
+        half = rows["d1"][1:] == rows["d1"][:-1]
+        new[1:] = ~half | (rows["d2"][1:] != rows["d2"][:-1])
+        head = np.flatnonzero(new)
+        count = np.diff(np.append(head, len(rows)))
+        first = np.repeat(head, count)
+        role = np.where(new, np.where(np.repeat(count, count) > 1, FIRST, ONLY), REPEATED)
+        clash = np.zeros(len(rows), bool)
+        clash[1:] = half & new[1:]
+        d1, d2 = np.ascontiguousarray(rows["d1"]), np.ascontiguousarray(rows["d2"])
+        sid, role = np.where(clash, _whole_name(d1, d2), d1), role + CLASH * clash
+        same = np.ones(len(rows), bool)
+        for c in ("some", "doc", "line", "key"):
+            same &= rows[c] == rows[c][first]
+        at = np.flatnonzero(new | ~same)
+        rows, role, sid = rows.take(at), role[at], sid[at]
+        n = np.where(role == REPEATED, 0, rows["words"]).astype(np.int64)
+        col = {c: pa.array(np.ascontiguousarray(rows[c])) for c in ("key", "line", "n", "cool", "low", "high")}
+        doc = pa.array(np.ascontiguousarray(rows["doc"]), mask=rows["some"] == 0)
+        prefix = _cut(flat[_spans(start[at], n)], np.cumsum(n))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(sid), doc, col["key"], col["line"], col["n"], col["cool"], col["low"], col["high"], prefix, pa.array(role, pa.int32())],
+            [c.split()[0] for c in SETS.split(", ")])
+
+
+#: Rows that meet in buckets: the bucket's key, the set, its document and
+#: line, its size, the word's place and parities. ``side`` is 0, or in cells of
+#: two parts, whose sets meet those of the other part only, 1 or 2.
+MEET = np.dtype([("key", "<i8"), ("sid", "<i8"), ("rank", "<i8"), ("low", "<i8"), ("high", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("side", "<i4")])
+TEST = ["sid", "doc_id", "line", "n", "low", "high", "prefix"]
+
+
+def _tail(threshold: float, b: pa.RecordBatch):
+    """(n, p, words, start, count) of sets: the size, how many words of the
+    prefix lead to buckets, and the prefixes end to end."""
+    n = b.column(TEST.index("n")).to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets, data = _bytes(b.column(TEST.index("prefix")))
+    words, start = data[offsets[0]:offsets[-1]].view(np.uint32), (offsets - offsets[0]) // 4
+    return n, n - _least(threshold, n) + 1, words, start[:-1], np.diff(start)
+
+
+def _often(threshold: float):
+    """Words of prefixes that may be hot."""
+    def run(batches):
+        for b in batches:
+            _, p, words, start, _ = _tail(threshold, b)
+            cool = np.minimum(b.column(len(TEST)).to_numpy(zero_copy_only=False), p)
+            got = words[_spans(start + cool, p - cool)]
+            yield pa.RecordBatch.from_arrays([pa.array(got[got != 0].view(np.int32))], ["word"])
+
+    return run
 
 
-def _meeting(threshold: float, table: pa.Table):
+def _meets(threshold: float, hot: np.ndarray, b: pa.RecordBatch):
+    """(set, place, key) of the rows that meet, before large buckets are dealt:
+    a row for each word of a set's prefix that other sets may hold. Hot words
+    give a row for each word of the prefix after them: the first two words
+    that a match shares are such a pair. A set whose match may share one word
+    alone keeps its single row as well."""
+    n, p, words, start, count = _tail(threshold, b)
+    at = _spans(start, p)
+    own = np.repeat(np.arange(len(n)), p)
+    some = words[at] != 0
+    at, own = at[some], own[some]
+    key = words[at].astype(np.uint64) << np.uint64(32)
+    if not len(hot):
+        return own, at - start[own], key
+    often = hot[np.minimum(np.searchsorted(hot, words[at]), len(hot) - 1)] == words[at]
+    single = ~often | (_least(threshold, n) < 2)[own]
+    later = np.where(often, (start + count)[own] - at - 1, 0)
+    second = words[_spans(at + 1, later)]
+    some = second != 0
+    pair = np.repeat(np.arange(len(at)), later)[some]
+    by = np.concatenate([np.flatnonzero(single), pair])
+    key = np.concatenate([key[single], key[pair] | second[some]])
+    return own[by], (at - start[own])[by], key
+
+
+def _keys(threshold: float, hot):
+    """The keys of buckets of pairs."""
+    def run(batches):
+        for b in batches:
+            key = _meets(threshold, hot.value, b)[2]
+            at = np.searchsorted(hot.value, (key >> np.uint64(32)).astype(np.uint32))
+            key = key[hot.value[np.minimum(at, len(hot.value) - 1)] == key >> np.uint64(32)]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
+
+    return run
+
+
+class Buckets:
+    """Where the rows of sets meet. Words of more than HOT sets meet by pairs
+    of words; buckets of still more rows are dealt: a row's part is by its set,
+    and each two parts are a cell, as is each part alone. The lists of both
+    have LISTED entries at most: with so many rows that there may be more, HOT
+    grows with the rows."""
+
+    def __init__(self, sets: DataFrame, rows: int, threshold: float, warm: bool):
+        spark, self.threshold = sets.sparkSession, threshold
+        p = F.expr(f"n - cast(ceil({threshold!r} * n - 1e-9) as int) + 1")
+        hot, large = np.zeros(0, np.uint32), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        if warm:
+            most = max(HOT, rows // LISTED)
+            found = sets.where(F.col("cool") < p).select(*TEST, "cool").mapInArrow(lean(_often(threshold)), "word int").groupBy("word").count()
+            hot = np.sort(found.where(F.col("count") > most).select("word").toArrow()["word"].to_numpy().astype(np.int32).view(np.uint32))
+        self.hot = spark.sparkContext.broadcast(hot)
+        if len(hot):
+            pairs = sets.select(*TEST).mapInArrow(lean(_keys(threshold, self.hot)), "key long").groupBy("key").count()
+            pairs = pairs.where(F.col("count") > HOT)
+            most = max(HOT, (pairs.agg(F.sum("count")).first()[0] or 0) // LISTED)
+            got = pairs.where(F.col("count") > most).toArrow()
+            key = got["key"].to_numpy().astype(np.int64).view(np.uint64)
+            order = np.argsort(key)
+            large = key[order], -(-got["count"].to_numpy().astype(np.int64)[order] // most)
+        self.large = spark.sparkContext.broadcast(large)
+
+    def rows(self, b: pa.RecordBatch) -> np.ndarray:
+        """The rows of some sets that meet, as MEET."""
+        own, pos, key = _meets(self.threshold, self.hot.value, b)
+        side = np.zeros(len(own), np.int32)
+        keys, parts = self.large.value
+        sid = b.column(0).to_numpy(zero_copy_only=False)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            n = np.where(keys[at] == key, parts[at], 1)
+            part = (_mix(sid[own].view(np.uint64), 0xE7037ED1A0B428DB) % n.astype(np.uint64)).astype(np.int64)
+            other = _spans(np.zeros(len(n), np.int64), n)
+            own, pos, key, part, n = (np.repeat(v, n) for v in (own, pos, key, part, n))
+            low, high = np.minimum(part, other), np.maximum(part, other)
+            cell = _mix(key ^ _mix((low * n + high + 1).astype(np.uint64), 0x8EBC6AF09C88C6E3), 0x589965CC75374CC3)
+            key = np.where(n > 1, cell, key)
+            side = np.where(low == high, 0, 1 + (part == high))
+        out = np.zeros(len(own), MEET)
+        ids, some = _ids(b.column(1))
+        rank = np.where(some, ids, np.int64(-(1 << 63)))
+        for c, v in (("key", key.view(np.int64)), ("sid", sid[own]), ("rank", rank[own]), ("pos", pos), ("side", side)):
+            out[c] = v
+        for c in ("line", "n", "low", "high"):
+            out[c] = b.column(TEST.index(c)).to_numpy(zero_copy_only=False)[own]
+        return out
+
+    def deal(self, groups: int):
+        """Rows that meet, packed; those of a bucket are in one group."""
+        def run(batches):
+            held, size = [], 0
+            for b in batches:
+                for at in range(0, b.num_rows, 4096):
+                    held.append(self.rows(b.slice(at, 4096)))
+                    size += len(held[-1])
+                    if size >= PACKED:
+                        rows = np.concatenate(held)
+                        yield _pack(_group(rows["key"].astype(np.uint64), groups), rows)
+                        held, size = [], 0
+            if size:
+                rows = np.concatenate(held)
+                yield _pack(_group(rows["key"].astype(np.uint64), groups), rows)
+
+        return run
+
+    def keys(self):
+        """The keys under which some sets meet others."""
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(self.rows(b)["key"]))], ["key"])
+
+        return run
+
+    def among(self, keys, still):
+        """The rows under some keys, and whether their sets are open."""
+        def run(batches):
+            for b in batches:
+                for at in range(0, b.num_rows, 4096):
+                    rows = self.rows(b.slice(at, 4096))
+                    rows = rows.take(np.flatnonzero(keys.value.have(np.ascontiguousarray(rows["key"]))))
+                    cols = [pa.array(np.ascontiguousarray(rows[c])) for c in MEET.names]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(still.value.have(np.ascontiguousarray(rows["sid"])))], [*MEET.names, "still"])
+
+        return run
+
+
+def _meeting(threshold: float, table):
     """Runs (early, late, apart): rows of one bucket that the length,
     positional and parity filters let pass, and in how many parities they
     differ. Rows lie by length, so the length filter is a range; of the
     shorter row the word is in the prefix that suffices for it."""
-    col = {c: table[c].to_numpy() for c in MEET}
-    new = np.zeros(len(table), bool)
-    for c in BUCKET:
-        new[1:] |= col[c][1:] != col[c][:-1]
-    key = (np.cumsum(new) << 32) | (col["size"] >> 32)
-    order = np.argsort(key, kind="stable")
-    key, n, pos = key[order], col["size"][order] >> 32, col["size"][order] & 0xFFFFFFFF
-    from_ = np.searchsorted(key, (key >> 32 << 32) | _least(threshold, n))
+    col = {c: table[c].to_numpy() if isinstance(table, pa.Table) else np.ascontiguousarray(table[c]) for c in MEET.names}
+    order = np.lexsort((col["n"], col["key"]))
+    key, n, pos = col["key"][order], col["n"][order].astype(np.int64), col["pos"][order].astype(np.int64)
+    new = np.zeros(len(order), np.int64)
+    new[1:] = key[1:] != key[:-1]
+    bucket = np.cumsum(new) << 32
+    from_ = np.searchsorted(bucket | n, bucket | _least(threshold, n))
     share = threshold / (1 + threshold)
     index = n - pos >= np.ceil(share * 2 * n - 1e-9)
     before = np.concatenate([[0], np.cumsum(index)])
     index = np.flatnonzero(index)
     first, count = before[from_], before[:-1] - before[from_]
     rows = np.flatnonzero(count)
-    low, high, part = col["low"].view(np.uint64)[order], col["high"].view(np.uint64)[order], col["at"][order] & 0xFFFFFFFF
-    diagonal = col["cell"][order] >= 0
+    low, high, side = col["low"].view(np.uint64)[order], col["high"].view(np.uint64)[order], col["side"][order]
     for s in _runs(count[rows], PAIRS):
         y = rows[s]
         k = count[y]
         at = np.repeat(y, k)
-        x = index[np.repeat(first[y] - (np.cumsum(k) - k), k) + np.arange(len(at))]
+        x = index[_spans(first[y], k)]
         need = np.ceil(share * (n[x] + n[at]) - 1e-9)
         ok = np.minimum(n[at] - pos[at], n[x] - pos[x]) >= need
-        ok &= diagonal[at] | (part[at] != part[x])
+        ok &= (side[at] == 0) | (side[at] != side[x])
         x, at, most = x[ok], at[ok], (n[x] + n[at] - 2 * need)[ok]
         apart = np.bitwise_count(low[x] ^ low[at]).astype(np.int64) + np.bitwise_count(high[x] ^ high[at])
         ok = apart <= most
         x, at, apart = order[x[ok]], order[at[ok]], apart[ok]
         swap = np.zeros(len(x), bool)
         same = np.ones(len(x), bool)
-        for c in ("rank", "at", "sid"):
+        for c in ("rank", "line", "sid"):
             swap |= same & (col[c][x] > col[c][at])
             same &= col[c][x] == col[c][at]
         yield np.where(swap, at, x), np.where(swap, x, at), apart
@@ -299,7 +592,7 @@ def _candidates(threshold: float, tried: int):
     their parities, of the earlier ones that the filters let pass, and whether
     there are more."""
     def flush(table):
-        sid = table["sid"].to_numpy()
+        sid = np.ascontiguousarray(table["sid"])
         found = np.zeros(len(table), np.int64)
         late, early, more = [], [], []
         for x, y, apart in _meeting(threshold, table):
@@ -314,9 +607,9 @@ def _candidates(threshold: float, tried: int):
             more.append(np.zeros(keep.sum(), bool))
         rest = np.unique(sid[found > tried])
         late, early, more = [*late, rest], [*early, rest], [*more, np.ones(len(rest), bool)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (late, early, more)], ["late", "early", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (late, early, more)], ["late", "early", "more"])
 
-    return lambda batches: _buckets(batches, HELD, flush)
+    return lambda batches: (flush(rows) for rows, _ in _whole(batches, MEET, HELD))
 
 
 def _buckets(batches, rows: int, flush):
@@ -330,10 +623,8 @@ def _buckets(batches, rows: int, flush):
         if size < rows:
             continue
         table = pa.Table.from_batches(held)
-        cut = 0
-        for c in BUCKET:
-            at = np.flatnonzero(np.diff(table[c].to_numpy()))
-            cut = max(cut, int(at[-1]) + 1 if len(at) else 0)
+        at = np.flatnonzero(np.diff(table["key"].to_numpy()))
+        cut = int(at[-1]) + 1 if len(at) else 0
         if cut:  # the last bucket may go on in the next batch
             yield from flush(table.slice(0, cut).combine_chunks())
             table = table.slice(cut)
@@ -409,8 +700,10 @@ class Names:
 
         self.bits = np.zeros(1 << (power - 3), dtype=np.uint8)
         size = 1 << 17
-        for row in _folded(ids.mapInArrow(run, "chunk int, data binary"), np.bitwise_or, np.uint8, np.uint8).toLocalIterator():
-            self.bits[row["chunk"] * size:(row["chunk"] + 1) * size] = _unzip(bytes(row["data"]), np.uint8)
+        # one job, not one for each partition
+        got = _folded(ids.mapInArrow(run, "chunk int, data binary"), np.bitwise_or, np.uint8, np.uint8).toArrow()
+        for k, data in zip(got["chunk"].to_pylist(), got["data"], strict=True):
+            self.bits[k * size:(k + 1) * size] = _unzip(data.as_py(), np.uint8)
 
     def _places(self, names: np.ndarray):
         names = names.astype(np.int64).view(np.uint64)
@@ -424,20 +717,47 @@ class Names:
         return ok
 
 
-def _members(levels, wanted, least: int, seed: int):
-    """The words themselves of the lines whose names are wanted."""
+def _places(ids, keys, lines, seed: int) -> np.ndarray:
+    """Hashes of places of lines; a null id is 0."""
+    return _mix(_mix(ids.view(np.uint64) + np.uint64(seed), 0x9E3779B97F4A7C15) ^ (keys.view(np.uint64) + lines.astype(np.uint64)), 0xC2B2AE3D27D4EB4F).view(np.int64)
+
+
+def _placed(seed: int):
     def run(batches):
         for b in batches:
-            for _, _, raw, opens, stops, counts, hashes in _lines(b.column(0)):
-                words, start, size = _sets(hashes, counts, levels.value)
-                d1, d2, _, _ = _sums(words, start, size, seed)
-                at = np.flatnonzero((size >= least) & wanted.value.have(d1))
+            keys, lines = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(_places(_ids(b.column(0))[0], keys, lines, seed))], ["place"])
+
+    return run
+
+
+def _members(levels, wanted, clashes: np.ndarray, least: int, seed: int):
+    """The sets, and the words themselves, of the lines whose places are
+    wanted; only these are hashed."""
+    def run(batches):
+        for b in batches:
+            ids, keys = _ids(b.column(0))[0], b.column(1).to_numpy(zero_copy_only=False)
+            for docs, numbers, raw, opens, stops, counts, _ in _lines(b.column(2), words=False):
+                at = np.flatnonzero((stops > opens) & wanted.value.have(_places(ids[docs], keys[docs], numbers, seed)))
                 if not len(at):
                     continue
-                data = raw.tobytes()
-                found = {(int(d1[k]), int(d2[k]), b" ".join(sorted(set(data[opens[k]:stops[k]].lower().split())))) for k in at}
-                first, second, said = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(said, pa.binary()).cast(pa.string())], ["d1", "d2", "words"])
+                edge = np.zeros(len(raw) + 1, np.int8)
+                edge[opens[at]] += 1
+                edge[stops[at]] -= 1
+                ends = np.concatenate([[0], np.cumsum((stops - opens)[at])])
+                inside = raw[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+                lines = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(inside)])
+                for _, _, raw_, opens_, stops_, counts, hashes in _lines(lines):
+                    words, start, size = _sets(hashes, counts, levels.value)
+                    sid, d2, _, _ = _sums(words, start, size, seed)
+                    if len(clashes):
+                        other = _whole_name(sid, d2)
+                        sid = np.where(np.isin(other, clashes), other, sid)
+                    data = raw_.tobytes()
+                    found = {(int(sid[k]), b" ".join(sorted(set(data[opens_[k]:stops_[k]].lower().split())))) for k in np.flatnonzero(size >= least)}
+                    if found:
+                        sids, said = zip(*found, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(said, pa.binary()).cast(pa.string())], ["sid", "words"])
 
     return run
 
@@ -445,113 +765,68 @@ def _members(levels, wanted, least: int, seed: int):
 def line_matches(docs: DataFrame, scratch: Scratch, threshold: float, least: int, seed: int = 1) -> DataFrame:
     """(doc_id, text_key, lines): the numbers of the lines to remove."""
     spark = docs.sparkSession
-    texts = docs.select("text")
-    levels = spark.sparkContext.broadcast(_levels(texts))
-    lines = scratch.keep(docs.select("doc_id", "text_key", "text").mapInArrow(
-        lean(_prefixes(levels, threshold, least, seed)),
-        "doc_id long, text_key long, line int, d1 long, d2 long, low long, high long, n int, cool int, prefix array<int>"))
-    place = F.struct("doc_id", "line", "text_key")
-    same = lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), (F.count("*") > 1).alias("many"), *[F.first(c).alias(c) for c in ("low", "high", "n", "cool", "prefix")])
-    sets = scratch.keep(same.withColumn("sid", F.monotonically_increasing_id()))
-    rows = _rows(sets, scratch, threshold)
-    dealt = lambda df: df.repartition(*BUCKET).sortWithinPartitions(*BUCKET)
-    found = scratch.keep(dealt(rows).mapInArrow(lean(_candidates(threshold, TRIED)), "late long, early long, more boolean").distinct())
-    names = sets.select("sid", "d1", "d2", "first")
-
-    def members(ids: DataFrame, every: bool) -> DataFrame:
-        """(sid, words, other): the words of some sets, and those of another
-        line of the same name, if there are other ones. Of all lines, or of
-        the first line of each alone."""
-        ids = scratch.keep(ids.join(names, "sid"))
-        wanted = spark.sparkContext.broadcast(Names(ids.select("d1")))
-        among = texts
-        if not every:
-            at = ids.select("first.doc_id", "first.text_key").distinct()
-            keys = [docs[c].eqNullSafe(at[c]) for c in ("doc_id", "text_key")]
-            among = docs.join(F.broadcast(at) if small(at) else at, keys[0] & keys[1], "left_semi").select("text")
-        ids = ids.drop("first")
-        said = among.mapInArrow(lean(_members(levels, wanted, least, seed)), "d1 long, d2 long, words string").distinct().join(ids, ["d1", "d2"])
+    docs = docs.select("doc_id", "text_key", "text")
+    send = spark.sparkContext.broadcast
+    table = _levels(docs.select("text"))
+    levels = send(table)
+    words = float(np.exp2((table.astype(np.float64) + 3) / 4).sum())  # or less
+    packed = docs.mapInArrow(lean(_prefixes(levels, threshold, least, seed, 1 + int(words / WORDS))), DEALT)
+    lines = scratch.keep(_gathered(packed).mapInArrow(lean(_named), SETS))
+    sets = lines.where(F.col("role") != REPEATED)
+    got = sets.agg(F.max("role"), F.sum(F.col("n") - F.expr(f"cast(ceil({threshold!r} * n - 1e-9) as int)") + 1)).first()
+    rows, clashes = got[1] or 0, np.zeros(0, np.int64)
+    if (got[0] or 0) >= CLASH:  # of n sets, about n * n / 2 ** 65
+        clashes = sets.where(F.col("role") >= CLASH).select("sid").toArrow()["sid"].to_numpy()
+    buckets = Buckets(sets, rows, threshold, bool((table >= _warm()).any()))
+    tests = sets.select(*TEST)
+    dealt = _gathered(tests.mapInArrow(lean(buckets.deal(1 + rows // ROWS)), DEALT))
+    found = scratch.keep(dealt.mapInArrow(lean(_candidates(threshold, TRIED)), "late long, early long, more boolean").distinct())
+
+    def members(places: DataFrame) -> DataFrame:
+        """(sid, words, other): the words of the sets of lines at some places,
+        and those of another of the lines, if there are other ones."""
+        places = scratch.keep(places.select("doc_id", "text_key", "line").mapInArrow(_placed(seed), "place long"))
+        said = docs.mapInArrow(lean(_members(levels, send(Names(places)), clashes, least, seed)), "sid long, words string").distinct()
+        scratch.drop(places)
         return scratch.keep(said.groupBy("sid").agg(F.min("words").alias("words"), F.max("words").alias("other")))
 
     pairs = found.where("not more").select("late", "early")
-    wanted = pairs.select(F.explode(F.array("late", "early")).alias("sid")).unionByName(sets.where("many").select("sid")).distinct()
-    some = members(wanted, True)
+    # all lines of sets that have several, and of the others those compared
+    compared = pairs.select(F.explode(F.array("late", "early")).alias("sid")).distinct()
+    some = members(lines.where(F.col("role") != ONLY).unionByName(lines.where(F.col("role") == ONLY).join(compared, "sid", "left_semi")))
     if not some.where("words != other").isEmpty():
         # two sets of one name: other names are given
         return line_matches(docs, scratch, threshold, least, seed + 1)
-    side = lambda name: some.select(F.col("sid").alias(name), F.split("words", " ").alias(f"w_{name}"))
-    both = F.size(F.array_intersect("w_late", "w_early"))
+    side = lambda name: some.select(F.col("sid").alias(name), F.col("words").alias(f"w_{name}"))
+    late, early = F.split("w_late", " "), F.split("w_early", " ")  # texts are less to shuffle than arrays
+    both = F.size(F.array_intersect(late, early))
     gone = scratch.keep(pairs.join(side("late"), "late").join(side("early"), "early")
-                        .where(both >= threshold * (F.size("w_late") + F.size("w_early") - both) - 1e-9).select(F.col("late").alias("sid")).distinct())
+                        .where(both >= threshold * (F.size(late) + F.size(early) - both) - 1e-9).select(F.col("late").alias("sid")).distinct())
     scratch.drop(some)
     # sets with candidates left and none that reached the threshold
     open_ = scratch.keep(found.where("more").select(F.col("late").alias("sid")).distinct().join(gone, "sid", "left_anti"))
     scratch.drop(found)
     if not open_.isEmpty():
-        met = scratch.keep(rows.join(open_, "sid", "left_semi").select(*BUCKET).distinct())
-        again = rows.join(met, BUCKET, "left_semi").join(open_.withColumn("still", F.lit(True)), "sid", "left")
-        again = again.withColumn("still", F.coalesce("still", F.lit(False))).select(*MEET, "still")
-        needed = scratch.keep(dealt(again).mapInArrow(lean(_needed(threshold)), "sid long").distinct())
-        full = members(needed, False)
+        met = scratch.keep(tests.join(open_, "sid", "left_semi").select(*TEST).mapInArrow(lean(buckets.keys()), "key long").distinct())
+        fields = ", ".join(f"{c} {'long' if MEET[c].itemsize == 8 else 'int'}" for c in MEET.names)
+        again = tests.mapInArrow(lean(buckets.among(send(Names(met)), send(Names(open_)))), f"{fields}, still boolean")
+        again = scratch.keep(again.join(met, "key", "left_semi").select(*MEET.names, "still"))
+        near = lambda df: df.repartition("key").sortWithinPartitions("key")
+        needed = scratch.keep(near(again).mapInArrow(lean(_needed(threshold)), "sid long").distinct())
+        full = members(sets.join(needed, "sid", "left_semi"))
         if not full.where("words != other").isEmpty():
             return line_matches(docs, scratch, threshold, least, seed + 1)
-        again = again.join(full.select("sid", F.split("words", " ").alias("words")), "sid").select(*MEET, "still", "words")
-        gone = scratch.keep(gone.unionByName(dealt(again).mapInArrow(lean(_settle(threshold)), "sid long")).distinct())
+        again = again.join(full.select("sid", F.split("words", " ").alias("words")), "sid").select(*MEET.names, "still", "words")
+        gone = scratch.keep(gone.unionByName(near(again).mapInArrow(lean(_settle(threshold)), "sid long")).distinct())
         scratch.drop(full)
-    # lines of sets that stay and have one line only take no further part
-    state = sets.join(gone.withColumn("gone", F.lit(True)), "sid", "left").where("many or gone").select("d1", "d2", "first", "gone")
-    out = (lines.select("d1", "d2", "doc_id", "text_key", "line").join(state, ["d1", "d2"])
-           .where(F.coalesce("gone", F.lit(False)) | ~place.eqNullSafe(F.col("first")))
-           .groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line")).alias("lines")))
-    out = scratch.keep(out)
-    for t in (lines, sets):
-        scratch.drop(t)
+    # of sets that go the first line goes too
+    place = ["doc_id", "text_key", "line"]
+    out = lines.where(F.col("role") == REPEATED).select(*place).unionByName(sets.select("sid", *place).join(gone, "sid", "left_semi").select(*place))
+    out = scratch.keep(out.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line")).alias("lines")))
+    scratch.drop(lines)
     return out
 
 
-def _rows(sets: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
-    """The rows that meet, by buckets: a row for each word of a set's prefix
-    that other sets may hold.
-
-    Hot words give a row for each word of the prefix after them: the first two
-    words that a match shares are such a pair. A set whose match may share one
-    word alone (``least`` of them is 1) keeps its single row as well. Buckets
-    of more than HOT rows are dealt: a row's part is by its set, and each two
-    parts are a cell, as is each part alone.
-    """
-    least = F.expr(f"cast(ceil({threshold!r} * n - 1e-9) as int)")
-    base = sets.select("sid", F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("rank"), F.col("first.line").alias("line"), "n", "low", "high", "prefix", "cool",
-                       (F.col("n") - least + 1).alias("p"), least.alias("least"))
-    at = base.select("*", F.posexplode("prefix").alias("pos", "word")).where("word != 0 and pos < p")
-    tally = at.where("pos >= cool").groupBy("word").count().where(F.col("count") > HOT)
-    hot = scratch.keep(tally.select("word", F.lit(True).alias("hot")))
-
-    def met(df, second, cell, part):
-        pair = lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-        return df.select(pair(F.col("word"), second).alias("key"), cell.cast("long").alias("cell"), "sid", "rank", pair(F.col("line"), part).alias("at"),
-                         pair(F.col("n"), F.col("pos")).alias("size"), "low", "high")
-
-    zero = F.lit(0)
-    if hot.isEmpty():
-        return met(at, zero, zero, zero)
-    at = at.join(F.broadcast(hot) if small(hot) else hot, "word", "left")
-    single = met(at.where("hot is null"), zero, zero, zero)
-    later = F.array_remove(F.slice("prefix", F.col("pos") + 2, F.greatest(F.size("prefix") - F.col("pos") - 1, F.lit(0))), 0)
-    seconds = F.concat(later, F.when(F.col("least") < 2, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
-    pairs = scratch.keep(at.where("hot").select("sid", "rank", "line", "n", "low", "high", "pos", "word", F.explode(seconds).alias("second")))
-    parts = F.ceil(F.col("count") / F.lit(HOT)).cast("int")
-    large = scratch.keep(pairs.groupBy("word", "second").count().where(F.col("count") > HOT).select("word", "second", parts.alias("parts")))
-    if large.isEmpty():
-        return single.unionByName(met(pairs, F.col("second"), zero, zero))
-    pairs = pairs.join(F.broadcast(large) if small(large) else large, ["word", "second"], "left")
-    pairs = pairs.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    pairs = pairs.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    low, high = F.least("part", "with").cast("long"), F.greatest("part", "with").cast("long")
-    # a part alone is numbered from 0 on, two parts below
-    cell = F.when(low == high, low).otherwise(-1 - (low * F.col("parts") + high))
-    return single.unionByName(met(pairs, F.col("second"), cell, F.col("part")))
-
-
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove lines that match an earlier line of the corpus.
 
