@@ -63,11 +63,12 @@ class Scratch:
 
 
 def lean(run):
-    """Work of a task that gives back at its end what Arrow keeps for reuse:
-    the worker lives on beside others."""
+    """Work of a task that gives back at its end what Arrow and malloc keep for
+    reuse: the worker lives on beside others."""
     def leaning(batches):
         yield from run(batches)
         pa.default_memory_pool().release_unused()
+        pa.system_memory_pool().release_unused()
 
     return leaning
 

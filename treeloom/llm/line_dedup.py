@@ -28,7 +28,7 @@ TRIED = 4
 PAIRS, HELD = 1 << 18, 1 << 17
 #: Packed rows are dealt to groups of about so many words of lines, or rows
 #: that meet; so many rows are packed together.
-WORDS, ROWS, PACKED = 1 << 19, 1 << 16, 1 << 19
+WORDS, ROWS, PACKED = 1 << 19, 1 << 16, 1 << 17
 #: A list of hot words, or of large buckets, has no more than this.
 LISTED = 1 << 20
 
