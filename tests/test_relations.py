@@ -1,6 +1,7 @@
 """Tables: results against DuckDB, plan shapes, blocks and odd inputs."""
 
 import random
+import time
 
 import duckdb
 import pytest
@@ -146,3 +147,88 @@ def test_tables_from_python(spark):
     e = Engine(spark).table("t", sources.rows(spark, [{"a": 1, "b": "x"}, {"a": 2, "b": None}]), ["a"])
     assert e.collect("$.t.map({a, b})") == [{"a": 1, "b": "x"}, {"a": 2}]
     assert e.collect("$.t.sum(a)") == 3
+
+
+ANALYTICS = ["rolling_sum(4)", "rolling_avg(3)", "rolling_min(5)", "rolling_max(2)", "lag(3)", "lead(2)", "diff_window()", "pct_change()", "cummax()", "cummin()", "zscore()"]
+
+
+def near(got, want):
+    return len(got) == len(want) and all((a is None) == (b is None) and (a is None or a == pytest.approx(b)) for a, b in zip(got, want, strict=True))
+
+
+def brute(call, xs):
+    """An analytic of a list, by its definition."""
+    name, n = call[:-1].split("(")
+    n = int(n or 1)
+    some = [x for x in xs if x is not None]
+    mean = sum(some) / len(some) if some else None
+    sd = (sum((x - mean) ** 2 for x in some) / len(some)) ** 0.5 if some else None
+    out = []
+    for i, x in enumerate(xs):
+        at = lambda j: xs[j] if 0 <= j < len(xs) else None
+        part = [v for v in xs[max(i - n + 1, 0):i + 1] if v is not None]
+        so_far = [v for v in xs[:i + 1] if v is not None]
+        back = at(i - 1)
+        if name.startswith("rolling"):
+            f = {"sum": sum, "avg": lambda p: sum(p) / len(p) if p else None, "min": lambda p: min(p, default=None), "max": lambda p: max(p, default=None)}[name[8:]]
+            out.append(f(part) if i >= n - 1 else None)
+        elif name in ("lag", "lead"):
+            out.append(at(i - n if name == "lag" else i + n))
+        elif name.startswith("cum"):
+            out.append((max if name == "cummax" else min)(so_far, default=None))
+        elif name == "zscore":
+            out.append(None if x is None else (x - mean) / sd if sd else 0.0)
+        else:
+            out.append(None if x is None or back is None or name == "pct_change" and back == 0 else x - back if name == "diff_window" else (x - back) / back)
+    return out
+
+
+@pytest.mark.parametrize("order", ["k", "-k"])
+@pytest.mark.parametrize("call", ANALYTICS)
+def test_analytics_of_groups(spark, numbers, call, order):
+    rows, df = numbers
+    rows = sorted(rows, reverse=order[0] == "-")
+    e = Engine(spark).table("t", df, [order])
+    text = f"$.t.group_shape(g, {{all: @.map(v).{call}, some: @.filter(k > 300).map(v).{call}, last: @.map(v).{call}.last(), n: @.count(), first: @.first().k, twice: @.map(v).{call}.lag(1)}})"
+    got = {r["key"]: r for r in e.query(text).collect()}
+    assert set(got) == set("xyz")
+    for g, r in got.items():
+        mine = [(k, v) for k, v, x in rows if x == g]
+        want = brute(call, [v for _, v in mine])
+        assert near(r["all"], want) and near([r["last"]], want[-1:]) and near(r["twice"], [None, *want[:-1]])
+        assert near(r["some"], brute(call, [v for k, v in mine if k > 300]))
+        assert (r["n"], r["first"]) == (len(mine), mine[0][0])
+    assert "collect_list" not in plan(e.query(f"$.t.group_shape(g, {{r: @.map(v).{call}.last()}})"))
+
+
+def test_analytics_of_odd_groups(spark):
+    rows = [("a", None, 1), ("a", None, 2), ("b", 5.0, 3), (None, 1.0, 4), (None, 2.0, 4), (None, 3.0, 5), ("c", 7.0, 6)]
+    e = Engine(spark).table("t", spark.createDataFrame(rows, "g string, v double, k long"), ["k"]).table("u", spark.createDataFrame([("a",), ("c",), ("d",)], "h string"), ["h"])
+    got = e.collect("$.t.group_by(g).transform_values(@.filter(k != 6).map(v).rolling_sum(2))")
+    assert got == {"a": [None, 0.0], "b": [None], "null": [None, 3.0, 5.0], "c": []}  # equal places lie by value
+    assert e.collect("$.t.group_by(g).transform_values(@.map(v).zscore().last())") == {"a": None, "b": 0.0, "null": pytest.approx(1.5**0.5), "c": 0.0}
+    assert e.collect("$.t.group_by(g).transform_values(@.filter(k != 6).map(v).cummax().count())") == {"a": 2, "b": 1, "null": 3, "c": 0}
+    assert e.collect("$.u.map(o => $.t.filter(g == o.h).map(v).cummax().last())") == [None, 7.0, None]
+    for call in ANALYTICS:  # without an order a group is one array
+        assert len(Engine(spark).table("t", spark.createDataFrame(rows[2:3], "g string, v double, k long")).collect(f"$.t.group_by(g).transform_values(@.map(v).{call})")["b"]) == 1
+
+
+def test_catalogue_group_rolling(spark, duck):
+    same(catalog.run("q_group_rolling", spark, DATA), duck, catalog.Q["q_group_rolling"][1])
+
+
+@pytest.mark.parametrize("call", [*ANALYTICS, "window(3).count()", "chunk(4).count()", "zip(@.map(k)).count()", "unique_by(@).count()"])
+def test_an_array_is_made_once(spark, call):
+    """Not again for each element, which takes minutes for 20,000."""
+    e = Engine(spark).table("t", spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") % 50).cast("double").alias("v"), F.lit("g").alias("g")))
+    began = time.time()
+    e.collect(f"$.t.group_by(g).transform_values(@.map(v).{call})")
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("call", ANALYTICS)
+def test_analytics_of_arrays(spark, call):
+    r = random.Random(7)
+    for xs in ([], [None], [None, None], [3.0], [0.0, 1.0], [r.choice([None, float(r.randint(-9, 9))]) for _ in range(70)]):
+        got = Engine(spark).document(spark.createDataFrame([(xs,)], "v array<double>")).collect(f"$.v.{call}")
+        assert near(got, brute(call, xs))

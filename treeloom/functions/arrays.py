@@ -8,15 +8,31 @@ from pyspark.sql import types as T
 from .values import BOOL, BUILTINS, DOUBLE, LONG, NULL, STRING, C, QueryError, array_of, builtin, cast, common, display, dropped, equal, hof, is_int, kind, lit, numeric, order, struct_of, truthy, whole
 
 
-def array(*names, other=None):
-    """A builtin of an array; on other kinds ``other`` or the receiver."""
+def held(c: C, f) -> C:
+    """``f`` of a value that is made once. A Column named inside a lambda is
+    otherwise made again for each element: a group would be sorted as often as
+    it has rows."""
+    seen = []
+
+    def run(x):
+        got = f(C(x, c.t))
+        seen.append(got.t)
+        return whole(got)
+
+    col = F.get(F.transform(F.array(whole(c)), run), F.lit(0))
+    return C(col, seen[0])
+
+
+def array(*names, other=None, again=False):
+    """A builtin of an array; on other kinds ``other`` or the receiver. One
+    that names the array inside a lambda (``again``) gets it held."""
     def add(f):
         def run(c, a):
             if kind(c.t) == "variant":
                 c = C(F.try_variant_get(c.col, "$", "array<variant>"), T.ArrayType(T.VariantType()))
             if kind(c.t) != "array":
                 return c if other is None else other(c, a)
-            return f(C(whole(c), c.t), a)
+            return held(c, lambda x: f(x, a)) if again else f(C(whole(c), c.t), a)
 
         builtin(*names)(run)
         return f
@@ -248,17 +264,17 @@ def reverse(c, a):
 
 def first_of(c, keys):
     """Elements whose key is the first of its kind."""
-    return C(F.filter(c.col, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1), c.t)
+    return held(C(keys, T.ArrayType(STRING)), lambda k: C(F.filter(c.col, lambda x, i: F.array_position(k.col, F.get(k.col, i)) == i + 1), c.t))
 
 
-@array("unique", "distinct")
+@array("unique", "distinct", again=True)
 def unique(c, a):
     if kind(elem(c)) in ("number", "string", "bool") and not isinstance(elem(c), (T.DoubleType, T.FloatType)):
         return C(F.array_distinct(c.col), c.t)
     return first_of(c, keyed(c))
 
 
-@array("unique_by")
+@array("unique_by", again=True)
 def unique_by(c, a):
     f = a.fn(0)
     return first_of(c, F.transform(c.col, lambda x: display(f(C(x, elem(c))))))
@@ -290,21 +306,21 @@ def other_keys(a):
 
 @array("diff")
 def diff(c, a):
-    keys = keyed(other_keys(a))
-    return C(F.filter(c.col, lambda x: ~F.array_contains(keys, display(C(x, elem(c))))), c.t)
+    keys = C(keyed(other_keys(a)), T.ArrayType(STRING))
+    return held(keys, lambda k: C(F.filter(c.col, lambda x: ~F.array_contains(k.col, display(C(x, elem(c))))), c.t))
 
 
 @array("intersect")
 def intersect(c, a):
-    keys = keyed(other_keys(a))
-    return C(F.filter(c.col, lambda x: F.array_contains(keys, display(C(x, elem(c))))), c.t)
+    keys = C(keyed(other_keys(a)), T.ArrayType(STRING))
+    return held(keys, lambda k: C(F.filter(c.col, lambda x: F.array_contains(k.col, display(C(x, elem(c))))), c.t))
 
 
 @array("union")
 def union(c, a):
-    o, keys = other_keys(a), keyed(c)
+    o, keys = other_keys(a), C(keyed(c), T.ArrayType(STRING))
     t = common([elem(c), elem(o)])
-    more = C(F.filter(o.col, lambda x: ~F.array_contains(keys, display(C(x, elem(o))))), o.t)
+    more = held(keys, lambda k: C(F.filter(o.col, lambda x: ~F.array_contains(k.col, display(C(x, elem(o))))), o.t))
     return C(F.concat(cast(c, T.ArrayType(t)).col, cast(more, T.ArrayType(t)).col), T.ArrayType(t))
 
 
@@ -318,24 +334,26 @@ def zipped(c, o, fill=None):
     t = common([elem(c), elem(o)] + ([fill.t] if fill else []))
     if isinstance(t, T.NullType):
         t = elem(c)
-    x, y = cast(c, T.ArrayType(t)).col, cast(o, T.ArrayType(t)).col
-    n, m = F.size(x), F.size(y)
-    at = lambda v, i, k: F.get(v, i) if fill is None else F.when(i < k, F.get(v, i)).otherwise(cast(fill, t).col)
-    total = F.least(n, m) if fill is None else F.greatest(n, m)
-    return C(F.transform(sequence(total), lambda i: F.array(at(x, i, n), at(y, i, m))), T.ArrayType(T.ArrayType(t)))
+    at = lambda v, i: F.get(v, i) if fill is None else F.when(i < F.size(v), F.get(v, i)).otherwise(cast(fill, t).col)
+
+    def pairs(x, y):
+        total = (F.least if fill is None else F.greatest)(F.size(x), F.size(y))
+        return C(F.transform(sequence(total), lambda i: F.array(at(x, i), at(y, i))), T.ArrayType(T.ArrayType(t)))
+
+    return held(cast(c, T.ArrayType(t)), lambda x: held(cast(o, T.ArrayType(t)), lambda y: pairs(x.col, y.col)))
 
 
 array("zip")(lambda c, a: zipped(c, other_keys(a)))
 array("zip_longest")(lambda c, a: zipped(c, other_keys(a), a.named("fill") or NULL))
 
 
-@array("window")
+@array("window", again=True)
 def window(c, a):
     n = size_arg(a).cast("int")
     return C(F.transform(sequence(F.size(c.col) - n + 1), lambda i: F.slice(c.col, i + 1, n)), T.ArrayType(c.t))
 
 
-@array("chunk", "batch")
+@array("chunk", "batch", again=True)
 def chunk(c, a):
     n = size_arg(a).cast("int")
     return C(F.transform(sequence(F.ceil(F.size(c.col) / n)), lambda i: F.slice(c.col, i * n + 1, n)), T.ArrayType(c.t))
@@ -432,20 +450,23 @@ def key_array(c, a):
 
 
 def by_key(c, a, make, t):
-    keys = key_array(c, a)
-    return C(F.map_from_arrays(F.array_distinct(keys), F.transform(F.array_distinct(keys), lambda k: make(keys, k))), T.MapType(STRING, t))
+    def made(ks):
+        keys = ks.col
+        return C(F.map_from_arrays(F.array_distinct(keys), F.transform(F.array_distinct(keys), lambda k: make(keys, k))), T.MapType(STRING, t))
+
+    return held(C(key_array(c, a), T.ArrayType(STRING)), made)
 
 
 def rows_of(c, keys, k):
     return F.filter(c.col, lambda x, i: F.get(keys, i) == k)
 
 
-array("group_by")(lambda c, a: by_key(c, a, lambda keys, k: rows_of(c, keys, k), c.t))
-array("count_by")(lambda c, a: by_key(c, a, lambda keys, k: F.size(F.filter(keys, lambda x: x == k)).cast("long"), LONG))
-array("index_by")(lambda c, a: by_key(c, a, lambda keys, k: F.element_at(rows_of(c, keys, k), -1), elem(c)))
+array("group_by", again=True)(lambda c, a: by_key(c, a, lambda keys, k: rows_of(c, keys, k), c.t))
+array("count_by", again=True)(lambda c, a: by_key(c, a, lambda keys, k: F.size(F.filter(keys, lambda x: x == k)).cast("long"), LONG))
+array("index_by", again=True)(lambda c, a: by_key(c, a, lambda keys, k: F.element_at(rows_of(c, keys, k), -1), elem(c)))
 
 
-@array("group_shape")
+@array("group_shape", again=True)
 def group_shape(c, a):
     f, seen = a.fn(1), []
 
@@ -478,7 +499,7 @@ def analytic(*names):
             n = int(a.val(0).lit) if a.count else 1
             if n < 1:
                 raise QueryError(f"{names[0]} needs a positive size")
-            return C(f(xs, n), T.ArrayType(DOUBLE))
+            return held(C(xs, T.ArrayType(DOUBLE)), lambda v: C(f(v.col, n), v.t))
 
         array(*names, other=wrong(names[0]))(run)
         return f
@@ -509,16 +530,30 @@ analytic("lag")(lambda xs, n: F.transform(xs, lambda x, i: F.get(xs, i - n)))
 analytic("lead")(lambda xs, n: F.transform(xs, lambda x, i: F.get(xs, i + n)))
 analytic("diff_window")(lambda xs, n: F.transform(xs, lambda x, i: x - F.get(xs, i - 1)))
 analytic("pct_change")(lambda xs, n: F.transform(xs, lambda x, i: F.try_divide(x - F.get(xs, i - 1), F.get(xs, i - 1))))
-analytic("cummax")(lambda xs, n: F.transform(xs, lambda x, i: F.array_max(F.slice(xs, F.lit(1), i + 1))))
-analytic("cummin")(lambda xs, n: F.transform(xs, lambda x, i: F.array_min(F.slice(xs, F.lit(1), i + 1))))
+
+
+def cumulative(f):
+    """Each step merges twice as many elements: n log n in all."""
+    def run(xs, n):
+        steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda s: s < F.size(xs))
+        return F.aggregate(steps, xs, lambda acc, s: F.transform(acc, lambda x, i: f(x, F.get(acc, i - s))))
+
+    return run
+
+
+analytic("cummax")(cumulative(F.greatest))
+analytic("cummin")(cumulative(F.least))
 
 
 @analytic("zscore")
 def zscore(xs, n):
     some = F.filter(xs, lambda v: v.isNotNull())
-    mean = total(some) / F.size(some)
-    sd = F.sqrt(F.aggregate(some, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.size(some))
-    return F.transform(xs, lambda x: F.when(x.isNotNull(), F.when(sd == 0, 0.0).otherwise((x - mean) / sd)))
+
+    def scored(mean):
+        sd = F.sqrt(F.try_divide(F.aggregate(some, F.lit(0.0), lambda s, v: s + (v - mean.col) * (v - mean.col)), F.size(some)))
+        return held(C(sd, DOUBLE), lambda d: C(F.transform(xs, lambda x: F.when(x.isNotNull(), F.when(d.col == 0, 0.0).otherwise((x - mean.col) / d.col))), T.ArrayType(DOUBLE)))
+
+    return held(C(F.try_divide(total(some), F.size(some)), DOUBLE), scored).col
 
 
 @array("equi_join")

@@ -28,12 +28,14 @@ class Doc:
 @dataclass
 class Grp:
     """The rows of a group, as the current item of a shape: what a reducer of
-    it gives is an aggregate Column."""
+    it gives is an aggregate Column. ``keyed`` is the key and the scope of the
+    rows, where columns by window can be added to them."""
 
     rel: Rel
     elem: C
     cond: Column | None = None
     distinct: bool = False
+    keyed: tuple[Column, Scope] | None = None
 
 
 @dataclass

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -216,7 +217,7 @@ def corr_call(c, name, args, named, env):
     if got is not None:
         return got if empty is None else C(F.coalesce(got.col, whole(empty).cast(got.t)), got.t)
     scope = Scope(c.grp.rel.df)
-    got = group_call(c.grp, name, a, scope)
+    got = group_call(c.grp if c.theta else replace(c.grp, keyed=(whole(c.key), scope)), name, a, scope)
     if isinstance(got, ev.Grp):
         return ev.Corr(got, c.key, c.outer, c.theta)
     return ev.looked_up(c, got, env, empty)
@@ -781,7 +782,7 @@ def rel_group_shape(r, a):
 
 def rel_shape(g, a, at=0) -> Rel:
     """A shape of each group: reducers become one partial and final aggregate."""
-    grp = ev.Grp(g.rel.on(g.scope.df), g.rel.elem)
+    grp = ev.Grp(g.rel.on(g.scope.df), g.rel.elem, keyed=(group_key(g.key)[0], g.scope))
     node = a.nodes[at]
     body = node.body if isinstance(node, t.Lambda) else node
     env = a.env.at(grp, g.scope)
@@ -838,11 +839,35 @@ def group_call(g, name, a, scope=None):
         return C((F.max_by if name == "max_by" else F.min_by)(whole(g.elem), key), g.elem.t)
     if name == "collect":
         return ev.group_array(g)
+    if name in BY_WINDOW and g.keyed and g.rel.order and not g.rel.df.isStreaming:
+        return windowed(g, name, a)
     if name not in BUILTINS:
         raise QueryError(f"no function {name!r}")
     return BUILTINS[name](ev.group_array(g), a)
 
 
+def windowed(g, name, a) -> ev.Grp:
+    """An analytic of each group as a column of its rows, by windows that keep
+    no group in memory. The rows lie as in the group's array: by the order, then
+    by value; those a filter left out come last and count as none. From here on
+    their position is the order."""
+    n = amount(a) if a.count else 1
+    if n < 1:
+        raise QueryError(f"{name} needs a positive size")
+    key, scope = g.keyed
+    x, tie, pos, out = numeric(g.elem).col, fresh("v"), fresh("p"), fresh("w")
+    left_out = [] if g.cond is None else [(~g.cond).asc()]
+    over = W.partitionBy(key).orderBy(*left_out, *g.rel.sorting(), column(tie))
+
+    def put(at, col):
+        scope.df = scope.df.withColumn(at, col)
+        return column(at)
+
+    v = put(tie, x if g.cond is None else F.when(g.cond, x))
+    put(out, BY_WINDOW[name](v, n, over, put(pos, F.row_number().over(over) - 1), lambda col: put(fresh("s"), col)))
+    return replace(g, rel=g.rel.on(scope.df, order=[(pos, False)]), elem=C(column(out), DOUBLE))
+
+
 def replace_grp(g, **more):
     return replace(g, **more)
 
@@ -940,35 +965,43 @@ def rel_from_pairs(r, a):
 
 # analytics
 
+#: of a value, a count, a window over a group in order, the position in it and
+#: what makes a column of a step between
+BY_WINDOW = {}
+
 
 def analytic(name, before, after, expr):
+    BY_WINDOW[name] = lambda x, n, w, pos, put: expr(x, n, w, pos)
+
     def run(r, a):
         n = amount(a) if a.count else 1
         if n < 1:
             raise QueryError(f"{name} needs a positive size")
         x = numeric(r.elem).col
-        got = framed(r, before(n), after(n), lambda w: expr(x, n, w))
+        got = framed(r, before(n), after(n), lambda w: expr(x, n, w, F.col(POS)))
         return replace(got, names=None).select(C(F.col("__out"), DOUBLE))
 
     rel(name)(run)
 
 
 def rolled(f):
-    return lambda x, n, w: F.when(F.col(POS) >= n - 1, f(x).over(w.rowsBetween(-(n - 1), 0)))
+    return lambda x, n, w, pos: F.when(pos >= n - 1, f(x).over(w.rowsBetween(-(n - 1), 0)))
 
 
 back, none = (lambda n: n - 1), (lambda n: 0)
-analytic("rolling_sum", back, none, lambda x, n, w: F.when(F.col(POS) >= n - 1, F.coalesce(F.sum(x).over(w.rowsBetween(-(n - 1), 0)), F.lit(0.0))))
+analytic("rolling_sum", back, none, lambda x, n, w, pos: F.when(pos >= n - 1, F.coalesce(F.sum(x).over(w.rowsBetween(-(n - 1), 0)), F.lit(0.0))))
 analytic("rolling_avg", back, none, rolled(F.avg))
 analytic("rolling_min", back, none, rolled(F.min))
 analytic("rolling_max", back, none, rolled(F.max))
-analytic("lag", lambda n: n, none, lambda x, n, w: F.lag(x, n).over(w))
-analytic("lead", none, lambda n: n, lambda x, n, w: F.lead(x, n).over(w))
-analytic("diff_window", lambda n: 1, none, lambda x, n, w: x - F.lag(x).over(w))
-analytic("pct_change", lambda n: 1, none, lambda x, n, w: F.try_divide(x - F.lag(x).over(w), F.lag(x).over(w)))
+analytic("lag", lambda n: n, none, lambda x, n, w, pos: F.lag(x, n).over(w))
+analytic("lead", none, lambda n: n, lambda x, n, w, pos: F.lead(x, n).over(w))
+analytic("diff_window", lambda n: 1, none, lambda x, n, w, pos: x - F.lag(x).over(w))
+analytic("pct_change", lambda n: 1, none, lambda x, n, w, pos: F.try_divide(x - F.lag(x).over(w), F.lag(x).over(w)))
 
 
 def cumulative(name, agg, merge):
+    BY_WINDOW[name] = lambda x, n, w, pos, put: agg(x).over(w.rowsBetween(W.unboundedPreceding, 0))
+
     def run(r, a):
         got = running(r, numeric(r.elem).col, agg, merge)
         return replace(got, names=None).select(C(F.col("__out"), DOUBLE))
@@ -990,6 +1023,16 @@ def rel_zscore(r, a):
     return replace(r, df=df.withColumn("__out", z), names=None).select(C(F.col("__out"), DOUBLE))
 
 
+def zscore_by_window(x, n, w, pos, put):
+    rows = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    mean = put(F.avg(x).over(rows))
+    sd = put(F.sqrt(F.avg((x - mean) * (x - mean)).over(rows)))
+    return F.when(x.isNotNull(), F.when(sd == 0, 0.0).otherwise((x - mean) / sd))
+
+
+BY_WINDOW["zscore"] = zscore_by_window
+
+
 @rel("accumulate")
 def rel_accumulate(r, a):
     """Running sums run in blocks; any other fold goes over one array."""
